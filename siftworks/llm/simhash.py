@@ -5,10 +5,11 @@ leave at least one segment with one differing bit or none. Each segment is index
 segment without one of its bits); two segments that differ by at most one bit share such a variant. Fingerprints that
 share a variant are verified by counting differing bits.
 
-Only distinct fingerprints are joined. Variants without partner are dropped after a count by variant. Large groups are cut
-into blocks, and a task compares two blocks; within a pair of blocks a breadth-first search compares each fingerprint with
-those not yet reached alone and emits a spanning forest, so links are never more than members while the components are
-the same as those of all pairs.
+Only distinct fingerprints are indexed. Variants meet by one shuffle, sorted, and neighbours with equal variants are verified
+there and then, so no candidate that fails is ever written. Large groups are cut into blocks, and a task compares two
+blocks; within a group or a pair of blocks a breadth-first search compares each fingerprint with those not yet reached
+alone and emits a spanning forest, so links are never more than members while the components are the same as those of all
+pairs.
 
 Defined cases: null or wordless text has fingerprint zero and is linked as any other; a text of fewer words than a shingle
 is one shingle; null ids keep rows of their own, and a null id is never a component id unless all ids of it are null;
@@ -33,6 +34,8 @@ DISTANCE = 4
 SEED = 42
 #: Fingerprints of a variant that one task compares with as many others.
 BLOCK = 2048
+#: Groups up to this size are compared pair by pair.
+SMALL = 16
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -89,12 +92,15 @@ def forest(group: np.ndarray, a: np.ndarray, side: np.ndarray, distance: int) ->
     sizes = ends - starts
     left: list[int] = []
     right: list[int] = []
-    pairs = starts[sizes == 2]  # by far the most groups
-    if len(pairs):
-        near = np.bitwise_count(a[pairs] ^ a[pairs + 1]) <= distance
-        left += a[pairs][near].tolist()
-        right += a[pairs + 1][near].tolist()
-    for i, j in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist()):
+    small = sizes <= SMALL
+    number = np.repeat(np.where(small, np.arange(len(sizes)), -1), sizes)
+    for d in range(1, int(sizes[small].max(initial=0))):  # all groups of a few at once, by neighbours at distance d
+        at = np.flatnonzero((number[d:] == number[:-d]) & (number[d:] >= 0))
+        at = at[np.bitwise_count(a[at] ^ a[at + d]) <= distance]
+        at = at[(side[at] == 0) | (side[at] != side[at + d])]
+        left += a[at].tolist()
+        right += a[at + d].tolist()
+    for i, j in zip(starts[~small].tolist(), ends[~small].tolist()):
         vals, sides = a[i:j], side[i:j]
         rest = np.arange(len(vals))
         while len(rest) > 1:
@@ -124,13 +130,14 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
             low, high = seg.bitwiseAND(F.lit((1 << bit) - 1)), F.shiftleft(F.shiftrightunsigned(seg, bit + 1), bit)
             keys.append((low.bitwiseOR(high) + F.lit((s * 32 + bit) << 22)).cast("int"))
     variants = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    shared = variants.groupBy("key").count().where("count > 1")
-    blocks = F.ceil(F.col("count") / block).cast("int")
+    # Only groups beyond a block are counted out; all others go on as they are.
+    large = variants.groupBy("key").count().where(F.col("count") > block)
+    blocks = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     # With several blocks a row goes to each pair that its block is in: (i, j) with i <= j, as i * blocks + j.
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("own")) * F.col("blocks") + F.greatest(o, F.col("own")))
     dealt = (
-        variants.join(shared, "key")
+        variants.join(large, "key", "left")
         .withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("pair", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(pair)))
