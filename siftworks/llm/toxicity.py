@@ -16,7 +16,6 @@ no rows; only id and text and the labels' id and toxic are read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,22 +43,35 @@ class Model:
         return 1 / (1 + np.exp(-min(max(z, -500.0), 500.0)))
 
 
-def vocabulary(pos: list[set[str]], unl: list[set[str]], most: int = VOCABULARY, least_ratio: float = LEAST_RATIO) -> list[str]:
-    p, u = Counter(w for x in pos for w in x), Counter(w for x in unl for w in x)
-    least = max(3, 0.01 * len(pos))
-    ratio = {w: ((n + 0.5) / (len(pos) + 1)) / ((u[w] + 0.5) / (len(unl) + 1)) for w, n in p.items() if n >= least}
-    return sorted((w for w, r in ratio.items() if r >= least_ratio), key=lambda w: (-p[w] * np.log(ratio[w]), w))[:most]
+class WordIds(dict):
+    """Numbers for words in the order of their first appearance, so that a sample is held as small arrays."""
+
+    def of(self, text: str) -> np.ndarray:
+        return np.array([self.setdefault(w, len(self)) for w in sorted(words(text))], dtype=np.int32)
+
+
+def vocabulary(names: list[str], pos: np.ndarray, unl: np.ndarray, n_pos: int, n_unl: int, most: int = VOCABULARY, least_ratio: float = LEAST_RATIO) -> np.ndarray:
+    """Numbers of the words that enter the model; pos and unl count the texts with each word."""
+    ratio = ((pos + 0.5) / (n_pos + 1)) / ((unl + 0.5) / (n_unl + 1))
+    good = np.flatnonzero((pos >= max(3, 0.01 * n_pos)) & (ratio >= least_ratio))
+    gain = pos[good] * np.log(ratio[good])
+    return good[sorted(range(len(good)), key=lambda i: (-gain[i], names[good[i]]))[:most]]
 
 
 def fit(positives: list[str], unlabelled: list[str], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, beta: float = 0.0, gamma: float = 1.0) -> Model:
     if not positives or not unlabelled or not 0 < prior < 1:
         return Model({}, -500.0 if not positives else 0.0)
-    pos, unl = [words(t) for t in positives], [words(t) for t in unlabelled]
-    vocab = vocabulary(pos, unl)
-    at = {w: i for i, w in enumerate(vocab)}
-    n_pos, n_unl = len(pos), len(unl)
-    pairs = [(r, at[w]) for r, ws in enumerate(pos + unl) for w in ws & at.keys()]
-    row, col = (np.array([p[k] for p in pairs], dtype=np.int64) for k in (0, 1))
+    ids = WordIds()
+    rows = [ids.of(t) for t in positives] + [ids.of(t) for t in unlabelled]
+    n_pos, n_unl, names = len(positives), len(unlabelled), list(ids)
+    count = lambda xs: np.bincount(np.concatenate(xs), minlength=len(names))
+    chosen = vocabulary(names, count(rows[:n_pos]), count(rows[n_pos:]), n_pos, n_unl)
+    vocab = [names[i] for i in chosen]
+    place = np.full(len(names), -1, dtype=np.int64)
+    place[chosen] = np.arange(len(chosen))
+    kept = [x[x >= 0] for x in (place[r] for r in rows)]
+    row, col = np.repeat(np.arange(len(rows)), [len(x) for x in kept]), np.concatenate(kept)
+    del rows, ids, names
     w, b = np.zeros(len(vocab)), np.log(prior / (1 - prior))
     m, v = np.zeros(len(vocab) + 1), np.zeros(len(vocab) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
