@@ -107,7 +107,10 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlab
         few = rows.withColumn("draw", draw).where(F.col("draw") < int(min(1.0, (2 * most + 100) / max(there, 1)) * (1 << 30)))
         return [r["text"] for r in few.orderBy("draw", "doc_id", "text").limit(most).select("text").collect()]
 
-    pos = drawn(can.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), int(toxic), positives)
+    # The ids are drawn from the labels first, so that texts are met by a small set of ids and not shuffled.
+    few = labels.where("toxic = 1").withColumn("draw", draw).where(F.col("draw") < int(min(1.0, (4 * positives + 100) / toxic) * (1 << 30)))
+    ids = few.orderBy("draw", "doc_id").limit(2 * positives).select("doc_id")
+    pos = drawn(can.join(F.broadcast(ids), "doc_id", "left_semi"), 1, positives)
     return pos, drawn(can, docs.count(), unlabelled), min(max(toxic / n, 1e-4), 0.99)
 
 
