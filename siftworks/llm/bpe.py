@@ -69,7 +69,11 @@ class Encoder:
         split: list[tuple[int, list[str]]] = []
         odd: list[int] = []
         for i, t in enumerate(texts):
-            if t.isascii() and t.isprintable() or not UNSAFE.search(t):
+            if t.isascii():
+                safe = t.replace("\n", "").replace("\t", "").replace("\r", "").isprintable()
+            else:
+                safe = not UNSAFE.search(t)
+            if safe:
                 split.append((i, WORDS.findall(t)))
             else:
                 odd.append(i)

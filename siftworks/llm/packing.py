@@ -47,8 +47,9 @@ class Packer:
         self.n = 0
         self.key: list = [None] * size
         self.start, self.end, self.loss_from = (np.zeros(size, dtype=np.int64) for _ in range(3))
-        self.share = np.zeros((size, 3))  # of the limits: tokens, segments, loss
+        self.share = np.zeros((3, size))  # of the limits: tokens, segments, loss
         self.caps = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], dtype=np.float64)
+        self.caps_of = self.caps.tolist()
         self.room: np.ndarray | None = None
         self.open: list[tuple] = []
         self.sequences = 0
@@ -82,7 +83,8 @@ class Packer:
 
     def _put(self, i: int, key, start: int, end: int, loss_from: int) -> None:
         self.key[i], self.start[i], self.end[i], self.loss_from[i] = key, start, end, loss_from
-        self.share[i] = np.array([end - start, 1, end - max(start, min(loss_from, end))]) / self.caps
+        t, s, x = self.caps_of
+        self.share[0, i], self.share[1, i], self.share[2, i] = (end - start) / t, 1 / s, (end - max(start, min(loss_from, end))) / x
 
     def _take(self, i: int, length: int) -> None:
         """Place the first length tokens of item i; the rest stays in the pool."""
@@ -102,14 +104,15 @@ class Packer:
             if self.room is None:
                 self.room = self.caps.copy()
             room = self.room / self.caps
-            share = self.share[: self.n]
-            fits = (share <= room + 1e-9).all(axis=1)
-            if fits.any():
-                score = np.where(fits, share @ room, -1.0)
-                i = int(score.argmax())
+            share = self.share[:, : self.n]
+            r = (room + 1e-9).tolist()
+            score = room @ share
+            score[(share[0] > r[0]) | (share[1] > r[1]) | (share[2] > r[2])] = -1.0
+            i = int(score.argmax())
+            if score[i] >= 0:
                 self._take(i, int(self.end[i] - self.start[i]))
             else:
-                i = int(share[:, 0].argmax())
+                i = int(share[0].argmax())
                 length = self._cut(int(self.start[i]), int(self.end[i]), int(self.loss_from[i]), int(self.room[0]), int(self.room[2]))
                 if length <= 0 or self.room[1] < 1:
                     self._close()
