@@ -132,8 +132,8 @@ def pii_hits(c: Column) -> Column:
 
 
 def generic_term_ok(c: Column) -> Column:
-    """1 to 39 letters, digits and signs of technical terms, and neither an address nor a link."""
-    return text(c).rlike(r"^[\w +#./&-]{1,39}$") & ~text(c).rlike(r"@|https?:|www\.")
+    """1 to 39 ASCII letters, digits, spaces and signs of technical terms, the first a letter or digit, and neither an address nor a link."""
+    return strip(text(c)).rlike(r"^[A-Za-z0-9][A-Za-z0-9 .+#/&-]{0,38}$") & ~text(c).rlike(r"@|https?://|\bwww\.")
 
 
 def push_rejected(c: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import generic_term_ok
+
 
 def sweep_states(checks: DataFrame, key: str, order: list[str], verdict: str = "verdict") -> DataFrame:
     """checks with streak (unverifiable in a row up to here) and escalated (exactly the second in a row)."""
@@ -41,6 +43,15 @@ def best_reason(rows: DataFrame, key: str, reason: str, order: str, priority: di
     return rows.groupBy(key).agg(F.max_by(reason, F.struct(rank, -F.col(order))).alias(reason))
 
 
+def resolutions(external: DataFrame, log: DataFrame, key: str, reason: str, order: str, priority: dict[str, int], targets: dict[str, str], status: str = "status", live: str = "shortlisted") -> DataFrame:
+    """What a decision made elsewhere does to the log's current records: one row a key of external with a reason that settles it,
+    target, and outcome (unmatched: not in the log; already: no longer live there; resolved: takes the target)."""
+    best = best_reason(external, key, reason, order, priority)
+    best = best.withColumn("target", F.element_at(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]), F.col(reason))).where("target IS NOT NULL")
+    outcome = F.when(F.col("_here").isNull(), "unmatched").when(F.col("_status").eqNullSafe(live), "resolved").otherwise("already")
+    return best.join(log.select(key, F.col(status).alias("_status"), F.lit(True).alias("_here")), key, "left").select(key, reason, "target", outcome.alias("outcome"))
+
+
 def reconcile_counts(external: DataFrame, log: DataFrame, key: str, status: str, wanted: str) -> DataFrame:
     """One row: unmatched, already, backfilled, over external keys against the log's current records."""
     have = log.groupBy(key).agg(F.max(F.when(F.col(status) == wanted, 1).otherwise(0)).alias("_have"))
@@ -79,6 +90,37 @@ def upsert_suggestions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("kind", F.lower("value").alias("value")).agg(F.count(F.lit(1)).alias("frequency"), F.array_sort(F.collect_set("source")).alias("sources"), F.min("day").alias("first_seen"), F.max("day").alias("last_seen"))
 
 
+#: What a suggestion may hold.
+SUGGESTION_KEYS = ("kind", "value", "sources", "first_seen", "last_seen", "frequency")
+SUGGESTION_KINDS = ("keyword_core", "keyword_expanded", "archetype")
+
+
+def suggestion_errors(entry: Column) -> Column:
+    """The errors of a suggestion that is given as JSON: keys that are not allowed, and values of the wrong kind or form. None: an empty array."""
+    v, fields = F.try_parse_json(entry), F.map_keys(F.from_json(entry, "map<string,string>"))
+    get = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    has = lambda name: F.coalesce(F.array_contains(fields, name), F.lit(False))
+    is_a = lambda name, *types: F.coalesce(kind(name).isin(*types), F.lit(False))
+    sources = F.try_variant_get(v, "$.sources", "array<string>")
+    kebab = F.forall(sources, lambda x: F.coalesce(x.rlike(r"^[a-z0-9]+(-[a-z0-9]+)*$"), F.lit(False)))
+    unknown = F.array_sort(F.array_except(fields, F.array(*map(F.lit, SUGGESTION_KEYS))))
+    day = lambda name: F.when(get(name).isNotNull() & ~get(name).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(f"{name} must be YYYY-MM-DD"))
+    errors = F.array(
+        F.when(F.size(unknown) > 0, F.concat(F.lit("unknown keys: "), F.array_join(unknown, ", "))),
+        F.when(~F.coalesce(get("kind").isin(*SUGGESTION_KINDS), F.lit(False)), F.lit("kind must be one of " + ", ".join(SUGGESTION_KINDS))),
+        F.when(~(is_a("value", "STRING") & generic_term_ok(get("value"))), F.lit("value must be a short generic term")),
+        F.when(has("sources") & ~(is_a("sources", "ARRAY<STRING>", "ARRAY<VOID>") & F.coalesce(kebab, F.lit(False))), F.lit("sources must be a list of kebab-case names")),
+        F.when(has("frequency") & ~(is_a("frequency", "BIGINT") & F.coalesce(F.try_variant_get(v, "$.frequency", "long") >= 1, F.lit(False))), F.lit("frequency must be a positive integer")),
+        day("first_seen"), day("last_seen"),
+    )
+    return F.when(F.coalesce(kind_of_object(v), F.lit(False)), F.filter(errors, lambda x: x.isNotNull())).otherwise(F.array(F.lit("not a mapping")))
+
+
+def kind_of_object(v: Column) -> Column:
+    return F.schema_of_variant(v).startswith("OBJECT")
+
+
 def merge_across_sources(df: DataFrame, key: str, source: str, order: str, payload: list[str]) -> DataFrame:
     """One row a key: the first record's payload, all sources, and whether there are two or more."""
     out = df.groupBy(key).agg(F.min_by(F.struct(*payload), F.col(order)).alias("_p"), F.array_sort(F.collect_set(source)).alias("sources"))

@@ -143,7 +143,7 @@ def pii_hits(spark, sf_dir):
 @query(r"""
 WITH a AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS a FROM (SELECT page_id, regexp_extract_all(html, '(?s)<a\b[^>]*?href="[^"]+"[^>]*>.*?</a>') AS l FROM pages)),
 b AS (SELECT page_id, pos, regexp_extract(a, 'href="([^"]+)"', 1) AS href, trim(regexp_replace(regexp_replace(regexp_extract(a, '(?s)^<a\b[^>]*>(.*)</a>$', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS label FROM a),
-c AS (SELECT page_id, pos, label, regexp_replace(regexp_replace(href, '^https?://[^/]+', ''), '[?#].*$', '') AS path FROM b),
+c AS (SELECT page_id, pos, label, regexp_replace(regexp_replace(href, '\?.*$', ''), '^https?://[^/]+', '') AS path FROM b),
 d AS (SELECT page_id, pos, 'https://site.example' || path AS url, label,
   trim(regexp_replace(regexp_replace(regexp_replace(string_split(regexp_replace('https://site.example' || path, '/+$', ''), '/')[-1], '\b[0-9a-f]{6,}\b', '', 'g'), '[-_]+', ' ', 'g'), '\s+', ' ', 'g')) AS slug
   FROM c WHERE regexp_matches(path, '^/[^/]+$')),
@@ -152,7 +152,7 @@ SELECT page_id, url, title FROM e QUALIFY row_number() OVER (PARTITION BY page_i
 """)
 def link_harvest(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("platform_ord"), F.lit("pages").alias("platform"), F.lit(0).alias("page"), F.col("html").alias("payload"))
-    return payloads.link_harvest(p, r"^/[^/]+$", "https://site.example").select(F.col("platform_ord").alias("page_id"), "url", "title")
+    return payloads.link_harvest(p, r"/[^/]+", "https://site.example").select(F.col("platform_ord").alias("page_id"), "url", "title")
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
@@ -490,6 +490,19 @@ def reason_priority(spark, sf_dir):
     return state.best_reason(read(spark, sf_dir, "events"), "user_id", "event_type", "event_id", PRIORITY)
 
 
+TARGETS = {"1-URGENT": "applied", "2-HIGH": "passed", "3-MEDIUM": "dropped"}
+RANKS = {"1-URGENT": 2, "2-HIGH": 4, "3-MEDIUM": 3, "5-LOW": 3}
+
+
+@query("""WITH b AS (SELECT o_custkey AS custkey, o_orderpriority AS reason FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 4 WHEN '3-MEDIUM' THEN 3 WHEN '5-LOW' THEN 3 ELSE 0 END DESC, o_orderkey) = 1)
+SELECT custkey, reason, CASE reason WHEN '1-URGENT' THEN 'applied' WHEN '2-HIGH' THEN 'passed' ELSE 'dropped' END AS target, CASE WHEN c_custkey IS NULL THEN 'unmatched' WHEN c_mktsegment = 'BUILDING' THEN 'resolved' ELSE 'already' END AS outcome
+FROM b LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 20) ON c_custkey = custkey WHERE reason IN ('1-URGENT', '2-HIGH', '3-MEDIUM')""")
+def resolution_outcome(spark, sf_dir):
+    external = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderpriority").alias("reason"), "o_orderkey")
+    log = read(spark, sf_dir, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("custkey"), "c_mktsegment")
+    return state.resolutions(external, log, "custkey", "reason", "o_orderkey", RANKS, TARGETS, "c_mktsegment", "BUILDING")
+
+
 @query("SELECT count_if(s IS NULL) AS unmatched, count_if(s = 1) AS already, count_if(s = 0) AS backfilled FROM customer LEFT JOIN (SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS s FROM orders GROUP BY 1) o ON o.o_custkey = c_custkey")
 def tracker_reconcile(spark, sf_dir):
     log = read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")

@@ -6,6 +6,7 @@ One frame of payloads may hold any sources: parse_all splits it by platform, and
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,15 +92,21 @@ def pinpoint(p: DataFrame) -> DataFrame:
     return _candidates(j, F.col("j.title"), F.col("page"), place, F.col("j.url"), None, F.col("j.compensation"), text_of(F.col("j.description")))
 
 
-def ashby(p: DataFrame, company: str = "") -> DataFrame:
-    """The job board's JSON; where a page has none, the same fields out of JSON that is escaped within markup."""
-    j = _json(p, "jobs array<struct<title:string,location:string,jobUrl:string,publishedAt:string,compensation:struct<compensationTierSummary:string>,descriptionPlain:string>>", "_p.jobs")
-    good = _candidates(j, F.col("j.title"), F.lit(company), F.col("j.location"), F.col("j.jobUrl"), F.col("j.publishedAt"), F.col("j.compensation.compensationTierSummary"), F.col("j.descriptionPlain"))
+def ashby(p: DataFrame, company: str = "", site: str = "https://www.deel.com") -> DataFrame:
+    """The job board's JSON; where a payload has none, the job objects that a careers page holds as escaped JSON. A job
+    whose titles all have over 90 characters goes by the one for search engines up to a bar; one without a title is left out."""
+    j = _json(p, "jobs array<struct<title:string,location:string,jobUrl:string,applyUrl:string,publishedAt:string,compensation:struct<compensationTierSummary:string>,descriptionPlain:string>>", "_p.jobs")
+    good = _candidates(j, F.col("j.title"), F.lit(company), F.col("j.location"), F.coalesce(F.nullif("j.jobUrl", F.lit("")), F.col("j.applyUrl")), F.col("j.publishedAt"), F.col("j.compensation.compensationTierSummary"), F.col("j.descriptionPlain"))
     plain = F.replace(F.col("payload"), F.lit('\\"'), F.lit('"'))
-    found = p.where(F.from_json("payload", "jobs array<string>").getField("jobs").isNull()).select("platform_ord", "platform", "page", F.posexplode(F.regexp_extract_all(plain, F.lit(r'(\{"id":"[^"]+","title":"[^"]+"[^{}]*\})'), F.lit(1))).alias("pos", "j"))
-    g = lambda name: F.regexp_extract("j", f'"{name}":"([^"]*)"', 1)
-    places = F.array_join(F.slice(F.regexp_extract_all("j", F.lit('"location(?:Name)?":"([^"]*)"'), F.lit(1)), 1, 4), ", ")
-    return good.unionByName(_candidates(found, g("title"), F.lit(company), places, g("id"), g("updatedAt"), g("compensationTierSummary")))
+    whole = r'\{"id":\d+,"attributes":\{"ashby_id":"[\w-]+"(.{0,4000}?"slug":"[^"\\]+)"'
+    found = p.where(F.from_json("payload", "jobs array<string>").getField("jobs").isNull()).select("platform_ord", "platform", "page", F.posexplode(F.regexp_extract_all(plain, F.lit(whole), F.lit(1))).alias("pos", "j"))
+    found = found.withColumns({"slug": F.regexp_extract("j", r'"slug":"([^"\\]+)$', 1), "job": F.regexp_replace("j", r'"slug":"[^"\\]+$', "")})
+    own, seo = F.regexp_extract("job", r'"(?:job_title|title)":"([^"\\]{3,90})"', 1), F.regexp_extract("job", r'"SEO":\{"title":"([^"\\|]{3,90})', 1)
+    one = lambda name: F.regexp_extract("job", rf'"{name}":"([^"\\]+)"', 1)
+    places = F.array_join(F.slice(F.regexp_extract_all("job", F.lit(r'"location":"([^"\\]{2,60})"'), F.lit(1)), 1, 4), ", ")
+    url = F.when(F.col("slug").rlike("^https?://"), F.col("slug")).otherwise(F.concat(F.lit(site), F.when(F.startswith("slug", F.lit("/")), F.lit("")).otherwise(F.lit("/")), F.col("slug")))
+    embedded = _candidates(found, F.coalesce(F.nullif(own, F.lit("")), seo), F.lit(company), places, url, one("ashby_updated_at"), one("compensation_tier_summary"))
+    return good.unionByName(embedded.where("title <> ''"))
 
 
 def rss(p: DataFrame) -> DataFrame:
@@ -132,24 +139,76 @@ def working_nomads(p: DataFrame) -> DataFrame:
     return _candidates(j, F.col("j.title"), F.col("j.company_name"), F.col("j.location"), F.col("j.url"), F.col("j.pub_date"), None, text_of(F.col("j.description")))
 
 
-def link_harvest(p: DataFrame, href: str, base: str, company_at: int | None = None, least_hyphens: int = 0) -> DataFrame:
-    """Links of a page whose path fits: absolute, each url once, by its link text if one can be a title and else by its address.
-    company_at: the number of the path's part, from 0, that names the company."""
-    links = p.select("platform_ord", "platform", "page", F.posexplode(F.regexp_extract_all("payload", F.lit(r'(?s)(<a\b[^>]*?href="[^"]+"[^>]*>.*?</a>)'), F.lit(1))).alias("pos", "a"))
-    raw = F.regexp_extract("a", r'href="([^"]+)"', 1)
-    path = F.regexp_replace(F.regexp_replace(raw, r"^https?://[^/]+", ""), r"[?#].*$", "")
-    links = links.withColumn("_path", path).withColumn("_url", F.when(raw.rlike(r"^https?://"), F.regexp_replace(raw, r"[?#].*$", "")).otherwise(F.concat(F.lit(base.rstrip("/")), F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)))))
+class Listing(NamedTuple):
+    """href: what the whole path of a posting's link fits; company: the number of the path's part, from 1, that names the company."""
+
+    href: str
+    base: str
+    company: int | None = None
+    least_hyphens: int = 0
+
+
+#: How the listing pages of these boards address their postings.
+LISTINGS = {
+    "himalayas": Listing(r"/companies/[^/]+/jobs/[^/]+/?", "https://himalayas.app", company=2),
+    "working-nomads": Listing(r"/jobs/[\w-]+", "https://www.workingnomads.com"),
+    "jobgether": Listing(r"/offer/[\w-]{10,}", "https://jobgether.com"),
+    "arc": Listing(r"/remote-jobs/(?:details|j)/[\w-]+", "https://arc.dev"),
+    "remote-rocketship-worldwide": Listing(r"/publicjobs/company/[^/]+/jobs/[^/]+/?", "https://www.remoterocketship.com", company=3),
+    "remote-rocketship-europe": Listing(r"/publicjobs/company/[^/]+/jobs/[^/]+/?", "https://www.remoterocketship.com", company=3),
+    "wttj": Listing(r"/en/companies/[^/]+/jobs/[^/]+", "https://www.welcometothejungle.com", company=3),
+    "nodesk": Listing(r"/remote-jobs/[a-z0-9-]+/?", "https://nodesk.co", least_hyphens=3),
+    "justremote": Listing(r"[a-z]+(?:-[a-z]+)*-jobs/[\w-]+", "https://justremote.co", least_hyphens=2),
+    "landing-jobs": Listing(r"(?:https://landing\.jobs)?/at/[^/]+/[\w-]+", "https://landing.jobs", company=2),
+    "crossover": Listing(r"/jobs/\d+/[\w-]+/[\w-]+", "https://www.crossover.com", company=3),
+    "ai-jobs-net": Listing(r"/job/[a-z0-9-]+-\d{4,}/?", "https://ai-jobs.net"),
+    "icrunchdata": Listing(r"/jobs/[a-z0-9-]+", "https://icrunchdata.com", least_hyphens=1),
+    "dribbble": Listing(r"/jobs/\d+-[\w-]+", "https://dribbble.com"),
+    "problogger": Listing(r"/jobs/job/[a-z0-9-]+/?", "https://problogger.com"),
+}
+
+#: The opening tag of any element with an address, and the text up to its end, which stays open to further matches.
+_LINK = r'(?s)(<([a-zA-Z][a-zA-Z0-9]*)\b[^<>]*?\bhref="[^"]+"[^<>]*>)(?:(?=(.*?)</\2>)|)'
+
+
+def harvest(p: DataFrame, listings: dict[str, Listing] = LISTINGS) -> DataFrame:
+    """Links of pages by the listing of their platform, in one pass for all of them: elements of any kind whose path (or address
+    without its query) fits, absolute, each url once, by the element's text if one can be a title and else by its address.
+    Pages of platforms without a listing bring nothing."""
+    per = {k: i for i, k in enumerate(listings)}
+
+    def of(value: Callable[[Listing], Column]) -> Column:
+        whens = None
+        for k in per:
+            whens = F.when(F.col("platform") == k, value(listings[k])) if whens is None else whens.when(F.col("platform") == k, value(listings[k]))
+        return F.lit(None) if whens is None else whens
+
+    found = lambda group: F.regexp_extract_all("payload", F.lit(_LINK), F.lit(group))
+    links = p.where(F.col("platform").isin(*per)).select("platform_ord", "platform", "page", F.posexplode(F.arrays_zip(found(1).alias("tag"), found(3).alias("label"))).alias("pos", "a"))
+    raw = F.regexp_extract("a.tag", r'\bhref="([^"]+)"', 1)
+    links = links.withColumn("_raw", raw).withColumn("_whole", F.regexp_replace("_raw", r"(?s)\?.*$", "")).withColumn("_path", F.regexp_replace("_whole", r"^https?://[^/]+", ""))
     last = F.element_at(F.split(F.regexp_replace("_path", "/+$", ""), "/"), -1)
-    links = links.where(F.col("_path").rlike(href) & (F.length(last) - F.length(F.replace(last, F.lit("-"), F.lit(""))) >= least_hyphens))
-    label = F.regexp_extract("a", r"(?s)^<a\b[^>]*>(.*)</a>$", 1)
-    title, slug = pick_title(label, F.col("_url")), slug_title(F.col("_url"))
-    company = F.lit("") if company_at is None else F.replace(F.coalesce(F.get(F.split(F.regexp_replace("_path", "^/+", ""), "/"), F.lit(company_at)), F.lit("")), F.lit("-"), F.lit(" "))
+    hyphens = F.length(last) - F.length(F.replace(last, F.lit("-"), F.lit("")))
+    fits = of(lambda x: F.col("_path").rlike(f"^(?:{x.href})$") | F.col("_whole").rlike(f"^(?:{x.href})$"))
+    links = links.where(fits & (hyphens >= of(lambda x: F.lit(x.least_hyphens))))
+    joined = F.concat(of(lambda x: F.lit(x.base.rstrip("/"))), F.when(F.startswith("_path", F.lit("/")), F.col("_path")).otherwise(F.concat(F.lit("/"), F.col("_path"))))
+    links = links.withColumn("_url", F.when(F.startswith("_raw", F.lit("http")), F.col("_raw")).otherwise(joined))
+    part = F.get(F.array_remove(F.split("_path", "/"), ""), of(lambda x: F.lit(-1 if x.company is None else x.company - 1)))
+    company = F.replace(F.coalesce(part, F.lit("")), F.lit("-"), F.lit(" "))
+    title, slug = pick_title(F.col("a.label"), F.col("_url")), slug_title(F.col("_url"))
     rows = links.select("platform_ord", "platform", "page", "pos", title.alias("t"), slug.alias("s"), company.alias("c"), F.col("_url").alias("u"))
     best = rows.groupBy("platform_ord", "platform", "u").agg(F.min(F.struct((F.col("t") == F.col("s")).alias("slug_only"), "page", "pos", "t", "c")).alias("b"), F.min(F.struct("page", "pos")).alias("first"))
     best = best.select("platform_ord", "platform", F.col("first.page").alias("page"), F.col("first.pos").alias("pos"), "b", "u")
     return _candidates(best, F.col("b.t"), F.col("b.c"), F.lit(""), F.col("u"))
 
 
+def link_harvest(p: DataFrame, href: str, base: str, company: int | None = None, least_hyphens: int = 0) -> DataFrame:
+    """harvest() of one listing for pages of any platform."""
+    name = F.col("platform").alias("_p")
+    one = harvest(p.select(F.struct("platform_ord", name).alias("platform_ord"), F.lit("").alias("platform"), "page", "payload"), {"": Listing(href, base, company, least_hyphens)})
+    return one.withColumns({"platform": F.col("platform_ord._p"), "platform_ord": F.col("platform_ord.platform_ord")})
+
+
 def pages_until_dry(pages: DataFrame, source: str, page: str, url: str, most: int = 40) -> DataFrame:
     """Rows of a paged listing up to the page that brought nothing new, and of `most` pages."""
     firsts = pages.groupBy(source, url).agg(F.min(page).alias(page))
@@ -162,7 +221,7 @@ def pages_until_dry(pages: DataFrame, source: str, page: str, url: str, most: in
 
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "remotive": remotive, "remoteok": remoteok, "justjoin": justjoin, "himalayas": himalayas, "greenhouse": greenhouse, "lever": lever, "workable": workable, "pinpoint": pinpoint,
-    "ashby": ashby, "rss": rss, "sitemap": sitemap, "guest_cards": guest_cards, "working_nomads": working_nomads,
+    "ashby": ashby, "rss": rss, "sitemap": sitemap, "guest_cards": guest_cards, "working_nomads": working_nomads, "listing": harvest,
 }
 
 

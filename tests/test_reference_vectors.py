@@ -148,3 +148,44 @@ def test_triage_gives_one_reason(spark):
     got = {r.doc_id: r for r in triage(df, None, config.Profile(keywords=("project",), work_model=("remote",), modes={"work_arrangement": "drop"}), F.lit("2026-01-01").cast("timestamp")).collect()}
     assert set(got) == {1, 2} and got[1].drop_reason == "auto-drop: us_only" and got[2].drop_reason == "work_arrangement"
     assert got[2].flags == ["timezone", "work_arrangement_off_target"]
+
+
+def test_listings_take_links_of_any_element_by_platform(spark):
+    html = """<link href="/jobs/style"><h2 href="/publicjobs/company/big-co/jobs/lead-role/">Lead <b>Role</b></h2>
+<a href="/publicjobs/company/big-co/jobs/other-role?x=1"><img></a><a class="x" href="/publicjobs/company/big-co/jobs/other-role">Other role, senior</a>
+<a href="/publicjobs/company/big-co/jobs/gone#top">Gone</a><a href="https://www.site.example/publicjobs/company/a/jobs/b-c?ref=1">View b</a><a href="/about">About us</a>"""
+    nodesk = '<a href="/remote-jobs/one-two/">One two</a><a href="https://nodesk.co/remote-jobs/a-b-c-d/">Alpha</a>'
+    rows = [(0, "remote-rocketship-europe", "1", html), (1, "nodesk", "1", nodesk), (2, "other", "1", html)]
+    got = payloads.harvest(spark.createDataFrame(rows, "platform_ord int, platform string, page string, payload string")).orderBy("platform_ord", "row_ord").collect()
+    base = "https://www.remoterocketship.com/publicjobs/company/big-co/jobs/"
+    assert [(r.title, r.company, r.url) for r in got] == [
+        ("Lead Role", "big co", base + "lead-role/"), ("Other role, senior", "big co", base + "other-role"), ("Gone", "big co", base + "gone#top"),
+        ("b c", "a", "https://www.site.example/publicjobs/company/a/jobs/b-c?ref=1"), ("Alpha", "", "https://nodesk.co/remote-jobs/a-b-c-d/"),
+    ]
+
+
+def test_jobs_embedded_in_a_careers_page(spark):
+    jobs = [
+        {"id": 7, "attributes": {"ashby_id": "ab-1", "job_title": "Data Lead", "x": [{"location": "Paris"}, {"location": "Remote"}], "ashby_updated_at": "2026-07-01", "compensation_tier_summary": "10k", "slug": "/careers/position/?jid=1"}},
+        {"id": 8, "attributes": {"ashby_id": "ab-2", "SEO": {"title": "Chef | " + "Big " * 30}, "slug": "/careers/position/?jid=2"}},
+        {"id": 9, "attributes": {"ashby_id": "ab-3", "slug": "/careers/position/?jid=3"}},
+    ]
+    page = "<html>" + json.dumps(json.dumps(jobs, separators=(",", ":"))) + "</html>"
+    got = payloads.ashby(spark.createDataFrame([(0, "d", "1", page)], "platform_ord int, platform string, page string, payload string"), "Big").orderBy("url").collect()
+    at = "https://www.deel.com/careers/position/?jid="
+    assert [(r.title, r.company, r.loc, r.url, r.posted_at, r.salary) for r in got] == [("Data Lead", "Big", "Paris, Remote", at + "1", "2026-07-01", "10k"), ("Chef", "Big", "", at + "2", None, None)]
+
+
+@pytest.mark.parametrize("entry, want", [
+    ({"kind": "archetype", "value": "Technical PM", "sources": ["a-b", "c"], "frequency": 2, "first_seen": "2026-07-01"}, []),
+    ({"kind": "archetype", "value": "c++"}, []), ({"kind": "archetype", "value": "c++", "sources": [], "last_seen": None}, []),
+    ({"kind": "job", "value": "me@x.y", "sources": ["A b"], "frequency": 0, "last_seen": "soon", "name": "x"}, ["unknown", "kind", "value", "sources", "frequency", "last_seen"]),
+    ({"value": 5, "sources": "x", "frequency": "2"}, ["kind", "value", "sources", "frequency"]), ([1], ["not"]), ("x", ["not"]), (None, ["not"]),
+])
+def test_suggestion_errors(spark, entry, want):
+    assert [x.split()[0] for x in one(spark, state.suggestion_errors(F.col("a")), a=json.dumps(entry))] == want
+
+
+@pytest.mark.parametrize("term, want", [("Next.js", True), (" ci/cd ", True), ("a_b", False), (".net", False), ("x" * 40, False), ("www.x", False), ("", False), (None, False)])
+def test_generic_terms(spark, term, want):
+    assert one(spark, text.generic_term_ok(F.col("a")), a=term) is want
