@@ -28,14 +28,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id; of rows that repeat its id, one."""
-    found = materialize(near_duplicates(docs), "near-dedup")
-    keep = found.where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """One row of each group of near-duplicates stays: the one with the smallest id (null ids come last), of rows with that id the
+    one whose text has the smallest hash, of equal rows any one. Each row is judged by its own text, whatever its id."""
+    found = materialize(near_duplicates(docs, rows=True), "near-dedup")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("row")
+    keep = found.groupBy("component").agg(first).select("row.doc_id", "row.text_hash")
+    is_row = lambda of: docs["doc_id"].cast("long").eqNullSafe(of["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == of["text_hash"])
+    kept = docs.join(keep, is_row(keep), "left_semi")
+    repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
     if repeated.limit(1).count():
-        again = docs["doc_id"].eqNullSafe(repeated["doc_id"])
-        kept = kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id"]))
+        kept = kept.join(repeated, is_row(repeated), "left_anti").unionByName(kept.join(repeated, is_row(repeated), "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept
 
 

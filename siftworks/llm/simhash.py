@@ -68,8 +68,8 @@ def majority(h: np.ndarray) -> int:
     return sum(1 << i for i, n in enumerate(ones.tolist()) if 2 * n > len(h))
 
 
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
+    """doc_id, fp: the fingerprint as a signed long; with text_hash also the xxhash64 of the text, which tells rows of one id apart."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
@@ -78,9 +78,10 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
         for batch in batches:
             for rows in slices(batch):
                 fps = np.array([fingerprint(t, width) for t in rows.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps), *rows.columns[2:]], names=["doc_id", "fp", "text_hash"][: rows.num_columns])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")][: int(text_hash)])
+    return own.mapInArrow(run, "doc_id long, fp long" + ", text_hash long" * text_hash)
 
 
 def forest(group: np.ndarray, a: np.ndarray, side: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
@@ -170,17 +171,18 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (signed), component_id: the smallest id of the documents reachable by links."""
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = 4, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:
+    """doc_id, fp (signed), component_id: the smallest id of the documents reachable by links. With rows also text_hash and
+    component, a fingerprint that names the component where all ids of it are null, too."""
     ship(docs.sparkSession)
-    fps = materialize(fingerprints(docs, width, id_col, text_col), "fp")
+    fps = materialize(fingerprints(docs, width, id_col, text_col, rows), "fp")
     least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fp-least")
     found = components(links(least.select("fp"), distance))
     # Components are named by a fingerprint; their smallest document id comes from the groups of equal fingerprints.
     named = least.join(found, least["fp"] == found["id"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     best = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    class_of = named.join(best, "component").select("fp", "component_id")
-    return fps.join(class_of, "fp").select("doc_id", "fp", "component_id")
+    class_of = named.join(best, "component").select("fp", "component_id", "component")
+    return fps.join(class_of, "fp").select("doc_id", "fp", "component_id", *["text_hash", "component"][: 2 * rows])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

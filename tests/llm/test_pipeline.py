@@ -1,0 +1,30 @@
+"""Stages of the pipeline against brute force."""
+
+import random
+
+import corpus_pipeline
+
+from .conftest import DOCS, prose
+from .test_simhash import brute_fp, classes
+
+
+def test_near_dedup_keeps_one_row_of_each_component(spark, odd_docs, no_docs):
+    rng = random.Random(8)
+    long, other = prose(rng, 200), prose(rng, 200)
+    more = [(None, prose(rng, 150), "en", "s", 1) for _ in range(6)]
+    # A copy of a document with an id, one id with unrelated texts, equal rows without an id.
+    more += [(None, long, "en", "s", 1), (500, long, "en", "s", 1), (500, other, "en", "s", 1), (501, other, "en", "s", 1), (None, more[0][1], "en", "s", 1)]
+    for docs in (odd_docs, odd_docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(more, DOCS))):
+        rows = docs.collect()
+        fps = {brute_fp(r.text) for r in rows}
+        comp = classes(fps, [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4])
+        least = {}
+        for r in rows:
+            c, key = comp[brute_fp(r.text)], (r.doc_id is None, r.doc_id or 0)
+            least[c] = min(least.get(c, key), key)
+        got = corpus_pipeline.near_dedup(spark, docs, "")
+        assert got.columns == docs.columns
+        got = got.collect()
+        assert sorted((comp[brute_fp(r.text)], r.doc_id is None, r.doc_id or 0) for r in got) == sorted((c, *key) for c, key in least.items())
+        assert {(r.doc_id, r.text) for r in got} <= {(r.doc_id, r.text) for r in rows}
+    assert corpus_pipeline.near_dedup(spark, no_docs, "").count() == 0
