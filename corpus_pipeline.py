@@ -23,7 +23,7 @@ def _with_n_chars(docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for toxic more likely than not go."""
+    """Documents that the toxicity operator predicts toxic go."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 

@@ -133,8 +133,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Mode
     return own.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same columns without the documents that score at least threshold; each row is judged by its own text."""
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same columns without the documents that score at least threshold, by default those that score_toxicity predicts toxic; each
+    row is judged by its own text."""
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = fit(*sample(own, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")))

@@ -53,3 +53,13 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark, odd_docs, no_docs)
     assert toxicity.score_toxicity(no_docs, labels).count() == 0
     assert max(r.score for r in toxicity.score_toxicity(df, labels.where("toxic > 1")).collect()) < 1e-9
     assert toxicity.drop_toxic(odd_docs, labels).schema == odd_docs.schema
+
+
+def test_drop_toxic_drops_what_is_predicted_toxic(spark, monkeypatch):
+    model = toxicity.Model({"rude": 1.6, "vile": 1.0}, -2.0)  # alone 0.40 and 0.27, both 0.65
+    monkeypatch.setattr(toxicity, "fit", lambda *_: model)
+    df = spark.createDataFrame([(1, "rude"), (2, "vile"), (3, "rude vile"), (4, "kind"), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, toxic int")
+    predicted = {r.doc_id: r.predicted for r in toxicity.score_toxicity(df, model=model).collect()}
+    assert predicted == {1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
+    assert {r.doc_id for r in toxicity.drop_toxic(df, labels).collect()} == {i for i, p in predicted.items() if not p}
