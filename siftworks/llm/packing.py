@@ -153,7 +153,6 @@ def pack_documents(docs: DataFrame, limits: Limits | None = None, tokenizer: str
 
         base = TaskContext.get().partitionId() << 40
         enc, packer = bpe.encoder(tokenizer), Packer(limits)
-        end = np.array([end_id], dtype="<u4").tobytes()
         row = 0
         held: dict[int, list] = {}  # documents with tokens still to come out: [id, ids, tokens to come]
 
@@ -170,14 +169,14 @@ def pack_documents(docs: DataFrame, limits: Limits | None = None, tokenizer: str
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for rows in slices(batch):
-                texts = [t or "" for t in rows.column(1).to_pylist()]
-                cuts = rows.column(2).to_pylist()
-                prompts = enc.encode_many([t[: c or 0] for t, c in zip(texts, cuts)]) if any(cuts) else [b""] * len(texts)
-                for doc_id, ids, prompt in zip(rows.column(0).to_pylist(), enc.encode_many(texts), prompts):
-                    ids += end
-                    held[row] = [doc_id, ids, len(ids) // 4]
-                    packer.add(row, len(ids) // 4, len(prompt) // 4)
+            for rows in slices(batch, 8 << 20, 4096):
+                ids, to = enc.encode_ended(rows.column(1), end_id)
+                raw, cuts, loss_from = ids.tobytes(), rows.column(2).to_pylist(), [0] * rows.num_rows
+                if any(cuts):
+                    loss_from = [len(x) // 4 for x in enc.encode_many([(t or "")[: c or 0] for t, c in zip(rows.column(1).to_pylist(), cuts)])]
+                for doc_id, i, j, prompt in zip(rows.column(0).to_pylist(), to[:-1].tolist(), to[1:].tolist(), loss_from):
+                    held[row] = [doc_id, raw[4 * i : 4 * j], j - i]
+                    packer.add(row, j - i, prompt)
                     row += 1
                 if packer.out:
                     yield emitted()

@@ -33,14 +33,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         from pyspark import TaskContext
 
         part, start = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
         enc = bpe.encoder(tokenizer)
         for batch in batches:
-            for rows in slices(batch):
-                ids = [x + end for x in enc.encode_many([t or "" for t in rows.column(1).to_pylist()])]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                to = np.concatenate([[0], np.cumsum(n)])
-                lists = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+            for rows in slices(batch, 4 << 20, 2048):
+                ids, to = enc.encode_ended(rows.column(1), end_id)
+                n = np.diff(to)
+                lists = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(ids.view("<i4")))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(start + to[:-1]), pa.array(n), lists], names=["doc_id", "part", "local_start", "n_tokens", "ids"])
                 start += int(to[-1])
 

@@ -33,6 +33,16 @@ def test_encoder_equals_the_library(lib):
     assert bpe.Encoder(bpe.default_path()).encode_many(odd) == [np.array(ids_of(lib, t), dtype="<u4").tobytes() for t in odd]
 
 
+def test_encoder_equals_the_library_on_any_white_space(lib):
+    rng = random.Random(4)
+    parts = ["a", "B", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u205f", "\u3000", "\u200b", "'s", "'re", "é", "12", ".", "!?", "_", "日本", "½", "😀", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(20_000)]
+    enc = bpe.Encoder(bpe.default_path(), keep=3000)
+    got = [x for i in range(0, len(texts), 1000) for x in enc.encode_many(texts[i : i + 1000])]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
 def test_encoder_drops_what_it_holds_and_goes_on(lib):
     enc = bpe.Encoder(bpe.default_path(), keep=5)
     texts = ["one two three four", "five six seven eight nine ten", "one two"]
@@ -91,11 +101,38 @@ def test_packing_places_each_id_once(spark, lib, odd_docs, limits):
         assert waste == 0
 
 
-def test_packing_takes_nulls_repeats_and_empty_tables(spark, odd_docs, no_docs):
-    assert packing.pack_documents(odd_docs).agg({"length": "sum"}).first()[0] > 0
+def test_packing_takes_nulls_repeats_and_empty_tables(spark, lib, odd_docs, no_docs):
+    """Rows without an id and rows that repeat one are packed each for itself: each row's ids are there as often as the row."""
+    want, got = defaultdict(int), defaultdict(int)
+    for r in odd_docs.collect():
+        want[r.doc_id] += len(ids_of(lib, r.text)) + 1
+    rows = packing.pack_documents(odd_docs).collect()
+    packed(rows, packing.Limits())
+    for p in rows:
+        got[p.doc_id] += p.length
+    assert got == want
     assert packing.pack_documents(no_docs).count() == 0
 
 
+def test_packing_of_documents_with_prompts(spark, lib):
+    """The third limit binds where prompts bear no loss: no sequence has more loss-bearing tokens than it allows."""
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    texts = [(i, words(rng.randrange(2, 60)), rng.randrange(0, 100)) for i in range(200)]
+    docs = spark.createDataFrame([(i, t, min(c, len(t))) for i, t, c in texts], "doc_id long, text string, prompt int")
+    limits = packing.Limits(128, 8, 40)
+    rows = packing.pack_documents(docs, limits, prompt_chars="prompt").collect()
+    by_doc, _ = packed(rows, limits)
+    loss_from = {i: len(ids_of(lib, t[: min(c, len(t))])) for i, t, c in texts}
+    loss, most = defaultdict(int), defaultdict(int)
+    for p in rows:
+        loss[p.sequence_id] += max(0, p.start + p.length - max(p.start, loss_from[p.doc_id]))
+        most[p.sequence_id] += p.length
+    assert max(loss.values()) <= 40 < max(most.values())
+    for i, t, _ in texts:
+        assert sum(p.length for p in by_doc[i]) == len(ids_of(lib, t)) + 1
+
+
 def test_packing_keeps_all_three_limits_with_prompts():
     rng = random.Random(1)
     limits = packing.Limits(100, 5, 60)
