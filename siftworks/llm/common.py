@@ -11,21 +11,35 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (single-machine tests).
-LOCAL_SCRATCH = "/tmp/checkpoints"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a local one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    """The folder that the cluster shares, from spark.checkpoint.dir. Only a session whose master is local may leave it unset, as
+    tests do; it gets one of its own. On a cluster a folder of one machine would lose what other machines write, so there it
+    is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = getattr(spark.sparkContext, "_siftworks_scratch", None) or tempfile.mkdtemp(prefix="siftworks-scratch-")
+        spark.sparkContext._siftworks_scratch = folder
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/siftworks/{tag}-{uuid.uuid4().hex}"
+    """A new path under a folder of this application, which its file system deletes when the application ends. What an application
+    that was killed leaves there may be deleted by anyone: <spark.checkpoint.dir>/siftworks/<application id>."""
+    sc = spark.sparkContext
+    own = f"{scratch_dir(spark)}/siftworks/{sc.applicationId}"
+    if getattr(sc, "_siftworks_own", None) != own:
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._siftworks_own = own
+    return f"{own}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -33,7 +47,44 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._siftworks_path = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what materialize wrote, once nothing that is still to be computed reads it."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._siftworks_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, with as many underscores behind it as keep it apart from the frames' columns (which Spark tells apart by letters
+    alone, not by their case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Keys with at least this share of all rows are joined by a broadcast of their values, which are then as many at most.
+HOT_SHARE = 1024
+
+
+def join_by_key(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of per_key, which has each key of rows once and n, how many of the `total` rows have it; without n.
+
+    The keys with more than total / HOT_SHARE rows, HOT_SHARE at most, are broadcast, so that none of them gathers its rows in one
+    task; all others meet in a shuffle. A null key is joined to nothing."""
+    values = [c for c in per_key.columns if c not in (key, "n")]
+    hot = F.col("n") * HOT_SHARE > total
+    few = per_key.where(hot).select(key, F.struct(*values).alias("_hot"))
+    marked = rows.join(F.broadcast(few), key, "left")
+    there = marked.where("_hot IS NOT NULL").select(*rows.columns, "_hot.*")
+    rest = marked.where("_hot IS NULL").select(*rows.columns).join(per_key.where(~hot).drop("n"), key).select(*rows.columns, *values)
+    return there.unionByName(rest)
 
 
 def bucket_of_id(doc_id: Column) -> Column:
