@@ -74,18 +74,20 @@ def _one_of(words: list[str]):
 def detect_language(c: Column, least_words: int = 50, least_share: float = 0.02) -> Column:
     """The language whose function words have the largest share, ties in table order; null for short or unclear text."""
     words = F.regexp_extract_all(F.lower(text(c)), F.lit(r"(\p{L}+)"), F.lit(1))
+    any_language = sorted({word for line in STOPWORDS.values() for word in line.split()})
+    # One pass over all words leaves the function words, which the languages then count among.
 
-    def best(w: Column) -> Column:
-        scores = []
+    def best(p: Column) -> Column:
+        scores, n, w = [], p["n"], p["w"]
         for rank, (lang, line) in enumerate(STOPWORDS.items()):
-            share = F.size(F.filter(w, _one_of(line.split()))) / F.size(w)
+            share = F.size(F.filter(w, _one_of(line.split()))) / F.greatest(n, F.lit(1))
             if lang in DIACRITICS:
                 share = share + F.when(text(c).rlike(f"[{DIACRITICS[lang]}]"), 0.01).otherwise(0.0)
             scores.append(F.struct(share.alias("score"), F.lit(-rank).alias("rank"), F.lit(lang).alias("lang")))
         top = F.array_max(F.array(*scores))
-        return F.get(F.transform(F.array(top), lambda t: F.when((F.size(w) >= least_words) & (t["score"] >= least_share), t["lang"])), F.lit(0))
+        return F.get(F.transform(F.array(top), lambda t: F.when((n >= least_words) & (t["score"] >= least_share), t["lang"])), F.lit(0))
 
-    return F.get(F.transform(F.array(words), best), F.lit(0))
+    return F.get(F.transform(F.array(words), lambda all_words: F.get(F.transform(F.array(F.struct(F.size(all_words).alias("n"), F.filter(all_words, _one_of(any_language)).alias("w"))), best), F.lit(0))), F.lit(0))
 
 
 def language_flag(c: Column, targets: list[str]) -> Column:

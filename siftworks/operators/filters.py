@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,15 @@ COUNTRIES = (
     "Austria", "Belgium", "Bulgaria", "Croatia", "Cyprus", "Czech", "Denmark", "Estonia", "Finland", "France", "Germany", "Greece", "Hungary", "Ireland", "Italy", "Latvia", "Lithuania",
     "Luxembourg", "Malta", "Netherlands", "Poland", "Portugal", "Romania", "Slovakia", "Slovenia", "Spain", "Sweden", "Norway", "Switzerland", "Iceland", "UK", "United Kingdom",
 )
+#: Texts, in lower case, of which one at least is in whatever a pattern matches: a plain search that saves most runs of the pattern.
+GATES = {
+    "us_only": ("us only", "us-only", "states only", "in the us", "in the united states", "authorized to work", "verify", "w2", "w-2"),
+    "clearance": ("clearance", "ts/sci", "public trust"),
+    "travel": ("travel",),
+    "grind_culture": ("996", "70 hour", "70-hour", "hourweek", "hoursweek", "hour/week", "hours/week", "work hard", "hustle culture"),
+    "eu_citizenship": ("eu citizen", "eu passport", "european union citizenship", "eu work permit"),
+    "latam_payroll": ("latam", "latin america"),
+}
 OPEN_ENDED = ("and more", "worldwide", "among others", "not limited to", "etc")
 
 
@@ -63,36 +73,61 @@ def fresh(posted: Column, cutoff: Column) -> Column:
     return F.coalesce(posted_time(posted) >= cutoff, F.lit(True))
 
 
-def first_hit(hay: Column, patterns: dict[str, str]) -> Column:
-    return F.coalesce(*(F.when(hay.rlike(unicode(p)), F.lit(name)) for name, p in patterns.items())) if patterns else F.lit(None).cast("string")
+def folded(c: Column) -> Column:
+    """Lower case, also for the letters that match an ASCII letter when case is ignored."""
+    return F.lower(F.translate(c, "\u017f\u212a\u0130\u0131", "skii"))
+
+
+def hit(hay: Column, name: str, pattern: str, low: Column | None = None) -> Column:
+    found = hay.rlike(unicode(pattern))
+    if low is None or pattern not in (AUTO_DROP.get(name), FLAGS.get(name)) or name not in GATES:
+        return found
+    gate = F.lit(False)
+    for part in GATES[name]:
+        gate = gate | low.contains(part)
+    return F.when(gate, found).otherwise(F.lit(False))
+
+
+def first_hit(hay: Column, patterns: dict[str, str], low: Column | None = None) -> Column:
+    return F.coalesce(*(F.when(hit(hay, name, p, low), F.lit(name)) for name, p in patterns.items())) if patterns else F.lit(None).cast("string")
 
 
-def all_hits(hay: Column, patterns: dict[str, str]) -> Column:
-    return F.filter(F.array(*(F.when(hay.rlike(unicode(p)), F.lit(name)) for name, p in patterns.items())), lambda x: x.isNotNull())
+def all_hits(hay: Column, patterns: dict[str, str], low: Column | None = None) -> Column:
+    if not patterns:
+        return F.expr("CAST(array() AS array<string>)")
+    return F.filter(F.array(*(F.when(hit(hay, name, p, low), F.lit(name)) for name, p in patterns.items())), lambda x: x.isNotNull())
 
 
 def closed_list(hay: Column, rules: Rules) -> Column:
     """At least four countries, and neither an open end nor a wanted place."""
-    found = sum((F.when(hay.rlike(rf"(?U)\b\Q{c}\E\b"), 1).otherwise(0) for c in rules.countries), F.lit(0))
+    if not rules.countries:
+        return F.lit(False)
+    # All countries in one pass; longer names first, so that none hides in another.
+    names = "|".join(rf"\Q{c}\E" for c in sorted(rules.countries, key=len, reverse=True))
+    first = "".join(sorted({re.escape(c[0]) for c in rules.countries}))
+    found = F.size(F.array_distinct(F.regexp_extract_all(hay, F.lit(rf"(?U)\b(?=[{first}])({names})\b"), F.lit(1))))
     low = F.lower(hay)
-    other = [low.contains(m.lower()) for m in (*rules.open_ended, *rules.must_include)]
-    excused = other[0] if other else F.lit(False)
-    for o in other[1:]:
-        excused = excused | o
-    return (found >= 4) & ~excused
+    excused = F.lit(False)
+    for m in (*rules.open_ended, *rules.must_include):
+        excused = excused | low.contains(m.lower())
+    return F.when(found >= 4, ~excused).otherwise(F.lit(False))
 
 
 def hard_filter(df: DataFrame, rules: Rules, title: str = "title", place: str = "loc", pay: str = "salary", body: str = "jd_text") -> DataFrame:
-    """df with drop_reason (null if the row stays) and flags (empty if it goes). The title is looked at first."""
+    """df with drop_reason (null if the row stays) and flags (empty if it goes). The title is looked at first. Columns of df named
+    drop_reason or flags are replaced."""
     hay = F.concat_ws(" ", *(text(F.col(c)) for c in (title, place, pay, body)))
-    df = df.withColumn("_hay", hay)
-    by_pattern = F.coalesce(first_hit(F.col(title), rules.title_drop), first_hit(F.col("_hay"), rules.auto_drop))
-    reason = F.when(by_pattern.isNotNull(), F.concat(F.lit("auto-drop: "), by_pattern))
+    kept = [c for c in df.columns if c not in ("drop_reason", "flags")]
+    # The row beside the text, so that no column of df can clash with the text's two forms.
+    rows = df.select(F.struct(*kept).alias("row"), hay.alias("hay")).withColumn("low", folded(F.col("hay")))
+    by_pattern = F.coalesce(first_hit(F.col(f"row.{title}"), rules.title_drop), first_hit(F.col("hay"), rules.auto_drop, F.col("low")))
+    named = F.concat(F.lit("auto-drop: "), by_pattern)
     if rules.closed_list:
-        reason = reason.when(closed_list(F.col("_hay"), rules), F.lit("auto-drop: closed_location_list (closed list, candidate location absent)"))
-    df = df.withColumn("drop_reason", reason)
+        named = F.coalesce(named, F.when(closed_list(F.col("hay"), rules), F.lit("auto-drop: closed_location_list (closed list, candidate location absent)")))
+    rows = rows.withColumn("drop_reason", named)
     none = F.expr("CAST(array() AS array<string>)")
-    return df.withColumn("flags", F.when(F.col("drop_reason").isNull() | F.col("drop_reason").contains("closed_location_list"), all_hits(F.col("_hay"), rules.flags)).otherwise(none)).drop("_hay")
+    flags = F.when(F.col("drop_reason").isNull() | F.col("drop_reason").contains("closed_location_list"), all_hits(F.col("hay"), rules.flags, F.col("low"))).otherwise(none)
+    return rows.withColumn("flags", flags).select("row.*", "drop_reason", "flags")
 
 
 def drop_param(reason: Column) -> Column:
@@ -103,7 +138,7 @@ def drop_param(reason: Column) -> Column:
 
 def eligibility_drop(flags: Column, modes: dict[str, str]) -> Column:
     """After annotation: work arrangement, then employment, then language, each only in the mode `drop`."""
-    order = (("work_arrangement", "work_arrangement_off_target"), ("employment_mismatch", "employment_off_target"), ("language_mismatch", "non_target_language"))
+    order = (("work_arrangement", "work_arrangement_mismatch"), ("employment_mismatch", "employment_off_target"), ("language_mismatch", "non_target_language"))
     return F.coalesce(F.lit(None).cast("string"), *(F.when(F.array_contains(flags, flag), F.lit(mode)) for mode, flag in order if modes.get(mode) == "drop"))
 
 
@@ -113,14 +148,15 @@ def liveness_drop(verdict: Column, body: Column, tripwire: Column) -> Column:
 
 def read_cap(df: DataFrame, order: list[Column], cap: int, body: str = "jd_text", tripwire: Column | None = None) -> DataFrame:
     """df with jd_status: from_enumeration for long bodies, card_only for tripwire rows, to_read for the first `cap` of the rest
-    in order, deferred beyond. The cap is the feature: reads are dear. Ranks come from two steps, within partitions of the
-    order's range and over their counts, so no task sees all rows."""
+    in order, deferred beyond. The cap is the feature: reads are dear. The first `cap` are found by a top-k, within partitions
+    first; all other rows are compared with the last of them. Of rows that tie with the last one, all are read: an order
+    that tells rows apart makes the cap exact."""
     kind = F.when(F.length(text(F.col(body))) > 400, "from_enumeration")
     if tripwire is not None:
         kind = kind.when(tripwire, "card_only")
     df = df.withColumn("jd_status", kind)
     wanting = df.where("jd_status IS NULL").select(F.struct(*order).alias("_o"))
-    last = wanting.orderBy("_o").limit(cap).agg(F.max("_o").alias("_last"))  # one row
+    last = wanting.orderBy("_o").limit(max(cap, 0)).agg(F.max("_o").alias("_last"))  # one row
     return df.crossJoin(F.broadcast(last)).withColumn("jd_status", F.coalesce("jd_status", F.when(F.struct(*order) <= F.col("_last"), "to_read").otherwise("deferred"))).drop("_last")
 
 

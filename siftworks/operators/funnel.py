@@ -26,8 +26,12 @@ def over_constraint(df: DataFrame, reason: str = "drop_reason", least: float = 0
 
 
 def source_stats(df: DataFrame, sources: DataFrame, source: str = "source") -> DataFrame:
-    """A row for each known source, with raw rows (0 if it brought none)."""
-    return sources.join(df.groupBy(source).agg(F.count(F.lit(1)).alias("raw")), source, "left").withColumn("raw", F.coalesce("raw", F.lit(0).cast("long")))
+    """A row for each known source, with raw rows (0 if it brought none). If sources has fetches and answered (how many were
+    tried, and how many came back well), also http_ok (one answer at least) and source_down (none, though tried)."""
+    out = sources.join(df.groupBy(source).agg(F.count(F.lit(1)).alias("raw")), source, "left").withColumn("raw", F.coalesce("raw", F.lit(0).cast("long")))
+    if not {"fetches", "answered"} <= set(sources.columns):
+        return out
+    return out.withColumn("http_ok", F.col("answered") > 0).withColumn("source_down", (F.col("raw") == 0) & (F.col("fetches") > 0))
 
 
 def flag_counts(df: DataFrame, names: list[str], flags: str = "flags") -> DataFrame:

@@ -45,8 +45,10 @@ def trailing(stats: DataFrame, window: int) -> DataFrame:
     """stats of the last `window` runs (all if it is 0 or less), with pos: 1 for the latest."""
     runs = stats.select("run_at").distinct()
     if window > 0:
-        runs = runs.orderBy(F.desc("run_at")).limit(window)
-    return stats.join(F.broadcast(runs.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("run_at"))))), "run_at")
+        few = runs.orderBy(F.desc("run_at")).limit(window)
+        return stats.join(F.broadcast(few.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("run_at"))))), "run_at")
+    # Without a window all runs count: a row for each scan ever made, numbered in one task but not broadcast.
+    return stats.join(runs.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("run_at")))), "run_at")
 
 
 def per_platform(stats: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -92,6 +94,12 @@ def findings(stats: DataFrame, t: Thresholds = Thresholds(), active: list[str] |
     return rows.orderBy(rank, "platform")
 
 
+def finding_counts(found: DataFrame) -> DataFrame:
+    """flag, n: how many findings there are of each kind, the gravest first."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv]), F.col("flag"))
+    return found.groupBy("flag").agg(F.count(F.lit(1)).alias("n")).orderBy(rank)
+
+
 def due_review(runs: DataFrame, acks: DataFrame, due: int) -> DataFrame:
     """One row: sessions since the last acknowledged run, and whether a review is due."""
     last = acks.agg(F.max("run_at").alias("_ack"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import make_key
+
 #: States of a record.
 STATUSES = ("dropped", "shortlisted", "applied", "passed", "unverified_blocked")
 
@@ -61,11 +63,54 @@ def saturation(df: DataFrame, company: str, family: str, status: str, url: str,
     return out.withColumn("applied_variants", n).withColumn("saturated", n >= least).drop("_all", "_own")
 
 
+def company_history(cands: DataFrame, seen: DataFrame, most: int = 8, least: int = 2, company: str = "company_key", family: str = "family", seq: str = "seq", payload: tuple[str, ...] = ("family", "status")) -> DataFrame:
+    """cands with prior (the first `most` records of the same company in the log, by seq), applied_variants (applied records of
+    the same company and role family) and saturated. A candidate's own url is not in the log any more when this is asked.
+
+    The first records are ranked within salted parts before they meet, so no company is gathered in one task."""
+    named = seen.where(F.col(company) != "")
+    parts = named.withColumn("_salt", F.pmod(F.xxhash64(seq), F.lit(64)))
+    firsts = parts.withColumn("_r", F.row_number().over(Window.partitionBy(company, "_salt").orderBy(seq))).where(F.col("_r") <= most)
+    firsts = firsts.withColumn("_r", F.row_number().over(Window.partitionBy(company).orderBy(seq))).where(F.col("_r") <= most)
+    lists = firsts.groupBy(company).agg(F.transform(F.array_sort(F.collect_list(F.struct(seq, *payload))), lambda p: F.struct(*[p[c].alias(c) for c in payload])).alias("prior"))
+    applied = named.where(F.col("status") == "applied").groupBy(company, family).agg(F.count(F.lit(1)).alias("applied_variants"))
+    out = cands.join(lists, company, "left").join(applied, [company, family], "left")
+    return out.withColumn("applied_variants", F.coalesce("applied_variants", F.lit(0).cast("long"))).withColumn("saturated", F.col("applied_variants") >= least)
+
+
+def new_records(df: DataFrame, now: Column) -> DataFrame:
+    """df with what a record starts with where it has nothing: fit, archetype, keyword_source (the role), key, first_seen, synced."""
+    start = {
+        "fit": F.lit("N/A"), "archetype": F.lit(""), "keyword_source": F.col("role"), "key": make_key(F.col("company"), F.col("role"), F.col("locdom")),
+        "first_seen": F.date_format(now, "yyyy-MM-dd"), "synced_to_notion": F.lit(False),
+    }
+    return df.withColumns({k: F.coalesce(F.col(k), v) if k in df.columns else v for k, v in start.items()})
+
+
 def append(df: DataFrame, path: str) -> None:
     """Add checked records to a log folder."""
     checked(df).write.mode("append").parquet(path)
 
 
+def upsert_runs(ledger: DataFrame, run: DataFrame, keys: tuple[str, ...] = ("day", "label")) -> DataFrame:
+    """The ledger of runs with the rows of run in place of those of the same day and label."""
+    return ledger.join(run, list(keys), "left_anti").unionByName(run, allowMissingColumns=True)
+
+
+def bump_counters(counters: DataFrame, due: dict[str, int], today: Column) -> DataFrame:
+    """(name, last, sessions_since, due_at_sessions) after one more session; counters that are not there yet start today."""
+    start = counters.sparkSession.createDataFrame(list(due.items()), "name string, due long")  # a few names
+    both = start.join(counters, "name", "full_outer")
+    return both.select(
+        "name", F.coalesce("last", F.date_format(today, "yyyy-MM-dd")).alias("last"), (F.coalesce("sessions_since", F.lit(0)) + 1).cast("long").alias("sessions_since"), F.coalesce("due_at_sessions", "due").alias("due_at_sessions")
+    )
+
+
+def last_ran_at(ledger: DataFrame, ran_at: str = "ran_at") -> DataFrame:
+    """One row: the latest time of all runs, null without one that can be read."""
+    return ledger.agg(F.max(F.try_to_timestamp(F.replace(F.left(F.col(ran_at), F.lit(19)), F.lit("T"), F.lit(" ")))).alias("ran_at"))
+
+
 def superseding(log: DataFrame, updates: DataFrame, next_seq: Column, url: str = "url_key", fields: list[str] | None = None) -> DataFrame:
     """New versions of the records that updates name by url, with the non-null fields of updates laid over them."""
     fields = fields or [c for c in updates.columns if c != url]

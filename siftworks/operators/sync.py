@@ -37,6 +37,11 @@ def schema_gaps(have: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.where(~F.col("_w").eqNullSafe(F.col("_h"))).select("name", F.when(F.col("_h").isNull(), "missing property").otherwise("wrong type").alias("problem"))
 
 
+def option_gaps(have: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, option) frames to those that a property of the external table lacks."""
+    return wanted.select("name", "option").distinct().join(have, ["name", "option"], "left_anti").orderBy("name", "option")
+
+
 def written_wrong(sent: DataFrame, read: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Rows whose values are not there as they were sent."""
     a, b = sent.select(*keys, F.struct(*values).alias("_a")), read.select(*keys, F.struct(*values).alias("_b"))

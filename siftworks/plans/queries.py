@@ -55,10 +55,24 @@ def sql_patterns(patterns: dict[str, str]) -> dict[str, str]:
 
 
 SQL_DROP = sql_patterns(filters.AUTO_DROP)
-# Two alternatives of us_only end in a boundary of their own.
-SQL_DROP["us_only"] = q("(?i)" + sql_word(filters.AUTO_DROP["us_only"].removeprefix("(?i)").removeprefix(r"\b").replace(r"W-?2\b", "W-?2")))
+# A boundary behind a sign asks for a letter, digit or underscore after it.
+_LETTER, _BEFORE = r"[\p{L}\p{M}\p{N}_]", r"(^|[^\p{L}\p{M}\p{N}_])"
+_BY_SHARE = r"travel (up to |approximately |~)?\d{1,3}\s?%"
+_TRAVEL = filters.AUTO_DROP["travel"].removeprefix(r"(?i)\b").removesuffix(r"\b").replace(_BY_SHARE + "|", "")
+SQL_DROP["travel"] = q(f"(?i){sql_word(_TRAVEL)}|{_BEFORE}{_BY_SHARE}{_LETTER}")
+# Of us_only the last alternative alone ends in a boundary.
+_US = filters.AUTO_DROP["us_only"].removeprefix(r"(?i)\b").replace(r"W-?2\b", r"W-?2($|[^\p{L}\p{M}\p{N}_])")
+SQL_DROP["us_only"] = q(f"(?i){_BEFORE}{_US}")
 SQL_FLAG = sql_patterns(filters.FLAGS)
-SQL_HAY = "concat_ws(' ', array_to_string(list_slice(string_split(text, ' '), 1, 8), ' '), '', '', text)"
+#: What postings say beside their text, by id: every filter and flag has its cases, and near misses of them.
+PHRASES = (
+    "Must be located in the US.", "You hold a TS/SCI clearance.", "Travel up to 25% of the time.", "We know no hustle culture.", "Core hours 9am EST.", "An EU passport is wanted.",
+    "A LATAM team with payroll in local currency.", "Remote in Austria, Belgium, France, Germany, Spain.", "Remote in Austria, Belgium, France, Germany and more.", "Open to Poland, Austria and Belgium.",
+    "Authorized to work in the U.S. and EU citizenship.", "W2 only, 20% travel", "70-hour weeks; security clearance", "Busonly, Usually, thus-only", "Apply at https://jobs.lever.co/acme/42.", "Poland, United Kingdom, UK, Norway; Pacific Time",
+)
+EVERY = 37
+SQL_PHRASE = f"coalesce(' ' || ([{', '.join(map(q, PHRASES))}])[CAST(doc_id % {EVERY} AS INT) + 1], '')"
+SQL_HAY = f"concat_ws(' ', array_to_string(list_slice(string_split(text, ' '), 1, 8), ' '), '', '', text || {SQL_PHRASE})"
 SQL_COUNTRIES = " + ".join(f"CASE WHEN regexp_matches(hay, {q(sql_word(c))}) THEN 1 ELSE 0 END" for c in filters.COUNTRIES)
 SQL_CLOSED = f"(({SQL_COUNTRIES}) >= 4 AND NOT ({' OR '.join(f'contains(lower(hay), {q(m)})' for m in filters.OPEN_ENDED)}))"
 SQL_REASON = f"CASE {' '.join(f'WHEN regexp_matches(hay, {p}) THEN {q('auto-drop: ' + k)}' for k, p in SQL_DROP.items())} WHEN {SQL_CLOSED} THEN 'auto-drop: closed_location_list (closed list, candidate location absent)' END"
@@ -78,8 +92,14 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """candidates whose bodies also say one of PHRASES, for some ids."""
+    said = F.get(F.array(*map(F.lit, PHRASES)), (F.col("doc_id") % EVERY).cast("int"))
+    return candidates(spark, sf_dir).withColumn("jd_text", F.concat("jd_text", F.coalesce(F.concat(F.lit(" "), said), F.lit(""))))
+
+
 def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.hard_filter(candidates(spark, sf_dir), filters.Rules())
+    return filters.hard_filter(postings(spark, sf_dir), filters.Rules())
 
 
 # --- text ------------------------------------------------------------------------------------------------------------
@@ -160,6 +180,69 @@ def json_props(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
 
 
+# --- captured payloads -----------------------------------------------------------------------------------------------
+
+#: Parts as postings of a dozen sources: for each kind of payload what wraps its items, an item as Spark SQL over a part, and the
+#: candidate (title, company, loc, url, posted_at, salary, jd_text) that it must become, as SQL over the same part.
+_URL = "'https://site.example/' || p_partkey"
+_KEY, _DAY = "CAST(p_partkey AS STRING)", "'2024-01-' || lpad(CAST(p_partkey % 28 + 1 AS STRING), 2, '0') || 'T08:30:00'"
+_UNIX = "(1704096000 + p_partkey * 60)"
+_J = lambda **f: "to_json(named_struct(" + ", ".join(f"'{k}', {v}" for k, v in f.items()) + "))"
+_PLAIN_DAY = "'2024-01-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') || 'T08:30:00'"
+_FROM_UNIX = "strftime(TIMESTAMP '2024-01-01 08:00:00' + p_partkey * INTERVAL 1 MINUTE, '%Y-%m-%dT%H:%M:%S')"
+SOURCES = {
+    "remotive": ('{"jobs":[', ",", "]}", _J(title="p_name", company_name="p_brand", candidate_required_location="p_type", url=_URL, publication_date=_DAY, salary="concat(p_size, 'k EUR')", description="concat('<p>', p_type, '</p> <b>x</b>')"), ("p_name", "p_brand", "p_type", _URL, _PLAIN_DAY, "p_size || 'k EUR'", "p_type || ' x'")),
+    "remoteok": ('[{"legal":"notice"},', ",", "]", _J(position="CASE WHEN p_partkey % 36 <> 1 THEN p_name END", company="p_brand", location="'Anywhere'", url=_URL, date=_DAY, salary_min="CASE WHEN p_size % 2 = 0 THEN p_size END", salary_max="p_size + 10", description="p_type"), ("CASE WHEN p_partkey % 36 <> 1 THEN p_name END", "p_brand", "'Anywhere'", _URL, _PLAIN_DAY, "CASE WHEN p_size % 2 = 0 THEN p_size || '-' ELSE '' END || (p_size + 10)", "p_type")),
+    "justjoin": ('{"data":[', ",", "]}", _J(title="p_name", companyName="p_brand", city="'Krakow'", workplaceType="CASE p_size % 2 WHEN 0 THEN 'remote' ELSE 'hybrid' END", slug="concat('job-', p_partkey)", publishedAt=_DAY, employmentTypes="array(named_struct('from', CAST(NULL AS INT), 'to', CAST(NULL AS INT), 'currency', 'x', 'unit', 'x'), named_struct('from', p_size * 100, 'to', p_size * 200, 'currency', 'pln', 'unit', 'month'))"), ("p_name", "p_brand", "'Krakow (' || CASE p_size % 2 WHEN 0 THEN 'remote' ELSE 'hybrid' END || ')'", "'https://justjoin.it/job-offer/job-' || p_partkey", _PLAIN_DAY, "(p_size * 100) || ' - ' || (p_size * 200) || ' PLN/month'", "NULL")),
+    "himalayas": ('{"jobs":[', ",", "]}", _J(title="p_name", companyName="p_brand", locationRestrictions="CASE WHEN p_size % 2 = 0 THEN array('A', 'B', 'C', 'D', 'E') ELSE CAST(array() AS ARRAY<STRING>) END", applicationLink=f"CASE WHEN p_size % 3 = 0 THEN NULL ELSE {_URL} END", guid=f"concat({_URL}, '/g')", pubDate=_UNIX, minSalary="p_size", maxSalary="p_size * 2", currency="'EUR'", description="concat('<i>', p_type, '</i>')"), ("p_name", "p_brand", "CASE WHEN p_size % 2 = 0 THEN 'A, B, C, D' ELSE 'Worldwide' END", f"CASE WHEN p_size % 3 = 0 THEN {_URL} || '/g' ELSE {_URL} END", _FROM_UNIX, "p_size || '-' || (p_size * 2) || ' EUR'", "p_type")),
+    "greenhouse": ('{"jobs":[', ",", "]}", _J(title="p_name", location="named_struct('name', p_type)", absolute_url=_URL, updated_at=_DAY, content="concat('&lt;p&gt;', p_type, ' &amp;amp; more&lt;/p&gt;')"), ("p_name", "page", "p_type", _URL, _PLAIN_DAY, "NULL", "p_type || ' &amp; more'")),
+    "lever": ("[", ",", "]", _J(text="p_name", categories="named_struct('location', p_type)", hostedUrl=_URL, createdAt=f"{_UNIX} * 1000", descriptionPlain="p_brand"), ("p_name", "page", "p_type", _URL, _FROM_UNIX, "NULL", "p_brand")),
+    "workable": ('{"results":[', ",", "]}", _J(title="p_name", shortcode=_KEY, city="'Paris'", country="CASE WHEN p_size % 3 = 0 THEN '' ELSE 'France' END", remote="p_size % 2 = 0", published=_DAY), ("p_name", "page", "'Paris' || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' France' END || CASE WHEN p_size % 2 = 0 THEN ' remote' ELSE '' END", "'https://apply.workable.com/' || page || '/j/' || p_partkey || '/'", _PLAIN_DAY, "NULL", "NULL")),
+    "pinpoint": ('{"data":[', ",", "]}", _J(title="p_name", location="named_struct('name', CASE WHEN p_size % 2 = 0 THEN 'Skopje' END, 'city', 'Bitola')", workplace_type_text="CASE WHEN p_size % 3 = 0 THEN '' ELSE 'Hybrid' END", url=_URL, description="concat('<p>', p_type, '</p>')", compensation="concat(p_size, ' EUR')"), ("p_name", "page", "CASE WHEN p_size % 2 = 0 THEN 'Skopje' ELSE 'Bitola' END || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' (Hybrid)' END", _URL, "NULL", "p_size || ' EUR'", "p_type")),
+    "ashby": ('{"jobs":[', ",", "]}", _J(title="p_name", location="p_type", jobUrl=f"CASE WHEN p_size % 2 = 0 THEN '' ELSE {_URL} END", applyUrl=f"concat({_URL}, '/apply')", publishedAt=_DAY, compensation="named_struct('compensationTierSummary', concat(p_size, 'K'))", descriptionPlain="p_brand"), ("p_name", "''", "p_type", f"{_URL} || CASE WHEN p_size % 2 = 0 THEN '/apply' ELSE '' END", _PLAIN_DAY, "p_size || 'K'", "p_brand")),
+    "rss": ("<rss>", "\n", "</rss>", f"concat('<item><title>', CASE WHEN p_size % 2 = 0 THEN concat(p_brand, ': ') ELSE '' END, p_name, '</title><link>', {_URL}, '</link><region>', CASE WHEN p_size % 3 = 0 THEN '' ELSE 'EU' END, '</region><category>Any</category><pubDate>', {_DAY}, '</pubDate><description>&lt;p&gt;', p_type, '&lt;/p&gt;</description></item>')", ("p_name", "CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END", "CASE WHEN p_size % 3 = 0 THEN 'Any' ELSE 'EU' END", _URL, _PLAIN_DAY, "NULL", "p_type")),
+    "sitemap": ("<urlset>", "", "</urlset>", f"concat('<url><loc>', {_URL}, '</loc><lastmod>', {_DAY}, '</lastmod><image:caption>', p_brand, ' - ', p_name, ' (remote job)</image:caption></url>')", ("p_name", "p_brand", "''", _URL, _PLAIN_DAY, "NULL", "NULL")),
+    "working_nomads": ("[", ",", "]", _J(title="p_name", company_name="p_brand", location="p_type", url=_URL, pub_date=_DAY, description="concat('<p>', p_type, '</p>')"), ("p_name", "p_brand", "p_type", _URL, _PLAIN_DAY, "NULL", "p_type")),
+    "guest_cards": ("<ul>", "", "</ul>", f"""concat('<li class="card"><a class="x" href="', {_URL}, '?ref=a">go</a><h3 class="base-title">', p_name, '</h3><h4 class="subtitle"> ', p_brand, '</h4><span class="location">', p_type, '</span><time datetime="', {_DAY}, '"></time></li>')""", ("p_name", "p_brand", "p_type", _URL, _PLAIN_DAY, "NULL", "NULL")),
+}
+_COLUMNS = ("title", "company", "loc", "url", "posted_at", "salary", "jd_text")
+_PAGE = "'board' || CAST(floor(p_partkey / 13) AS INT) % 4"
+
+
+def captured(spark, sf_dir):
+    """(platform_ord, platform, page, payload): four pages for each source, and one of each that can't be read."""
+    names = list(SOURCES)
+    out = None
+    for i, (name, (head, between, tail, item, _)) in enumerate(SOURCES.items()):
+        p = read(spark, sf_dir, "part").where(f"p_partkey % {len(names)} = {i}").select(F.expr(_PAGE).alias("page"), F.expr(item).alias("item"))
+        pages = p.groupBy("page").agg(F.concat(F.lit(head), F.array_join(F.collect_list("item"), between), F.lit(tail)).alias("payload"))
+        broken = spark.createDataFrame([("broken", "<<not this>>"), ("none", None)], "page string, payload string")
+        rows = pages.unionByName(broken).select(F.lit(i).alias("platform_ord"), F.lit(name).alias("platform"), "page", "payload")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _expected(i: int, name: str) -> str:
+    values = ", ".join(f"trim({v}) AS {c}" if c in ("title", "company", "loc", "url") else f"{v} AS {c}" for c, v in zip(_COLUMNS, SOURCES[name][4]))
+    return f"SELECT '{name}' AS platform, {values} FROM (SELECT *, {_PAGE.replace('floor(p_partkey / 13)', 'p_partkey // 13')} AS page FROM part WHERE p_partkey % {len(SOURCES)} = {i})"
+
+
+_EXPECTED = " UNION ALL ".join(_expected(i, name) for i, name in enumerate(SOURCES))
+
+
+@query(f"SELECT * FROM ({_EXPECTED}) WHERE title IS NOT NULL")
+def payload_candidates(spark, sf_dir):
+    out, _ = payloads.parse_all(captured(spark, sf_dir), {name: name for name in SOURCES})
+    return out.select("platform", *_COLUMNS)
+
+
+@query(f"SELECT platform, count(title) AS raw, count(title) = 0 AS source_down FROM ({_EXPECTED} UNION ALL SELECT 'silent', NULL, NULL, NULL, NULL, NULL, NULL, NULL) GROUP BY 1")
+def source_status(spark, sf_dir):
+    silent = spark.createDataFrame([(99, "silent", "1", "{}")], "platform_ord int, platform string, page string, payload string")
+    _, status = payloads.parse_all(captured(spark, sf_dir).unionByName(silent), {name: name for name in SOURCES} | {"silent": "remotive"})
+    return status
+
+
 # --- projection, filter ----------------------------------------------------------------------------------------------
 
 KEYWORDS = ("ring", "red", "bolt", "small", "blue", "gear")
@@ -330,13 +413,24 @@ def title_language(spark, sf_dir):
 _STATED = "CASE c_custkey % 6 WHEN 0 THEN 'We need Polish C1 and English B2. ' || c_name WHEN 1 THEN 'Polish is a nice to have for ' || c_name WHEN 2 THEN 'Application must be submitted in German, ' || c_name WHEN 3 THEN 'Fluent English required' WHEN 4 THEN c_name || ' speaks French at lunch' ELSE 'Native Dutch, fluent Czech' END"
 
 
-@query("SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'proficiency:polish' WHEN 2 THEN 'apply_in:german' WHEN 5 THEN 'proficiency:dutch' ELSE '' END AS stated FROM customer")
+# The languages that occur, in the detector's order; a window of 45 characters on either side of a language's name.
+_NAMED = [n for n in detect.LANGUAGES if n in ("polish", "german", "french", "dutch", "czech")]
+_NEAR = {n: rf"regexp_extract(t, '(.{{0,45}}\b{n}\b.{{0,45}})', 1)" for n in _NAMED}
+
+
+@query(rf"""SELECT c_custkey, CASE WHEN wall <> '' THEN 'apply_in:' || wall {" ".join(f"WHEN {w} <> '' AND NOT regexp_matches({w}, {q(detect.OPTIONAL)}) AND regexp_matches({w}, {q(detect.REQUIRED)}) THEN 'proficiency:{n}'" for n, w in _NEAR.items())} ELSE '' END AS stated
+FROM (SELECT *, regexp_extract(t, {q(detect.APPLY_IN + "(" + "|".join(_NAMED) + ")")}, 1) AS wall FROM (SELECT c_custkey, lower({_STATED}) AS t FROM customer))""")
 def stated_language(spark, sf_dir):
     r = detect.stated_language_requirement(F.expr(_STATED), ["en"])
     return read(spark, sf_dir, "customer").select("c_custkey", r.alias("r")).select("c_custkey", F.coalesce(F.concat_ws(":", "r.kind", "r.language"), F.lit("")).alias("stated"))
 
 
-@query("SELECT o_orderkey, CASE WHEN strftime(o_orderdate, '%Y-%m') < '1998-06' THEN strftime(o_orderdate, '%Y-%m') END AS passed FROM orders")
+@query(r"""SELECT o_orderkey, CASE WHEN m < '2028-06' THEN CAST(CAST(left(m, 4) AS INT) - 30 AS VARCHAR) || right(m, 3) END AS passed FROM (SELECT o_orderkey, CASE
+ WHEN regexp_matches(t, '\d{1,2}\.\d{4}') THEN regexp_extract(t, '(\d{1,2})\.(\d{4})', 2) || '-' || lpad(regexp_extract(t, '(\d{1,2})\.(\d{4})', 1), 2, '0')
+ WHEN regexp_matches(t, '\d{4}-\d{2}') THEN regexp_extract(t, '(\d{4}-\d{2})', 1)
+ ELSE regexp_extract(t, '[A-Z][a-z]+ (\d{4})', 1) || '-' || lpad(CAST(list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(left(regexp_extract(t, '([A-Z][a-z]+) \d{4}', 1), 3))) AS VARCHAR), 2, '0') END AS m
+ FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Project start: ' || strftime(d, '%m.%Y') WHEN 1 THEN 'we start in ' || strftime(d, '%B %Y') ELSE 'Expected start ' || strftime(d, '%Y-%m-%d') END AS t
+ FROM (SELECT o_orderkey, o_orderdate + INTERVAL 360 MONTH AS d FROM orders)))""")
 def start_date_passed(spark, sf_dir):
     # The orders are of the nineties; the detector takes years from 2000, so dates move on by 30 years and back.
     later = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'Project start: ' || date_format(add_months(o_orderdate, 360), 'MM.yyyy') WHEN 1 THEN 'we start in ' || date_format(add_months(o_orderdate, 360), 'MMMM yyyy') ELSE 'Expected start ' || date_format(add_months(o_orderdate, 360), 'yyyy-MM-dd') END")
@@ -347,23 +441,33 @@ def start_date_passed(spark, sf_dir):
 _OFFER = "CASE p_partkey % 5 WHEN 0 THEN 'Full-time B2B contract role' WHEN 1 THEN 'part time intern' WHEN 2 THEN 'Freelancer wanted' WHEN 3 THEN 'interim contractor, fixed term' ELSE p_name END"
 
 
-@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'full_time,contract,b2b' WHEN 1 THEN 'part_time,internship' WHEN 2 THEN 'freelance' WHEN 3 THEN 'contract' ELSE '' END AS found, p_partkey % 5 NOT IN (0, 4) AS off_target FROM part")
+_KINDS_SAID = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {q(p)}) THEN '{k}' END" for k, p in detect.EMPLOYMENT.items()) + "], lambda x: x IS NOT NULL), ',')"
+
+
+@query(f"SELECT p_partkey, found, found <> '' AND NOT regexp_matches(found, '(^|,)b2b(,|$)') AS off_target FROM (SELECT p_partkey, {_KINDS_SAID} AS found FROM (SELECT p_partkey, lower({_OFFER}) AS t FROM part))")
 def employment(spark, sf_dir):
     found = detect.detect_employment(F.expr(_OFFER))
     return read(spark, sf_dir, "part").select("p_partkey", found.alias("f")).select("p_partkey", F.array_join("f", ",").alias("found"), detect.employment_off_target(F.col("f"), ["b2b"]).alias("off_target"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'hybrid' WHEN 1 THEN 'on_site' WHEN 2 THEN 'remote' WHEN 3 THEN 'remote,on_site' ELSE '' END AS found FROM part")
+_WHERE = "CASE p_partkey % 5 WHEN 0 THEN 'Krakow (hybrid)' WHEN 1 THEN 'Warszawa (Office)' ELSE 'Berlin' END"
+_HOW = "CASE p_partkey % 5 WHEN 0 THEN 'we are fully remote' WHEN 2 THEN '100% Remote team' WHEN 3 THEN 'remote, 3 days in the office' ELSE p_name END"
+_MARKS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {q(p)}) THEN '{k}' END" for k, p in detect.ARRANGEMENT.items()) + "], lambda x: x IS NOT NULL), ',')"
+
+
+@query(f"""SELECT p_partkey, CASE tag WHEN '' THEN {_MARKS} WHEN 'remote' THEN tag WHEN 'hybrid' THEN tag ELSE 'on_site' END AS found
+FROM (SELECT p_partkey, regexp_extract(lower({_WHERE}), {q(detect.PLACE_TAG)}, 1) AS tag, lower({_WHERE}) || ' ' || lower({_HOW}) AS t FROM part)""")
 def arrangement(spark, sf_dir):
-    place = F.expr("CASE p_partkey % 5 WHEN 0 THEN 'Krakow (hybrid)' WHEN 1 THEN 'Warszawa (Office)' ELSE 'Berlin' END")
-    body = F.expr("CASE p_partkey % 5 WHEN 0 THEN 'we are fully remote' WHEN 2 THEN '100% Remote team' WHEN 3 THEN 'remote, 3 days in the office' ELSE p_name END")
-    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(detect.detect_work_arrangement(place, body), ",").alias("found"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(detect.detect_work_arrangement(F.expr(_WHERE), F.expr(_HOW)), ",").alias("found"))
+
+
+_TITLED = "CASE p_partkey % 6 WHEN 0 THEN 'Tech Lead ' WHEN 1 THEN 'Sr. ' WHEN 2 THEN 'Medior ' WHEN 3 THEN 'Head of ' WHEN 4 THEN 'Entry-level ' ELSE 'Leader ' END || p_name"
+_TERMS = sorted(detect.SENIORITY, key=len, reverse=True)
 
 
-@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'lead' WHEN 1 THEN 'senior' WHEN 2 THEN 'mid' WHEN 3 THEN 'manager' WHEN 4 THEN 'junior' ELSE NULL END AS band FROM part")
+@query("SELECT p_partkey, CASE " + " ".join(f"WHEN regexp_matches(t, {q(sql_word(x))}) THEN '{detect.SENIORITY[x]}'" for x in _TERMS) + f" END AS band FROM (SELECT p_partkey, lower({_TITLED}) AS t FROM part)")
 def seniority(spark, sf_dir):
-    title = F.expr("CASE p_partkey % 6 WHEN 0 THEN 'Tech Lead ' WHEN 1 THEN 'Sr. ' WHEN 2 THEN 'Medior ' WHEN 3 THEN 'Head of ' WHEN 4 THEN 'Entry-level ' ELSE 'Leader ' END || p_name")
-    return read(spark, sf_dir, "part").select("p_partkey", detect.detect_seniority(title).alias("band"))
+    return read(spark, sf_dir, "part").select("p_partkey", detect.detect_seniority(F.expr(_TITLED)).alias("band"))
 
 
 _POSTING = r"(?i)\b(responsibilit|requirements?|qualifications?|what you.ll do|about (the|this) role|apply (now|for this)|we are looking for|job description)\b"
@@ -414,18 +518,32 @@ def salary_assess(spark, sf_dir):
 # --- telemetry -------------------------------------------------------------------------------------------------------
 
 def telemetry(spark, sf_dir):
-    """A run a day, a platform for each kind of event; few events of small value read as an outage."""
-    e = read(spark, sf_dir, "events")
-    return e.groupBy(F.date_trunc("day", "ts").alias("run_at"), F.col("event_type").alias("platform")).agg(
-        F.count(F.lit(1)).alias("raw"), (F.count_if(F.col("value") < 20) > 0.42 * F.count(F.lit(1))).alias("source_down"), (F.count_if(F.col("value") > 150) > 0).alias("http_ok"))
-
-
-_TELEMETRY = "SELECT date_trunc('day', ts) AS run_at, event_type AS platform, count(*) AS raw, count_if(value < 20) > 0.42::DOUBLE * count(*) AS source_down, count_if(value > 150) > 0 AS http_ok FROM events GROUP BY 1, 2"
+    """A run a day, eight platforms for each kind of event. By platform: 0 brings nothing in the last run, though it answers; 1 is
+    down in the last four; 2 brings one row in the last; 3 never brings any."""
+    e = read(spark, sf_dir, "events").select(F.date_trunc("day", "ts").alias("run_at"), "event_type", (F.col("user_id") % 8).alias("k"))
+    runs = e.groupBy("run_at", F.concat_ws("-", "event_type", "k").alias("platform"), "k").agg(F.count(F.lit(1)).alias("raw"))
+    back = F.datediff("last", "run_at")
+    down = (F.col("k") == 1) & (back < 4)
+    raw = F.when(down | (F.col("k") == 3) | ((F.col("k") == 0) & (back == 0)), 0).when((F.col("k") == 2) & (back == 0), 1).otherwise(F.col("raw"))
+    return runs.crossJoin(F.broadcast(e.agg(F.max("run_at").alias("last")))).select("run_at", "platform", raw.alias("raw"), down.alias("source_down"), (~down).alias("http_ok"))
+
+
+_TELEMETRY = """SELECT run_at, platform, CASE WHEN down OR k = 3 OR (k = 0 AND back = 0) THEN 0 WHEN k = 2 AND back = 0 THEN 1 ELSE raw END AS raw, down AS source_down, NOT down AS http_ok
+ FROM (SELECT *, k = 1 AND back < 4 AS down FROM (SELECT date_trunc('day', ts) AS run_at, event_type || '-' || user_id % 8 AS platform, user_id % 8 AS k, count(*) AS raw,
+ date_diff('day', date_trunc('day', ts), (SELECT max(date_trunc('day', ts)) FROM events)) AS back FROM events GROUP BY ALL))"""
 _TRAIL = f"SELECT t.*, r.pos, (SELECT count(*) FROM (SELECT DISTINCT date_trunc('day', ts) FROM events ORDER BY 1 DESC LIMIT 12)) AS runs FROM ({_TELEMETRY}) t JOIN (SELECT run_at, row_number() OVER (ORDER BY run_at DESC) AS pos FROM (SELECT DISTINCT date_trunc('day', ts) AS run_at FROM events) QUALIFY pos <= 12) r ON t.run_at = r.run_at"
 _PLATFORM = f"""SELECT platform, count_if(pos = 1) AS present, max(CASE WHEN pos = 1 THEN raw END) AS raw, median(CASE WHEN pos > 1 AND raw > 0 AND NOT source_down THEN raw END)::DOUBLE AS prior_median,
  coalesce(min(CASE WHEN NOT (source_down AND NOT http_ok) THEN pos END) - 1, max(runs)) AS down_streak, count(*) AS appearances, max(raw) AS most_raw,
  coalesce(bool_or(CASE WHEN pos = 1 THEN source_down END), false) AS source_down, coalesce(bool_or(CASE WHEN pos = 1 THEN http_ok END), false) AS http_ok, bool_or(http_ok) AS ever_ok FROM ({_TRAIL}) GROUP BY 1"""
-T = health.Thresholds(window=12, collapse=0.9, down_streak=1, systemic_boards=6)
+T = health.Thresholds(window=12)
+
+
+def sql_findings(active: str = "true") -> str:
+    systemic = f"(SELECT count_if(present > 0) >= 4 AND count_if(present > 0 AND (source_down OR raw = 0)) >= 0.7::DOUBLE * count_if(present > 0) FROM ({_PLATFORM}) WHERE {active})"
+    alone = f"NOT {systemic}"
+    return f"""SELECT platform, flag FROM (SELECT platform, CASE WHEN {alone} AND present > 0 AND http_ok AND raw = 0 AND prior_median >= 3 THEN 'SELECTOR_SUSPECT' WHEN {alone} AND present > 0 AND down_streak >= 4 THEN 'DOWN_STREAK'
+ WHEN {alone} AND raw > 0 AND NOT source_down AND prior_median >= 3 AND raw < 0.15::DOUBLE * prior_median THEN 'YIELD_COLLAPSE' WHEN ({active}) AND appearances >= 4 AND most_raw = 0 AND ever_ok THEN 'NEVER_PRODUCED' END AS flag FROM ({_PLATFORM})) p
+ WHERE flag IS NOT NULL UNION ALL SELECT '*', 'SYSTEMIC' WHERE {systemic}"""
 
 
 @query(f"SELECT platform, present, raw, prior_median, down_streak, appearances, most_raw FROM ({_PLATFORM})")
@@ -433,13 +551,26 @@ def health_platforms(spark, sf_dir):
     return health.per_platform(telemetry(spark, sf_dir), T).select("platform", "present", "raw", "prior_median", F.col("down_streak").cast("long").alias("down_streak"), "appearances", "most_raw")
 
 
-@query(f"""SELECT platform, flag FROM (SELECT platform, CASE WHEN http_ok AND raw = 0 AND prior_median >= 3 THEN 'SELECTOR_SUSPECT' WHEN present > 0 AND down_streak >= 1 THEN 'DOWN_STREAK'
- WHEN raw > 0 AND NOT source_down AND prior_median >= 3 AND raw < 0.9::DOUBLE * prior_median THEN 'YIELD_COLLAPSE' WHEN appearances >= 4 AND most_raw = 0 AND ever_ok THEN 'NEVER_PRODUCED' END AS flag FROM ({_PLATFORM})) p
- WHERE flag IS NOT NULL AND NOT (SELECT count_if(present > 0) >= 6 AND count_if(present > 0 AND (source_down OR raw = 0)) >= 0.7 * count_if(present > 0) FROM ({_PLATFORM}))""")
+@query(sql_findings())
 def health_findings(spark, sf_dir):
     return health.findings(telemetry(spark, sf_dir), T)
 
 
+_KINDS = ("click", "error", "purchase", "signup", "view")
+_FEW = [f"{kind}-{k}" for kind in _KINDS for k in (0, 1, 3)]
+
+
+@query(sql_findings("regexp_matches(platform, '-[013]$')"))
+def health_systemic(spark, sf_dir):
+    """Most of the platforms that count are without rows: single outages are not listed then."""
+    return health.findings(telemetry(spark, sf_dir), T, _FEW)
+
+
+@query(f"SELECT flag, count(*) AS n FROM ({sql_findings()}) GROUP BY 1")
+def health_finding_counts(spark, sf_dir):
+    return health.finding_counts(health.findings(telemetry(spark, sf_dir), T))
+
+
 @query("""SELECT event_id, CASE WHEN prev IS NULL THEN 24::DOUBLE ELSE greatest(epoch_us(ts) - epoch_us(prev), 0) / 3600000000::DOUBLE END AS hours,
  greatest(50, least(1300, CAST(ceil(floor(CASE WHEN prev IS NULL THEN 24::DOUBLE ELSE greatest(epoch_us(ts) - epoch_us(prev), 0) / 3600000000::DOUBLE END * 100 * 1.5::DOUBLE) / 20) AS INT))) AS pages
 FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)""")
@@ -605,13 +736,36 @@ TITLE_WORDS = ("the", "and", "der", "die", "que", "les", "est")
 _TITLE = "lower(array_to_string(list_slice(string_split(text, ' '), 1, 8), ' '))"
 
 
-@query(f"""WITH k AS ({_KEYED}), s AS ({_SEEN}), f AS ({SQL_FILTERED})
-SELECT f.source AS platform, coalesce({SQL_PARAM}, '') AS param, count(*) AS n FROM f JOIN k USING (doc_id)
+_NEW = f"""WITH k AS ({_KEYED}), s AS ({_SEEN}), f AS ({SQL_FILTERED}), t AS (SELECT f.*, k.company_key, CASE
+ WHEN drop_reason IS NOT NULL THEN {SQL_PARAM} WHEN doc_id % {EVERY} = {PHRASES.index("Apply at https://jobs.lever.co/acme/42.")} OR doc_id % 11 = 0 THEN 'stale' ELSE '' END AS param FROM f JOIN k USING (doc_id)
 WHERE ({" OR ".join(f"contains({_TITLE}, '{w}')" for w in TITLE_WORDS)}) AND k.url_key NOT IN (SELECT url_key FROM s)
- AND lower(f.source) || '|' || {sql_norm(chr(97) + 'rray_to_string(list_slice(string_split(f.text, chr(32)), 1, 8), chr(32))')} || '|' NOT IN (SELECT regexp_replace(key, '[a-z]*$', '') FROM s)
-GROUP BY 1, 2""")
-def triage_funnel(spark, sf_dir):
-    """The flagship: candidates through title, history and patterns, counted by platform and filter."""
+ AND lower(f.source) || '|' || {sql_norm(chr(97) + 'rray_to_string(list_slice(string_split(f.text, chr(32)), 1, 8), chr(32))')} || '|' NOT IN (SELECT regexp_replace(key, '[a-z]*$', '') FROM s))"""
+
+
+def triaged(spark, sf_dir):
+    """Candidates through title, history, patterns, the read cap, link checks and prior history. A link is gone for every
+    eleventh id, and for what is said to be posted at one address."""
     seen = seen_log(spark, sf_dir).withColumn("key", text.make_key(F.col("company"), F.col("title"), F.col("loc")))
-    rows = triage_plan.triage(candidates(spark, sf_dir), seen, Profile(keywords=TITLE_WORDS), F.lit("2024-01-01").cast("timestamp"))
+    seen = seen.withColumns({"family": text.role_family(F.col("title")), "status": F.when(F.col("toxic") == 0, "applied").otherwise("dropped")})
+    rows = postings(spark, sf_dir)
+    gone = rows.where("doc_id % 11 = 0").select("url", F.lit("stale").alias("verdict"))
+    other = spark.createDataFrame([("https://jobs.lever.co/acme/42", "stale")], "url string, verdict string")
+    profile = Profile(keywords=TITLE_WORDS, latest_end_local="18:00")
+    return triage_plan.triage(rows, seen, profile, F.lit("2024-01-01").cast("timestamp"), verdicts=gone.unionByName(other))
+
+
+@query(_NEW + " SELECT source AS platform, param, count(*) AS n FROM t GROUP BY 1, 2")
+def triage_funnel(spark, sf_dir):
+    """The flagship: candidates through the whole triage, counted by platform and filter."""
+    rows = triaged(spark, sf_dir)
     return rows.groupBy("platform", F.coalesce(filters.drop_param(F.col("drop_reason")), F.lit("")).alias("param")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_NEW + """, c AS (SELECT company_key, list_slice(list(doc_id ORDER BY doc_id), 1, 8) AS ids, count(*) AS n FROM s WHERE company_key <> '' GROUP BY 1)
+ SELECT doc_id, coalesce(len(ids), 0) AS n_prior, CASE WHEN param <> '' THEN NULL WHEN length(text) + length(phrase) > 400 THEN 'from_enumeration' ELSE 'deferred' END AS jd_status,
+ CASE WHEN param <> '' THEN NULL ELSE 'unverified' END AS link_status FROM (SELECT *, """ + SQL_PHRASE + """ AS phrase FROM t) LEFT JOIN c USING (company_key) WHERE param IN ('', 'stale')""")
+def triage_history(spark, sf_dir):
+    """What the triage knows of the postings that no pattern drops: records of the company, how the body was had, the link."""
+    rows = triaged(spark, sf_dir).where("drop_reason IS NULL OR drop_reason = 'stale'")
+    status = F.when(F.col("drop_reason").isNull(), F.col("jd_status"))
+    return rows.select("doc_id", F.coalesce(F.size("prior"), F.lit(0)).cast("long").alias("n_prior"), status.alias("jd_status"), "link_status")

@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import detect, salary
-from ..functions.text import make_key, norm_company, norm_url, resolve_source_url
+from ..functions.text import make_key, norm_company, norm_url, resolve_source_url, role_family, text
 from ..operators import filters
-from ..operators.history import two_tier_new
+from ..operators.history import company_history, two_tier_new
 from .config import Profile
 
 
-def triage(cands: DataFrame, seen: DataFrame | None, profile: Profile, now: Column) -> DataFrame:
-    """cands with url_key, company_key, key, keyword_matched, drop_reason, flags and the annotations. The cheap filters come first:
-    title, freshness and history narrow what the patterns over whole bodies see."""
+def triage(cands: DataFrame, seen: DataFrame | None, profile: Profile, now: Column, reads: DataFrame | None = None, verdicts: DataFrame | None = None, read_order: list[Column] | None = None) -> DataFrame:
+    """cands with url_key, company_key, key, keyword_matched, jd_status, drop_reason, flags, the history and the annotations.
+
+    The cheap filters come first: title, freshness and history narrow what the patterns over whole bodies see. seen: the log's
+    current records (url_key, key, company_key; for the history also family, status, seq). reads: bodies fetched in full (url,
+    body, html), of which only those within the cap count. verdicts: what link checks found (url, verdict); a row without one
+    can't be verified. Without reads or verdicts that step is left out."""
     profile.check()
     rows = cands.withColumn("keyword_matched", filters.keyword_match(F.col("title"), list(profile.keywords))).where("keyword_matched IS NOT NULL")
     if not profile.full_sweep:
@@ -22,38 +26,103 @@ def triage(cands: DataFrame, seen: DataFrame | None, profile: Profile, now: Colu
     rows = rows.withColumn("url_key", norm_url(F.col("url"))).withColumn("company_key", norm_company(F.col("company"))).withColumn("key", make_key(F.col("company"), F.col("title"), F.col("loc")))
     if seen is not None:
         rows = two_tier_new(rows, seen)
-    return annotate(filters.hard_filter(rows, profile.rules()), profile, now)
+    rows = filters.hard_filter(rows, profile.rules())
+    tripwire = F.lit(False) if profile.exempt_platform is None else F.coalesce(F.col("platform") == profile.exempt_platform, F.lit(False))
+    rows = read_bodies(rows, reads, profile.read_cap, tripwire, read_order or [F.col("platform"), F.col("url")])
+    if verdicts is not None:
+        rows = check_links(rows, verdicts, tripwire)
+    if seen is not None and {"family", "status", "seq"} <= set(seen.columns):
+        rows = company_history(rows.withColumn("family", role_family(F.col("title"))), seen)
+    return annotate(rows, profile, now)
+
+
+def read_bodies(rows: DataFrame, reads: DataFrame | None, cap: int, tripwire: Column, order: list[Column]) -> DataFrame:
+    """jd_status: from_enumeration, card_only, fetched, fetch_failed or deferred; rows that are dropped have none. A fetched body
+    replaces a short one, and an address of a tracking system in its page is the posting's source unless it is the posting's own."""
+    gone = F.col("drop_reason").isNotNull()
+    if reads is None:
+        status = F.when(gone, None).when(F.length(text(F.col("jd_text"))) > 400, "from_enumeration").when(tripwire, "card_only").otherwise("deferred")
+        return rows.withColumn("jd_status", status).withColumn("source_url", F.when(~gone, resolve_source_url(F.col("jd_text"))))
+    stay = filters.read_cap(rows.where(~gone), order, cap, "jd_text", tripwire)
+    pages = reads.select(F.col("url").alias("_url"), "body", "html").dropDuplicates(["_url"])
+    stay = stay.join(pages, (F.col("url") == F.col("_url")) & (F.col("jd_status") == "to_read"), "left")
+    got = text(F.col("body")) != ""
+    source = resolve_source_url(F.col("html"))
+    stay = stay.withColumn("source_url", F.when((F.col("jd_status") == "to_read") & got & (norm_url(source) != norm_url(F.col("url"))), source))
+    stay = stay.withColumn("jd_text", F.when((F.col("jd_status") == "to_read") & got, F.col("body")).otherwise(F.col("jd_text")))
+    stay = stay.withColumn("jd_status", F.when(F.col("jd_status") == "to_read", F.when(got, "fetched").otherwise("fetch_failed")).otherwise(F.col("jd_status"))).drop("_url", "body", "html")
+    return stay.unionByName(rows.where(gone), allowMissingColumns=True)
+
+
+def check_links(rows: DataFrame, verdicts: DataFrame, tripwire: Column) -> DataFrame:
+    """link_status, and the drop of postings that are gone or that can be neither read nor verified. The source's address decides
+    where there is one."""
+    checked = verdicts.groupBy(F.col("url").alias("_checked")).agg(F.min("verdict").alias("_verdict"))
+    rows = rows.join(checked, F.coalesce("source_url", "url") == F.col("_checked"), "left")
+    verdict = F.coalesce("_verdict", F.lit("unverifiable_direct"))
+    dead = F.when(F.col("drop_reason").isNull(), filters.liveness_drop(verdict, F.col("jd_text"), tripwire))
+    status = F.when(tripwire, "tripwire card").when(verdict == "live", "live").otherwise("unverified")
+    rows = rows.withColumn("_dead", dead).withColumn("link_status", F.when(F.col("drop_reason").isNull() & F.col("_dead").isNull(), status))
+    return rows.withColumn("drop_reason", F.coalesce("drop_reason", "_dead")).drop("_dead", "_verdict", "_checked")
 
 
 def annotate(rows: DataFrame, profile: Profile, now: Column) -> DataFrame:
+    """Notes and flags for the rows that stay; rows that were dropped cost nothing here and have none."""
     title, place, body = F.col("title"), F.col("loc"), F.col("jd_text")
-    both = F.concat_ws(" ", title, body)
     stays = F.col("drop_reason").isNull()
-    rows = rows.withColumns({
-        "source_url": resolve_source_url(body),
+    both = F.concat_ws(" ", title, body)
+    accept = [] if "any" in profile.employment else list(profile.employment)
+    note = {
         "seniority_detected": detect.detect_seniority(title),
         "employment_detected": detect.detect_employment(both),
         "work_arrangement_detected": detect.detect_work_arrangement(place, body),
-        "salary_parsed": salary.parse(F.coalesce("salary", "jd_text")),
+        "salary_parsed": salary.parse(F.concat_ws(" ", "salary", "jd_text")),
         "language_detected": F.coalesce(detect.detect_language(body), detect.title_language(title)),
         "language_requirement": detect.stated_language_requirement(body, list(profile.languages)),
         "start_date_note": detect.start_date_passed(body, now),
-    })
-    rows = rows.withColumn("salary_status", salary.assess(F.col("salary_parsed"), profile.floor))
+    }
+    rows = rows.withColumns({k: F.when(stays, v) for k, v in note.items()})
+    rows = rows.withColumn("salary_status", F.when(stays, salary.assess(F.col("salary_parsed"), profile.floor)))
     off_place = F.lit(bool(profile.work_model)) & (F.size("work_arrangement_detected") > 0) & ~F.arrays_overlap("work_arrangement_detected", F.array(*map(F.lit, profile.work_model or ("",))))
-    more = F.array(
+    more = [
         F.when(detect.missing_company(F.col("company")), F.lit("missing_company")),
         F.when(F.lit(bool(profile.bands)) & detect.seniority_off_target(F.col("seniority_detected"), list(profile.bands or ("",))), F.lit("seniority_off_target")),
-        F.when(F.lit(bool(profile.employment)) & detect.employment_off_target(F.col("employment_detected"), list(profile.employment or ("",))), F.lit("employment_off_target")),
-        F.when(off_place, F.lit("work_arrangement_off_target")),
+        F.when(F.lit(bool(accept)) & detect.employment_off_target(F.col("employment_detected"), accept or [""]), F.lit("employment_off_target")),
+        F.when(F.lit(profile.modes.get("work_arrangement", "off") != "off") & off_place, F.lit("work_arrangement_mismatch")),
         F.when(F.col("language_detected").isNotNull() & ~F.col("language_detected").isin(list(profile.languages)), F.lit("non_target_language")),
         F.when(F.col("language_requirement").isNotNull(), F.lit("stated_language_requirement")),
         F.when(F.col("start_date_note").isNotNull(), F.lit("start_date_passed")),
-    )
-    rows = rows.withColumn("flags", F.when(stays, F.array_sort(F.array_distinct(F.concat("flags", F.filter(more, lambda x: x.isNotNull()))))).otherwise(F.col("flags")))
+    ]
+    if "saturated" in rows.columns:
+        more.append(F.when(F.col("saturated"), F.lit("applied_variant_saturation")))
+    flags = F.array_sort(F.array_distinct(F.concat("flags", F.filter(F.array(*more), lambda x: x.isNotNull()))))
+    rows = rows.withColumn("flags", F.when(stays, flags).otherwise(F.col("flags")))
     return rows.withColumn("drop_reason", F.coalesce("drop_reason", filters.eligibility_drop(F.col("flags"), profile.modes)))
 
 
+def run_record(rows: DataFrame, platforms: DataFrame, healed: DataFrame | None = None) -> DataFrame:
+    """What a run leaves in the ledger, one row: the funnel, drops by filter, filters that took too much, and the platforms.
+    platforms: a row for each that was asked (platform, raw, source_down, http_ok), a few dozen."""
+    from ..operators.funnel import drop_by_param, funnel, over_constraint
+
+    drops = drop_by_param(rows).agg(F.array_sort(F.collect_list(F.struct("param", "n"))).alias("drop_by_param"))
+    nudges = over_constraint(rows).agg(F.array_sort(F.collect_list("param")).alias("drop_nudges"))
+    stats = platforms.agg(
+        F.array_sort(F.collect_list(F.when(~F.col("source_down"), F.col("platform")))).alias("platforms_covered"),
+        F.array_sort(F.collect_list(F.when(F.col("source_down"), F.col("platform")))).alias("sources_down"),
+        F.array_sort(F.collect_list(F.struct("platform", "raw", "source_down", "http_ok"))).alias("platform_stats"),
+    )
+    out = funnel(rows)
+    for one in (drops, nudges, stats):  # single rows
+        out = out.crossJoin(F.broadcast(one))
+    return out
+
+
+def shortlist(scored: DataFrame, profile: Profile, score: str = "score") -> DataFrame:
+    """Rows at or above the threshold, the best first; a row without a score isn't one."""
+    return scored.where(F.col(score) >= profile.surface_threshold).orderBy(F.desc(score), "url")
+
+
 def explain_plan(df: DataFrame) -> str:
     """The formatted physical plan as text."""
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")

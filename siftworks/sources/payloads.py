@@ -233,14 +233,21 @@ def parse_all(payloads: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, Da
     """payloads by platform, kinds: platform to parser. Candidates, and source_status (platform, raw, source_down): a platform
     that brings no rows is down; nothing that can't be read fails the job."""
     out = None
-    for platform, kind in kinds.items():
-        rows = PARSERS[kind](payloads.where(F.col("platform") == platform)).withColumn("row_ord", F.to_json("row_ord"))
+    # One scan for each kind of payload, not for each platform.
+    for kind in dict.fromkeys(kinds.values()):
+        rows = PARSERS[kind](payloads.where(F.col("platform").isin([p for p, k in kinds.items() if k == kind]))).withColumn("row_ord", F.to_json("row_ord"))
         out = rows if out is None else out.unionByName(rows)
     raw = out.groupBy("platform").agg(F.count(F.lit(1)).alias("raw"))
     status = payloads.select("platform").distinct().join(raw, "platform", "left").select("platform", F.coalesce("raw", F.lit(0).cast("long")).alias("raw"), F.col("raw").isNull().alias("source_down"))
     return out, status
 
 
+def read_state(column: Column, schema: str) -> Column:
+    """A JSON column as a struct; what is missing or can't be read is an empty one, never an error."""
+    read = F.from_json(column, schema, {"mode": "PERMISSIVE"})
+    return F.coalesce(read, F.from_json(F.lit("{}"), schema))
+
+
 def read_jsonl(spark, path: str, schema: str) -> DataFrame:
     """Lines of JSON with their place: bad lines are kept in _corrupt_record, blank ones skipped. seq orders the lines within
     a file, which is all that a line log needs; later files follow earlier ones by name."""

@@ -31,9 +31,12 @@ def sweep_stream(checks: DataFrame) -> DataFrame:
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str):
-    """Append each batch of records once to a log folder; the current view is history.current_records over it."""
+    """Append each batch of records once to a log folder; the current view is history.current_records over it. A batch that is run
+    again replaces itself alone: its folder is named by the checkpoint's query, so a query that starts anew, at batch 0, leaves
+    what earlier ones wrote."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "once"
+        batch.write.mode("overwrite").parquet(f"{path}/query={query}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

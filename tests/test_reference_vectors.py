@@ -117,7 +117,10 @@ def test_picks_and_merges_do_not_depend_on_order(spark):
 def test_config():
     assert config.deep_merge({"a": {"b": 1, "c": [1]}, "d": 1}, {"a": {"c": [2]}, "d": None}) == {"a": {"b": 1, "c": [2]}, "d": None}
     assert config.choose_region({}, ["eu"]) is None and config.choose_region({"us": "1", "eu": "2"}, ["eu"]) == "eu"
-    assert config.choose_region({"us": "1", "worldwide": "2"}, ["eu"]) == "worldwide" and config.choose_region({"us": "1"}, ["eu"]) == "us"
+    # Worldwide has to be accepted as well as declared; without a match the first that is declared is taken.
+    assert config.choose_region({"us": "1", "worldwide": "2"}, ["eu"]) == "us" and config.choose_region({"worldwide": "1", "eu": "2"}, ["eu"]) == "eu"
+    assert config.choose_region({"us": "1", "worldwide": "2"}, ["eu", "worldwide"]) == "worldwide" and config.choose_region({"us": "1"}, ["eu"]) == "us"
+    assert config.choose_region({"us": "1", "worldwide": "2"}, []) is None
     with pytest.raises(config.ConfigError):
         config.Profile(keywords=("a",), bands=("chief",)).check()
     p = config.Platform("x", ("pm",), ("https://x/{category}",), {"pm": ["a", "b"]})
@@ -145,9 +148,9 @@ def test_sources(spark):
 def test_triage_gives_one_reason(spark):
     rows = [(1, "Project Manager", "A Ltd", "Berlin", "https://x/1", "W-2 only in the US"), (2, "Project Manager", "B", "Berlin (hybrid)", "https://x/2", "fine EST hours"), (3, "Cook", "C", "", "https://x/3", "")]
     df = spark.createDataFrame(rows, "doc_id int, title string, company string, loc string, url string, jd_text string").withColumns({"posted_at": F.lit(None).cast("string"), "salary": F.lit("")})
-    got = {r.doc_id: r for r in triage(df, None, config.Profile(keywords=("project",), work_model=("remote",), modes={"work_arrangement": "drop"}), F.lit("2026-01-01").cast("timestamp")).collect()}
+    got = {r.doc_id: r for r in triage(df, None, config.Profile(keywords=("project",), work_model=("remote",), modes={"work_arrangement": "drop"}, latest_end_local="18:00"), F.lit("2026-01-01").cast("timestamp")).collect()}
     assert set(got) == {1, 2} and got[1].drop_reason == "auto-drop: us_only" and got[2].drop_reason == "work_arrangement"
-    assert got[2].flags == ["timezone", "work_arrangement_off_target"]
+    assert got[2].flags == ["timezone", "work_arrangement_mismatch"]
 
 
 def test_listings_take_links_of_any_element_by_platform(spark):

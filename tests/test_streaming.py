@@ -19,5 +19,6 @@ def test_append_log(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    append_log(stream, str(tmp_path / "log"), str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "log")).count() == events.count()
+    for checkpoint, times in (("cp2", 1), ("cp2", 1), ("cp3", 2)):  # the same query again adds nothing, a new one keeps what is there
+        append_log(stream, str(tmp_path / "log"), str(tmp_path / checkpoint)).trigger(availableNow=True).start().awaitTermination(120)
+        assert spark.read.parquet(str(tmp_path / "log")).count() == times * events.count()
