@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, slices, table
+from .common import join_by_key, materialize, ship, slices, table
 from .components import components
 
 #: Start and width of the three segments, from the lowest bit.
@@ -130,7 +130,9 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
             # The segment without one bit: 21 bits at most; above them which bit of which segment is missing.
             low, high = seg.bitwiseAND(F.lit((1 << bit) - 1)), F.shiftleft(F.shiftrightunsigned(seg, bit + 1), bit)
             keys.append((low.bitwiseOR(high) + F.lit((s * 32 + bit) << 22)).cast("int"))
-    variants = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    # A small table of fingerprints is read by few tasks, which would make all its variants.
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    variants = spread.select("fp", F.explode(F.array(*keys)).alias("key"))
     # Only groups beyond a block are counted out; all others go on as they are.
     large = variants.groupBy("key").count().where(F.col("count") > block)
     blocks = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
@@ -176,13 +178,15 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = 4, i
     component, a fingerprint that names the component where all ids of it are null, too."""
     ship(docs.sparkSession)
     fps = materialize(fingerprints(docs, width, id_col, text_col, rows), "fp")
-    least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fp-least")
-    found = components(links(least.select("fp"), distance))
-    # Components are named by a fingerprint; their smallest document id comes from the groups of equal fingerprints.
-    named = least.join(found, least["fp"] == found["id"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    best = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    class_of = named.join(best, "component").select("fp", "component_id", "component")
-    return fps.join(class_of, "fp").select("doc_id", "fp", "component_id", *["text_hash", "component"][: 2 * rows])
+    least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "fp-least")
+    # A node is a fingerprint behind its smallest document id (null ids last), so a component's smallest node names that id.
+    node = F.struct(F.col("least_id").isNull().alias("no_id"), "least_id", "fp")
+    ends = links(least.select("fp"), distance)
+    named = least.select(F.col("fp").alias("a"), node.alias("first")), least.select(F.col("fp").alias("b"), node.alias("second"))
+    found = components(ends.join(named[0], "a").join(named[1], "b").select(F.col("first").alias("a"), F.col("second").alias("b")))
+    class_of = least.withColumn("own", node).join(found.select(F.col("id.fp").alias("fp"), "component"), "fp", "left")
+    class_of = class_of.withColumn("first", F.coalesce("component", "own")).select("fp", "n", F.col("first.least_id").alias("component_id"), F.col("first.fp").alias("component"))
+    return join_by_key(fps, class_of, "fp", fps.count()).select("doc_id", "fp", "component_id", *["text_hash", "component"][: 2 * rows])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
