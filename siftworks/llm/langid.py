@@ -7,8 +7,8 @@ vector; one-versus-rest ridge regression on these vectors gives a value for each
 presence, the landmark matrix and the weights are multiplied once, and a batch of texts is scored by one matrix product of
 its presence rows.
 
-The fit uses at most SAMPLE texts of at most SAMPLE_CHARS characters, picked by a hash of their ids, evenly by language.
-Prediction takes whole texts.
+The fit uses at most SAMPLE rows, and as many languages, picked by a hash, evenly by language. Texts of any length are drawn,
+and they are taken whole: what the driver gets of a text are its distinct slots, 2 ** SLOTS_BITS at most. Prediction takes whole texts.
 
 Defined cases: null text or one without letters is `und` with score 0, as is all text if there is nothing to learn from; null
 ids are never held out; repeated rows give rows of their own; an empty table gives no rows; only id, text and, for learning,
@@ -17,7 +17,7 @@ lang are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +29,7 @@ from .common import held_out, ship, slices, table
 SPECTRUM = 4
 SLOTS_BITS = 18
 LANDMARKS = 256
-SAMPLE, SAMPLE_CHARS = 2000, 8000
+SAMPLE = 2000
 RIDGE = 1e-3
 UNKNOWN = "und"
 
@@ -62,15 +62,23 @@ def slots(text: str, spectrum: int = SPECTRUM) -> Iterator[np.ndarray]:
         yield (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - SLOTS_BITS)
 
 
+def distinct_slots(text: str) -> np.ndarray:
+    """The slots of a text's n-grams, each once, sorted."""
+    seen = np.zeros(1 << SLOTS_BITS, dtype=bool)
+    for s in slots(text):
+        seen[s] = True
+    return np.flatnonzero(seen).astype(np.int32)
+
+
 class Model:
     def __init__(self, langs: list[str], index: np.ndarray, weights: np.ndarray):
         self.langs, self.index, self.weights = langs, index, weights  # index: slot to row of weights, the last row for none
 
-    def presence(self, texts: list[str]) -> np.ndarray:
-        """One row of 0 and 1 for each text. The last column, for n-grams of no landmark, is cleared."""
-        rows = np.zeros((len(texts), len(self.weights)), dtype=np.float32)
-        for row, t in zip(rows, texts):
-            for s in slots(t):
+    def presence(self, found: list[Iterable[np.ndarray]]) -> np.ndarray:
+        """One row of 0 and 1 for each text, which is given by arrays of slots. The last column, for n-grams of no landmark, is cleared."""
+        rows = np.zeros((len(found), len(self.weights)), dtype=np.float32)
+        for row, own in zip(rows, found):
+            for s in own:
                 row[self.index[s]] = 1
         rows[:, -1] = 0
         return rows
@@ -80,46 +88,53 @@ class Model:
         known = [i for i, t in enumerate(texts) if t and len(letters(t))] if self.langs else []
         for at in range(0, len(known), 128):
             part = known[at : at + 128]
-            x = self.presence([texts[i] for i in part])
+            x = self.presence([slots(texts[i]) for i in part])
             values = x @ self.weights / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
             for i, v in zip(part, values):
                 best[i], score[i] = self.langs[int(v.argmax())], float(min(1.0, max(0.0, v.max())))
         return best, score
 
 
-def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+def fit(found: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """found: the distinct slots of each text. langs: its language."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros(1 << SLOTS_BITS, dtype=np.int32), np.zeros((1, 0), dtype=np.float32))
     # Landmarks go round the languages, so that a rare one has its share.
     by_lang = {n: [i for i, x in enumerate(langs) if x == n] for n in names}
     order = [own[k] for k in range(max(map(len, by_lang.values()))) for own in by_lang.values() if k < len(own)]
-    marks = order[:landmarks]
+    marks = order[: max(landmarks, len(names))]
     seen = np.zeros(1 << SLOTS_BITS, dtype=bool)
     for i in marks:
-        for s in slots(texts[i]):
-            seen[s] = True
+        seen[found[i]] = True
     index = np.full(1 << SLOTS_BITS, int(seen.sum()), dtype=np.int32)
     index[seen] = np.arange(seen.sum(), dtype=np.int32)
     model = Model(names, index, np.zeros((int(seen.sum()) + 1, len(names)), dtype=np.float32))
     unit = lambda x: x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    base = unit(model.presence([texts[i] for i in marks]))
-    kernel = np.concatenate([unit(model.presence(texts[i : i + 128])) @ base.T for i in range(0, len(texts), 128)]).astype(np.float64)
-    among = (base @ base.T).astype(np.float64)
-    values, vectors = np.linalg.eigh(among)
-    good = values > 1e-6 * values.max()
-    to_vector = vectors[:, good] / np.sqrt(values[good])  # the root of the inverse kernel, without directions near zero
+    rows = lambda ids: unit(model.presence([(found[i],) for i in ids]))
+    base = rows(marks)
+    kernel = np.concatenate([rows(range(i, min(i + 128, len(found)))) @ base.T for i in range(0, len(found), 128)]).astype(np.float64)
+    to_vector = nystrom(base @ base.T)
     phi = kernel @ to_vector
     y = np.array([[x == n for n in names] for x in langs], dtype=np.float64)
-    w = np.linalg.solve(phi.T @ phi + ridge * len(texts) * np.eye(phi.shape[1]), phi.T @ y)
+    w = np.linalg.solve(phi.T @ phi + ridge * len(found) * np.eye(phi.shape[1]), phi.T @ y)
     model.weights = np.ascontiguousarray(base.T @ (to_vector @ w).astype(np.float32))
     return model
 
 
-def sample(docs: DataFrame, most: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> list:
-    """docs (doc_id, text, lang): at most `most` rows in all, the same number for each language if it has them."""
-    can = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars) & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in can.groupBy("lang").count().orderBy("lang").limit(most).collect()}
+def nystrom(among: np.ndarray) -> np.ndarray:
+    """From a kernel row over the landmarks to a vector whose dot products are the kernel as the landmarks tell it: the root of the
+    inverse of the landmarks' own kernel, without directions near zero."""
+    values, vectors = np.linalg.eigh(among.astype(np.float64))
+    good = values > 1e-6 * values.max()
+    return vectors[:, good] / np.sqrt(values[good])
+
+
+def sample(docs: DataFrame, most: int = SAMPLE) -> list:
+    """docs (doc_id, text, lang) to rows (lang, slots): `most` at most, the same number for each language if it has them. Beyond
+    `most` languages a hash of their names picks among them."""
+    can = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r["lang"]: r["count"] for r in can.groupBy("lang").count().orderBy(F.xxhash64("lang"), "lang").limit(most).collect()}
     if not counts:
         return []
     each = max(1, most // len(counts))
@@ -127,7 +142,17 @@ def sample(docs: DataFrame, most: int = SAMPLE, most_chars: int = SAMPLE_CHARS)
     # About twice the wanted rows by a threshold for each language, then the exact number among these few.
     limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, (2 * each + 50) / n) * (1 << 30)))])
     few = can.withColumn("draw", draw).where(F.col("draw") < limit[F.col("lang")])
-    return few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))).where(F.col("rank") <= each).select("text", "lang", "draw").orderBy("draw", "text").collect()
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))).where(F.col("rank") <= each)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for rows in slices(batch):
+                found = [distinct_slots(t) for t in rows.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, type=pa.list_(pa.int32())), rows.column(2), rows.column(3)], names=["lang", "slots", "draw", "rank"])
+
+    return ranked.select("lang", "text", "draw", "rank").mapInArrow(run, "lang string, slots array<int>, draw long, rank int").orderBy("draw", "lang", "rank").collect()
 
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -136,8 +161,8 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.col(lang_col).alias("lang")] if model is None else []))
     if model is None:
         rows = sample(own)
-        model = fit([r["text"] for r in rows], [r["lang"] for r in rows])
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.index, model.weights))  # 1 MB and at most landmarks * chars rows
+        model = fit([np.array(r["slots"], dtype=np.int32) for r in rows], [r["lang"] for r in rows])
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.index, model.weights))  # 1 MB, and as many rows as the landmarks have slots
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
