@@ -13,7 +13,7 @@ The next document is found by cutting the ids at quantiles: documents of a bucke
 bucket gets the first of the following bucket by a small join.
 
 Defined cases: null text is empty; a text without terms in the band is identified by all its distinct words (an empty text by
-none), and is like another, 1, only if these are the same, else 0; null ids sort last in descending order; repeated rows follow each
+none), and is like another, 1, only if these are the same, else 0; null ids sort last, by a hash of their texts; repeated rows follow each
 other; a table of one row has itself as next; an empty table gives no rows; columns other than id and text are not read.
 """
 
@@ -54,25 +54,28 @@ def _rank_in(cuts: list[int], value: Column) -> Column:
     return let(full, lambda k: k + F.size(F.filter(F.slice(array(fine), k + 1, width), lambda c: c <= value)))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs (doc_id, text) with bucket, place (in its bucket), last (of its bucket) and next_text, that of the next document
     in descending order of ids; after the last comes the first. Hash-partitioned by bucket."""
-    n = docs.count()
-    buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
+    n, named = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    buckets = max(1, min(MOST_BUCKETS, named // bucket_rows))
     cuts: list[int] = []
     if buckets > 1:
-        cuts = ids.select(F.percentile_approx("id", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]
+        cuts = docs.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]
         cuts = sorted(set(cuts))  # at most MOST_BUCKETS ids
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    spread = docs.withColumn("bucket", _rank_in(cuts, key) if cuts else F.lit(0))
-    order = Window.partitionBy("bucket").orderBy(key.desc(), F.xxhash64("text"))
+    tie = F.xxhash64("text")
+    # Rows without an id come last, in the order of their hashes, which deals them over buckets below zero.
+    nameless = max(1, (n - named) // bucket_rows)
+    below = -1 - F.least(F.floor((tie / F.lit(2.0**64) + 0.5) * nameless), F.lit(nameless - 1)).cast("int")
+    spread = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), below).otherwise(_rank_in(cuts, F.col("doc_id")) if cuts else F.lit(0)).cast("int"))
+    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), tie)
     placed = spread.repartition("bucket").select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"), F.lead(F.lit(True), 1, False).over(order).alias("_more"))
-    # The first document of each bucket, for the last of the bucket before it.
-    firsts = spread.groupBy("bucket").agg(F.max_by("text", F.struct(key, -F.xxhash64("text").cast("decimal(20,0)"))).alias("first_text"))
+    # The last document of each bucket is followed by the first of the next bucket down; only the buckets' numbers meet in one task.
     down = Window.orderBy(F.col("bucket").desc())
-    heads = firsts.select(F.lag("bucket").over(down).alias("bucket"), "first_text", F.max("bucket").over(Window.partitionBy()).alias("top"), F.min("bucket").over(Window.partitionBy()).alias("bottom"), F.col("bucket").alias("own"))
-    heads = heads.select(F.coalesce("bucket", "bottom").alias("bucket"), F.col("first_text").alias("after"))
+    followed = spread.select("bucket").distinct().select("bucket", F.lead("bucket").over(down).alias("_next"), F.max("bucket").over(Window.partitionBy()).alias("_top"))
+    first = F.min_by("text", F.struct(F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)), tie))  # the complement turns the order round
+    firsts = spread.groupBy("bucket").agg(first.alias("after")).withColumnRenamed("bucket", "_next")
+    heads = followed.select("bucket", F.coalesce("_next", "_top").alias("_next")).join(firsts, "_next").select("bucket", "after")
     return placed.join(heads, "bucket", "left").select("doc_id", "text", "bucket", "place", (~F.col("_more")).alias("last"), F.when(F.col("_more"), F.col("next_text")).otherwise(F.col("after")).alias("next_text"))
 
 
@@ -126,11 +129,15 @@ def fingerprints(docs: DataFrame, least_share: float = LEAST_SHARE, most_share:
     # All three sets in one array, each term with the number of its text in the two lowest bits.
     tagged = F.flatten(F.transform("sets", lambda s, i: F.transform(s, lambda t: t.bitwiseOR(i.cast("long")))))
     whole = F.transform("sets", lambda s: F.when(F.size(s) > 0, F.xxhash64(F.array_sort(s))).otherwise(F.lit(0).cast("long")))
-    keys = ["bucket", "place", "doc_id", "last", "n_chars", "edited_sha256", "whole"]
-    each = sets.withColumn("whole", whole).select(*keys, F.explode_outer(tagged).alias("x"))
-    each = each.withColumn("term", F.col("x").bitwiseAND(F.lit(TERM).cast("long"))).join(terms, "term", "left")
+    info = F.struct("doc_id", "last", "n_chars", "edited_sha256", whole.alias("whole"))
+    each = sets.select("bucket", "place", info.alias("info"), F.posexplode_outer(tagged).alias("pos", "x"))
+    # What is known of a document goes with its first term alone, and further terms only if the band has them: the rows stay narrow.
+    # A document without words has a row, too, with a key of its own, as null would be one key for all of them.
+    first = F.coalesce("pos", F.lit(0)) == 0
+    each = each.select("bucket", "place", "x", first.alias("first"), F.when(first, F.col("info")).alias("info"), F.coalesce(F.col("x").bitwiseAND(F.lit(TERM).cast("long")), F.xxhash64("bucket", "place")).alias("term"))
+    each = each.join(terms, "term", "left").where(F.col("first") | F.col("known"))
     of = lambda i: F.collect_list(F.when(F.col("known") & (F.col("x").bitwiseAND(F.lit(3).cast("long")) == i), F.col("term")))
-    by_doc = each.groupBy(*keys).agg(of(0).alias("a"), of(1).alias("b"), of(2).alias("c"))
+    by_doc = each.groupBy("bucket", "place").agg(of(0).alias("a"), of(1).alias("b"), of(2).alias("c"), F.first("info", ignorenulls=True).alias("info")).select("bucket", "place", "a", "b", "c", "info.*")
     signed = by_doc.select("bucket", "place", "doc_id", "last", "n_chars", "edited_sha256", signature(F.col("a"), F.col("whole")[0]).alias("s"), signature(F.col("b"), F.col("whole")[1]).alias("e"), F.when(F.col("last"), signature(F.col("c"), F.col("whole")[2])).alias("n"))
     following = F.coalesce("n", F.lead("s").over(Window.partitionBy("bucket").orderBy("place")))
     return signed.withColumn("n", following).select(
