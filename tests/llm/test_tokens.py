@@ -68,6 +68,33 @@ def test_token_files_round_trip(spark, lib, odd_docs, no_docs, tmp_path):
     assert token_files.digests(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_files_have_indexes_and_bloom_filters_and_prune(spark, tmp_path):
+    """Every file has the writer's row index and a Bloom filter on doc_id in each stripe, and a read of a few ids is pushed down."""
+    path = str(tmp_path / "ids")
+    docs = spark.range(0, 30_000).selectExpr("id * 2 AS doc_id", "concat('word ', id) AS text").repartition(4)
+    token_files.write_token_files(docs, path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = [f.split("file:")[-1] for f in spark.read.orc(path).inputFiles()]
+    ranges = []
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 10_000 and str(reader.getCompressionKind()) == "ZSTD"
+        column = list(reader.getSchema().getFieldNames()).index("doc_id") + 1
+        wanted = spark.sparkContext._gateway.new_array(jvm.boolean, reader.getSchema().getMaximumId() + 1)
+        wanted[column] = True
+        rows = reader.rows()
+        for stripe in range(reader.getStripes().size()):
+            assert rows.readRowIndex(stripe, wanted, wanted).getBloomFilterIndex()[column].getBloomFilterCount() > 0
+        rows.close()
+        stats = reader.getStatistics()[column]
+        ranges.append((stats.getMinimum(), stats.getMaximum()))
+    ranges.sort()
+    assert ranges[0][0] == 0 and ranges[-1][1] == 59_998 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))  # files do not overlap
+    few = token_files.find(spark, path, [10, 11, 59_998])
+    assert sorted(r.doc_id for r in few.collect()) == [10, 59_998]
+    assert "In(doc_id, [10,11,59998])" in few._jdf.queryExecution().toString()
+
+
 def packed(rows, limits):
     docs, seqs = defaultdict(list), defaultdict(list)
     for r in rows:
