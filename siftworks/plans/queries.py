@@ -130,6 +130,20 @@ def role_family(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", text.role_family(F.expr("p_name || CASE p_partkey % 4 WHEN 0 THEN ' - ' WHEN 1 THEN ', ' WHEN 2 THEN ' (' ELSE ' ' END || p_brand")).alias("family"))
 
 
+#: Links by the residue of a page's id: of tracking systems, and others that look like them.
+LINKS = (
+    "see https://boards.greenhouse.io/acme/jobs/{}).", "<a href='https://job-boards.eu.greenhouse.io/a/{}'>", '"https://jobs.lever.co/x/y-{}"', "https://apply.workable.com/a/j/{}/, or", "https://acme-co.pinpointhq.com/jobs/{}",
+    "https://jobs.ashbyhq.com/a/{} x", "https://www.greenhouse.io/about/{}", "https://acme.teamtailor.com/jobs/{}", "https://careers.smartrecruiters.com/{}", "",
+)
+_LINKED = "replace(CASE page_id % 10 " + " ".join(f"WHEN {i} THEN {q(x)}" for i, x in enumerate(LINKS)) + " END, '{}', CAST(page_id AS STRING))"
+_LINKED_SPARK = "replace(CASE page_id % 10 " + " ".join(f"WHEN {i} THEN " + "'" + x.replace("'", "\\'") + "'" for i, x in enumerate(LINKS)) + " END, '{}', CAST(page_id AS STRING))"
+
+
+@query(rf"""SELECT page_id, nullif(regexp_replace(regexp_extract(html || {_LINKED}, {q(text.ATS_URL)}), '[\"''>).,]+$', ''), '') AS source_url FROM pages""")
+def source_url(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", text.resolve_source_url(F.concat("html", F.expr(_LINKED_SPARK))).alias("source_url"))
+
+
 @query("SELECT s_suppkey, trim(regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug, left(sha256(s_name), 16) AS hash FROM supplier")
 def slug_and_hash(spark, sf_dir):
     return read(spark, sf_dir, "supplier").select("s_suppkey", text.slugify(F.col("s_name")).alias("slug"), text.content_hash(F.col("s_name")).alias("hash"))
