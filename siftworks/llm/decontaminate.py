@@ -1,9 +1,9 @@
 """Benchmark decontamination by a hash set of normalised word windows, with DataFrame and SQL functions alone.
 
 Benchmark items become windows of `width` words (a shorter item is one window). As long as these are at most `most_windows`,
-counted with the items that have them, their hashes and strings form hash sets that the driver broadcasts to the executors with
-the stage's plan; each document's windows are hashed and looked up inside its row, first by their first words, and a hash that
-hits is verified by the window's words. Nothing is shuffled but the hits.
+counted with the items that have them, they form hash sets that the driver broadcasts to the executors with the stage's plan:
+one of the hashes of windows' first words, by which the windows of each document are looked up inside its row, and one of
+whole windows, by which those that hit are verified. Nothing is shuffled but the hits.
 
 The sets of a larger benchmark would not fit a plan. Then documents' windows meet the benchmark's by their hashes alone, 8 bytes
 each, in a join whose benchmark side is broadcast up to BROADCAST hashes and shuffled beyond; only where a hash hits are words
@@ -48,27 +48,25 @@ class Windows:
         self.sizes = sorted(r[0] for r in self.frame.select("size").distinct().collect())  # width of them at most
         self.small = self.frame.count() <= most_windows
         self.prefix = min([PREFIX, *self.sizes])
-        self.prefixes, self.sets = "", {}
+        self.prefixes, self.sets = "", {}  # SQL lists
         if self.small and self.sizes:
             words = F.split("window", " ")
             each = self.frame.select("size", "window").distinct()
-            held: dict[int, tuple[list, list]] = {}
+            held: dict[int, list[str]] = {}
             starts = set()
-            for r in each.select("size", "window", F.xxhash64(words).alias("h"), F.xxhash64(F.slice(words, 1, self.prefix)).alias("p")).collect():  # most_windows at most
-                hashes, strings = held.setdefault(r["size"], ([], []))
-                hashes.append(f"{r['h']}L")
-                strings.append(f"'{r['window']}'")  # words hold neither quotes nor backslashes
+            for r in each.select("size", "window", F.xxhash64(F.slice(words, 1, self.prefix)).alias("p")).collect():  # most_windows at most
+                held.setdefault(r["size"], []).append(f"'{r['window']}'")  # words hold neither quotes nor backslashes
                 starts.add(r["p"])
             self.prefixes = ",".join(f"{p}L" for p in sorted(starts))
-            self.sets = {n: (",".join(h), ",".join(s)) for n, (h, s) in held.items()}
+            self.sets = {n: ",".join(windows) for n, windows in held.items()}
 
     def hits_sql(self, w: str) -> str:
         """array<struct<at, size>>: where windows of the set begin in the words array w, counted from 1."""
         if not self.sets:
             return NO_HITS
         p, parts = self.prefix, []
-        for n, (hashes, strings) in sorted(self.sets.items()):
-            where = f"i + {n - 1} <= size({w}) AND xxhash64(slice({w}, i, {n})) IN ({hashes}) AND array_join(slice({w}, i, {n}), ' ') IN ({strings})"
+        for n, windows in sorted(self.sets.items()):
+            where = f"i + {n - 1} <= size({w}) AND array_join(slice({w}, i, {n}), ' ') IN ({windows})"
             parts.append(f"transform(filter(c, i -> {where}), i -> named_struct('at', i, 'size', {n}))")
         starts = f"filter(sequence(1, size({w}) - {p - 1}), i -> xxhash64(slice({w}, i, {p})) IN ({self.prefixes}))"
         return f"CASE WHEN size({w}) >= {p} THEN transform(array({starts}), c -> concat({', '.join(parts)}))[0] ELSE {NO_HITS} END"

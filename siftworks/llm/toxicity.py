@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, ship, slices, table
+from .common import discard, held_out, materialize, ship, slices, table
 
 POSITIVES, UNLABELLED = 3000, 9000
 VOCABULARY, LEAST_RATIO = 4096, 2.0
@@ -132,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, type=pa.list_(pa.int32()))], names=["positive", "draw", "has"])
 
     held = rows.select("positive", "draw", "text").mapInArrow(which, "positive boolean, draw long, has array<int>").orderBy("draw", "has").collect()
+    discard(rows)
     of = lambda positive: [np.array(r["has"], dtype=np.int32) for r in held if r["positive"] == positive]
     return fit(vocab, of(True), of(False), prior)
 
