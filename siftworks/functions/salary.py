@@ -89,3 +89,21 @@ def assess(parsed: Column, floor: Floor, margin: float = MARGIN) -> Column:
     period = F.coalesce(parsed["period"], infer_period(parsed["amount_max"], parsed["currency"]))
     share = to_canonical(parsed["amount_max"], parsed["currency"], period, parsed["basis"], F.lit(floor.currency), floor.gross_net_ratio) / F.lit(least)
     return F.when(share.isNull(), "unparseable").when(share >= 1 + margin, "clears").when(share <= 1 - margin, "below_floor").otherwise("borderline")
+
+
+def explained(parsed: Column, floor: Floor, margin: float = MARGIN) -> Column:
+    """struct(status, detail): what assess says, and the figures behind it in words."""
+    status = assess(parsed, floor, margin)
+    least = floor.canonical()
+    if least is None:
+        return F.struct(status.alias("status"), F.lit("no parseable salary; apply estimation heuristics").alias("detail"))
+    period = F.coalesce(parsed["period"], infer_period(parsed["amount_max"], parsed["currency"]))
+    month = to_canonical(parsed["amount_max"], parsed["currency"], period, parsed["basis"], F.lit(floor.currency), floor.gross_net_ratio)
+    whole = lambda x: F.format_number(F.bround(x, 0), 0)
+    stated = F.when(parsed["period_stated"], F.lit("")).otherwise(F.lit(" [period inferred]"))
+    figures = F.concat(
+        F.lit("range max ≈ "), whole(month), F.lit(f" {floor.currency} gross/month vs floor "), whole(F.lit(least)), F.lit(" (parsed "), whole(parsed["amount_max"]), F.lit(" "), parsed["currency"], F.lit(" "), parsed["basis"], F.lit("/"), period, stated, F.lit(")")
+    )
+    after = F.when(status == "below_floor", " — verify before dropping").when(status == "borderline", " — borderline, verify").otherwise("")
+    unread = F.when(parsed.isNull(), F.lit("no parseable salary; apply estimation heuristics")).otherwise(F.concat(F.lit("unknown currency "), parsed["currency"]))
+    return F.struct(status.alias("status"), F.coalesce(F.concat(figures, after), unread).alias("detail"))

@@ -71,6 +71,12 @@ def merge_ledgers(ours: DataFrame, theirs: DataFrame, keys: list[str], values: l
     return a.join(b, keys, "full_outer").select(*keys, F.coalesce("_a", "_b").alias("_v")).select(*keys, "_v.*")
 
 
+def overwritten(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """The rows of new that old lacks or has otherwise: what a migration writes over plain state."""
+    a = old.select(*keys, F.struct(*values).alias("_a"))
+    return new.join(a, keys, "left").where(F.col("_a").isNull() | ~F.struct(*values).eqNullSafe(F.col("_a"))).select(*new.columns)
+
+
 def merge_counters(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """The recompute block alone takes the larger of each; other blocks are merged as days are."""
     return ours.union(theirs).agg(F.max("last").alias("last"), F.max("sessions").alias("sessions"))

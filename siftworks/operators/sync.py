@@ -60,3 +60,8 @@ def evidence(df: DataFrame) -> DataFrame:
 
 def digest(runs: DataFrame) -> DataFrame:
     return runs.select(F.format_string("in %d | new %d | dropped %d | dead links %d", "funnel_in", "new", "dropped", "link_dead").alias("line"))
+
+
+def export_pending(acted: DataFrame, path: str) -> None:
+    """Without access to the external table: what would be created or refreshed, as JSON lines in a folder, in place of the last export."""
+    acted.where(F.col("action").isin("create", "refresh")).write.mode("overwrite").json(path)

@@ -134,6 +134,14 @@ def coverage_errors(platforms: list[Platform], tiers: dict[str, list[str]], stre
     return [f"{n}: no tier" for n in missing] + [f"{n}: in several tiers" for n in dict.fromkeys(placed) if placed.count(n) > 1]
 
 
+def seniority_lexicon(base: dict[str, str], *templates: dict[str, str]) -> dict[str, str]:
+    """Bands by title term, in lower case; later ones win. Terms that name no band are a problem."""
+    out = {str(k).lower(): v for table in (base, *templates) for k, v in table.items()}
+    if wrong := [f"seniority: {k} is {v}" for k, v in out.items() if v not in BANDS]:
+        raise ConfigError("\n".join(wrong))
+    return out
+
+
 def keyword_places(keywords: list[str], places: list[str]) -> list[tuple[str, str]]:
     """Each keyword with each place, keyword by keyword: the addresses that a search by cards asks for. Both are short lists of
     the configuration, so this is no join of tables."""

@@ -203,18 +203,18 @@ _KEY, _DAY = "CAST(p_partkey AS STRING)", "'2024-01-' || lpad(CAST(p_partkey % 2
 _UNIX = "(1704096000 + p_partkey * 60)"
 _J = lambda **f: "to_json(named_struct(" + ", ".join(f"'{k}', {v}" for k, v in f.items()) + "))"
 _PLAIN_DAY = "'2024-01-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') || 'T08:30:00'"
-_FROM_UNIX = "strftime(TIMESTAMP '2024-01-01 08:00:00' + p_partkey * INTERVAL 1 MINUTE, '%Y-%m-%dT%H:%M:%S')"
+_FROM_UNIX = "strftime(TIMESTAMP '2024-01-01 08:00:00' + p_partkey * INTERVAL 1 MINUTE, '%Y-%m-%dT%H:%M:%S')"  # and +00:00
 SOURCES = {
     "remotive": ('{"jobs":[', ",", "]}", _J(title="p_name", company_name="p_brand", candidate_required_location="p_type", url=_URL, publication_date=_DAY, salary="concat(p_size, 'k EUR')", description="concat('<p>', p_type, '</p> <b>x</b>')"), ("p_name", "p_brand", "p_type", _URL, _PLAIN_DAY, "p_size || 'k EUR'", "p_type || ' x'")),
-    "remoteok": ('[{"legal":"notice"},', ",", "]", _J(position="CASE WHEN p_partkey % 36 <> 1 THEN p_name END", company="p_brand", location="'Anywhere'", url=_URL, date=_DAY, salary_min="CASE WHEN p_size % 2 = 0 THEN p_size END", salary_max="p_size + 10", description="p_type"), ("CASE WHEN p_partkey % 36 <> 1 THEN p_name END", "p_brand", "'Anywhere'", _URL, _PLAIN_DAY, "CASE WHEN p_size % 2 = 0 THEN p_size || '-' ELSE '' END || (p_size + 10)", "p_type")),
-    "justjoin": ('{"data":[', ",", "]}", _J(title="p_name", companyName="p_brand", city="'Krakow'", workplaceType="CASE p_size % 2 WHEN 0 THEN 'remote' ELSE 'hybrid' END", slug="concat('job-', p_partkey)", publishedAt=_DAY, employmentTypes="array(named_struct('from', CAST(NULL AS INT), 'to', CAST(NULL AS INT), 'currency', 'x', 'unit', 'x'), named_struct('from', p_size * 100, 'to', p_size * 200, 'currency', 'pln', 'unit', 'month'))"), ("p_name", "p_brand", "'Krakow (' || CASE p_size % 2 WHEN 0 THEN 'remote' ELSE 'hybrid' END || ')'", "'https://justjoin.it/job-offer/job-' || p_partkey", _PLAIN_DAY, "(p_size * 100) || ' - ' || (p_size * 200) || ' PLN/month'", "NULL")),
-    "himalayas": ('{"jobs":[', ",", "]}", _J(title="p_name", companyName="p_brand", locationRestrictions="CASE WHEN p_size % 2 = 0 THEN array('A', 'B', 'C', 'D', 'E') ELSE CAST(array() AS ARRAY<STRING>) END", applicationLink=f"CASE WHEN p_size % 3 = 0 THEN NULL ELSE {_URL} END", guid=f"concat({_URL}, '/g')", pubDate=_UNIX, minSalary="p_size", maxSalary="p_size * 2", currency="'EUR'", description="concat('<i>', p_type, '</i>')"), ("p_name", "p_brand", "CASE WHEN p_size % 2 = 0 THEN 'A, B, C, D' ELSE 'Worldwide' END", f"CASE WHEN p_size % 3 = 0 THEN {_URL} || '/g' ELSE {_URL} END", _FROM_UNIX, "p_size || '-' || (p_size * 2) || ' EUR'", "p_type")),
-    "greenhouse": ('{"jobs":[', ",", "]}", _J(title="p_name", location="named_struct('name', p_type)", absolute_url=_URL, updated_at=_DAY, content="concat('&lt;p&gt;', p_type, ' &amp;amp; more&lt;/p&gt;')"), ("p_name", "page", "p_type", _URL, _PLAIN_DAY, "NULL", "p_type || ' &amp; more'")),
-    "lever": ("[", ",", "]", _J(text="p_name", categories="named_struct('location', p_type)", hostedUrl=_URL, createdAt=f"{_UNIX} * 1000", descriptionPlain="p_brand"), ("p_name", "page", "p_type", _URL, _FROM_UNIX, "NULL", "p_brand")),
-    "workable": ('{"results":[', ",", "]}", _J(title="p_name", shortcode=_KEY, city="'Paris'", country="CASE WHEN p_size % 3 = 0 THEN '' ELSE 'France' END", remote="p_size % 2 = 0", published=_DAY), ("p_name", "page", "'Paris' || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' France' END || CASE WHEN p_size % 2 = 0 THEN ' remote' ELSE '' END", "'https://apply.workable.com/' || page || '/j/' || p_partkey || '/'", _PLAIN_DAY, "NULL", "NULL")),
-    "pinpoint": ('{"data":[', ",", "]}", _J(title="p_name", location="named_struct('name', CASE WHEN p_size % 2 = 0 THEN 'Skopje' END, 'city', 'Bitola')", workplace_type_text="CASE WHEN p_size % 3 = 0 THEN '' ELSE 'Hybrid' END", url=_URL, description="concat('<p>', p_type, '</p>')", compensation="concat(p_size, ' EUR')"), ("p_name", "page", "CASE WHEN p_size % 2 = 0 THEN 'Skopje' ELSE 'Bitola' END || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' (Hybrid)' END", _URL, "NULL", "p_size || ' EUR'", "p_type")),
-    "ashby": ('{"jobs":[', ",", "]}", _J(title="p_name", location="p_type", jobUrl=f"CASE WHEN p_size % 2 = 0 THEN '' ELSE {_URL} END", applyUrl=f"concat({_URL}, '/apply')", publishedAt=_DAY, compensation="named_struct('compensationTierSummary', concat(p_size, 'K'))", descriptionPlain="p_brand"), ("p_name", "''", "p_type", f"{_URL} || CASE WHEN p_size % 2 = 0 THEN '/apply' ELSE '' END", _PLAIN_DAY, "p_size || 'K'", "p_brand")),
-    "rss": ("<rss>", "\n", "</rss>", f"concat('<item><title>', CASE WHEN p_size % 2 = 0 THEN concat(p_brand, ': ') ELSE '' END, p_name, '</title><link>', {_URL}, '</link><region>', CASE WHEN p_size % 3 = 0 THEN '' ELSE 'EU' END, '</region><category>Any</category><pubDate>', {_DAY}, '</pubDate><description>&lt;p&gt;', p_type, '&lt;/p&gt;</description></item>')", ("p_name", "CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END", "CASE WHEN p_size % 3 = 0 THEN 'Any' ELSE 'EU' END", _URL, _PLAIN_DAY, "NULL", "p_type")),
+    "remoteok": ('[{"legal":"notice"},', ",", "]", _J(position="CASE WHEN p_partkey % 36 <> 1 THEN p_name END", company="p_brand", location="'Anywhere'", url=_URL, date=_DAY, salary_min="CASE WHEN p_size % 2 = 0 THEN p_size WHEN p_size % 3 = 0 THEN 0 END", salary_max="p_size + 10", description="p_type"), ("CASE WHEN p_partkey % 36 <> 1 THEN p_name END", "p_brand", "'Anywhere'", _URL, _PLAIN_DAY, "CASE WHEN p_size % 2 = 0 THEN p_size || '-' ELSE '' END || (p_size + 10)", "p_type")),
+    "justjoin": ('{"data":[', ",", "]}", _J(title="p_name", companyName="p_brand", city="'Krakow'", workplaceType="CASE p_size % 2 WHEN 0 THEN 'remote' ELSE 'hybrid' END", slug="concat('job-', p_partkey)", publishedAt=_DAY, employmentTypes="CASE WHEN p_size % 5 = 0 THEN NULL ELSE array(named_struct('from', CAST(NULL AS INT), 'to', 0, 'currency', 'x', 'type', 'x'), named_struct('from', p_size * 100, 'to', CASE WHEN p_size % 3 > 0 THEN p_size * 200 END, 'currency', 'pln', 'type', 'b2b')) END"), ("p_name", "p_brand", "'Krakow (' || CASE p_size % 2 WHEN 0 THEN 'remote' ELSE 'hybrid' END || ')'", "'https://justjoin.it/job-offer/job-' || p_partkey", _PLAIN_DAY, "CASE WHEN p_size % 5 > 0 THEN (p_size * 100) || '-' || CASE WHEN p_size % 3 > 0 THEN CAST(p_size * 200 AS VARCHAR) ELSE 'None' END || ' pln (b2b)' END", "NULL")),
+    "himalayas": ('{"jobs":[', ",", "]}", _J(title="p_name", companyName="p_brand", locationRestrictions="CASE WHEN p_size % 2 = 0 THEN array('A', 'B', 'C', 'D', 'E') ELSE CAST(array() AS ARRAY<STRING>) END", guid=f"CASE WHEN p_size % 3 > 0 THEN {_URL} END", companySlug="'co'", pubDate=_UNIX, minSalary="p_size", maxSalary="CASE WHEN p_size % 5 > 0 THEN p_size * 2 END", currency="'EUR'", salaryPeriod="'annual'", description="concat('<i>', p_type, '</i>')"), ("p_name", "p_brand", "CASE WHEN p_size % 2 = 0 THEN 'A, B, C, D' ELSE 'Worldwide' END", f"CASE WHEN p_size % 3 = 0 THEN 'https://himalayas.app/companies/co/jobs' ELSE {_URL} END", f"{_FROM_UNIX} || '+00:00'", "p_size || '-' || CASE WHEN p_size % 5 > 0 THEN CAST(p_size * 2 AS VARCHAR) ELSE 'None' END || ' EUR/annual'", "p_type")),
+    "greenhouse": ('{"jobs":[', ",", "]}", _J(title="p_name", location="named_struct('name', p_type)", absolute_url=_URL, updated_at=_DAY, content="concat('&lt;p&gt;', p_type, ' &amp;amp; more&lt;/p&gt;')"), ("p_name", "page", "p_type", _URL, _PLAIN_DAY, "NULL", "'&lt;p&gt;' || p_type || ' &amp;amp; more&lt;/p&gt;'")),
+    "lever": ("[", ",", "]", _J(text="p_name", categories="named_struct('location', p_type)", hostedUrl=_URL, createdAt=f"{_UNIX} * 1000", descriptionPlain="p_brand"), ("p_name", "page", "p_type", _URL, f"{_FROM_UNIX} || '+00:00'", "NULL", "p_brand")),
+    "workable": ('{"results":[', ",", "]}", _J(title="p_name", shortcode=_KEY, location="named_struct('city', 'Paris', 'country', CASE WHEN p_size % 3 = 0 THEN '' ELSE 'France' END)", remote="p_size % 2 = 0", published=_DAY), ("p_name", "page", "'Paris' || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' France' END || CASE WHEN p_size % 2 = 0 THEN ' remote' ELSE '' END", "'https://apply.workable.com/' || page || '/j/' || p_partkey || '/'", _PLAIN_DAY, "NULL", "NULL")),
+    "pinpoint": ('{"data":[', ",", "]}", _J(title="p_name", location="named_struct('name', CASE WHEN p_size % 2 = 0 THEN 'Skopje' END, 'city', 'Bitola')", workplace_type="CASE WHEN p_size % 3 = 0 THEN '' ELSE 'hybrid' END", url=_URL, description="concat('<p>', p_type, '</p>')", published_at=f"CASE WHEN p_size % 2 = 0 THEN {_DAY} END", created_at="'2023-12-31'"), ("p_name", "page", "CASE WHEN p_size % 2 = 0 THEN 'Skopje' ELSE 'Bitola' END || CASE WHEN p_size % 3 = 0 THEN ' ()' ELSE ' (hybrid)' END", _URL, f"CASE WHEN p_size % 2 = 0 THEN {_PLAIN_DAY} ELSE '2023-12-31' END", "NULL", "p_type")),
+    "ashby": ('{"jobs":[', ",", "]}", _J(title="p_name", location="p_type", jobUrl=f"CASE WHEN p_size % 2 = 0 THEN '' ELSE {_URL} END", applyUrl=f"concat({_URL}, '/apply')", publishedAt=_DAY), ("p_name", "''", "p_type", f"{_URL} || CASE WHEN p_size % 2 = 0 THEN '/apply' ELSE '' END", _PLAIN_DAY, "NULL", "NULL")),
+    "rss": ("<rss>", "\n", "</rss>", f"concat('<item><title>', CASE WHEN p_size % 2 = 0 THEN concat(p_brand, ': ') ELSE '' END, p_name, '</title><link>', {_URL}, '</link><region>', CASE WHEN p_size % 3 = 0 THEN '' ELSE 'EU' END, '</region><category>Any</category><pubDate>', {_DAY}, '</pubDate><description><![CDATA[<p>', p_type, '</p>]]></description></item>')", ("p_name", "CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END", "CASE WHEN p_size % 3 = 0 THEN 'Any' ELSE 'EU' END", _URL, _PLAIN_DAY, "NULL", "p_type")),
     "sitemap": ("<urlset>", "", "</urlset>", f"concat('<url><loc>', {_URL}, '</loc><lastmod>', {_DAY}, '</lastmod><image:caption>', p_brand, ' - ', p_name, ' (remote job)</image:caption></url>')", ("p_name", "p_brand", "''", _URL, _PLAIN_DAY, "NULL", "NULL")),
     "working_nomads": ("[", ",", "]", _J(title="p_name", company_name="p_brand", location="p_type", url=_URL, pub_date=_DAY, description="concat('<p>', p_type, '</p>')"), ("p_name", "p_brand", "p_type", _URL, _PLAIN_DAY, "NULL", "p_type")),
     "guest_cards": ("<ul>", "", "</ul>", f"""concat('<li class="card"><a class="x" href="', {_URL}, '?ref=a">go</a><h3 class="base-title">', p_name, '</h3><h4 class="subtitle"> ', p_brand, '</h4><span class="location">', p_type, '</span><time datetime="', {_DAY}, '"></time></li>')""", ("p_name", "p_brand", "p_type", _URL, _PLAIN_DAY, "NULL", "NULL")),

@@ -33,6 +33,23 @@ def first_per_url(df: DataFrame, keep_last: bool = False) -> DataFrame:
     return df.groupBy("platform", "url").agg(pick(F.struct(*rest), F.col("row_ord")).alias("_r")).select("platform", "url", "_r.*").select(*df.columns)
 
 
+def given(c: Column) -> Column:
+    """Whether a JSON value, taken as text, is there and neither empty nor zero."""
+    return ~text(c).isin("", "0", "0.0", "false")
+
+
+def said(c: Column) -> Column:
+    """A JSON value as it is written into a text: None where it is missing."""
+    return F.coalesce(c, F.lit("None"))
+
+
+def utc(seconds: Column) -> Column:
+    """Seconds since 1970 as an ISO time with its offset, and with microseconds if there is a fraction."""
+    t = F.timestamp_seconds(seconds)
+    fraction = F.when(F.date_format(t, "SSSSSS") != "000000", F.date_format(t, ".SSSSSS")).otherwise(F.lit(""))
+    return F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
+
+
 def remotive(p: DataFrame) -> DataFrame:
     j = _json(p, "jobs array<struct<title:string,company_name:string,candidate_required_location:string,url:string,publication_date:string,salary:string,description:string>>", "_p.jobs")
     return _candidates(j, F.col("j.title"), F.col("j.company_name"), F.col("j.candidate_required_location"), F.col("j.url"), F.col("j.publication_date"), F.col("j.salary"), text_of(F.col("j.description")))
@@ -41,65 +58,78 @@ def remotive(p: DataFrame) -> DataFrame:
 def remoteok(p: DataFrame) -> DataFrame:
     """An array whose first element is a notice; rows without a position go; the later of equal urls stays."""
     j = _json(p, "array<struct<position:string,company:string,location:string,url:string,date:string,salary_min:string,salary_max:string,description:string>>", "_p").where(F.coalesce("j.position", F.lit("")) != "")
-    pay = F.regexp_replace(F.concat(text(F.col("j.salary_min")), F.lit("-"), text(F.col("j.salary_max"))), "^-+|-+$", "")
+    ends = [F.when(given(F.col(f"j.{c}")), F.col(f"j.{c}")).otherwise(F.lit("")) for c in ("salary_min", "salary_max")]
+    pay = F.regexp_replace(F.concat(ends[0], F.lit("-"), ends[1]), "^-+|-+$", "")
     return first_per_url(_candidates(j, F.col("j.position"), F.col("j.company"), F.col("j.location"), F.col("j.url"), F.col("j.date"), pay, text_of(F.col("j.description"))), keep_last=True)
 
 
 def justjoin(p: DataFrame, base: str = "https://justjoin.it/job-offer/") -> DataFrame:
     """The first of each slug; place with its kind; the pay of the first employment type that has one."""
-    j = _json(p, "data array<struct<title:string,companyName:string,city:string,workplaceType:string,slug:string,publishedAt:string,employmentTypes:array<struct<`from`:double,`to`:double,currency:string,unit:string>>>>", "_p.data")
+    j = _json(p, "data array<struct<title:string,companyName:string,city:string,workplaceType:string,slug:string,publishedAt:string,employmentTypes:array<struct<`from`:string,`to`:string,currency:string,type:string>>>>", "_p.data")
     place = F.concat(text(F.col("j.city")), F.lit(" ("), text(F.col("j.workplaceType")), F.lit(")"))
-    paid = F.filter("j.employmentTypes", lambda e: e["from"].isNotNull() | e["to"].isNotNull())[0]
-    pay = F.concat(F.format_string("%.0f", F.coalesce(paid["from"], paid["to"])), F.lit(" - "), F.format_string("%.0f", F.coalesce(paid["to"], paid["from"])), F.lit(" "), F.upper(text(paid["currency"])), F.when(text(paid["unit"]) != "", F.concat(F.lit("/"), paid["unit"])).otherwise(F.lit("")))
+    paid = F.get(F.filter("j.employmentTypes", lambda e: given(e["from"]) | given(e["to"])), F.lit(0))
+    pay = F.when(paid.isNotNull(), F.concat(said(paid["from"]), F.lit("-"), said(paid["to"]), F.lit(" "), text(paid["currency"]), F.lit(" ("), text(paid["type"]), F.lit(")")))
     return first_per_url(_candidates(j, F.col("j.title"), F.col("j.companyName"), place, F.concat(F.lit(base), F.col("j.slug")), F.col("j.publishedAt"), pay))
 
 
+def pages_by_cursor(p: DataFrame, most: int = 60) -> DataFrame:
+    """Pages of a feed that names the next one, in the order of their numbers: up to the first that names none or says that the
+    next one is empty, and `most` at most."""
+    following = F.from_json("payload", "meta struct<next: struct<cursor: string, itemsCount: int>>")["meta"]["next"]
+    ends = following.isNull() | following["cursor"].isNull() | (F.coalesce(following["itemsCount"], F.lit(0)) == 0)
+    last = p.where(ends).groupBy("platform").agg(F.min(F.col("page").cast("int")).alias("_last"))
+    number = F.col("page").cast("int")
+    return p.join(F.broadcast(last), "platform", "left").where((number < most) & (F.col("_last").isNull() | (number <= F.col("_last")))).select(*p.columns)
+
+
 def himalayas(p: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """Rows that hold a wanted phrase in title or categories; four places at most; times in epoch seconds."""
-    j = _json(p, "jobs array<struct<title:string,companyName:string,locationRestrictions:array<string>,applicationLink:string,guid:string,pubDate:long,minSalary:string,maxSalary:string,currency:string,description:string,categories:array<string>,parentCategories:array<string>>>", "_p.jobs")
+    j = _json(p, "jobs array<struct<title:string,companyName:string,companySlug:string,locationRestrictions:array<string>,guid:string,pubDate:string,minSalary:string,maxSalary:string,currency:string,salaryPeriod:string,description:string,categories:array<string>,parentCategories:array<string>>>", "_p.jobs")
     hay = F.lower(F.concat_ws(" ", "j.title", "j.categories", "j.parentCategories"))
     if wanted:
         j = j.where(F.exists(F.array(*(F.lit(w.lower()) for w in wanted)), lambda w: hay.contains(w)))
     place = F.when(F.size("j.locationRestrictions") > 0, F.array_join(F.slice("j.locationRestrictions", 1, 4), ", ")).otherwise("Worldwide")
-    posted = F.date_format(F.timestamp_seconds("j.pubDate"), "yyyy-MM-dd'T'HH:mm:ss")
-    pay = F.when(F.col("j.minSalary").isNotNull(), F.concat_ws(" ", F.concat_ws("-", "j.minSalary", "j.maxSalary"), "j.currency"))
-    return first_per_url(_candidates(j, F.col("j.title"), F.col("j.companyName"), place, F.coalesce("j.applicationLink", "j.guid"), posted, pay, F.left(text_of(F.col("j.description")), F.lit(5000))))
+    posted = F.coalesce(utc(F.col("j.pubDate").try_cast("decimal(20,6)")), F.col("j.pubDate"))
+    pay = F.when(given(F.col("j.minSalary")) | given(F.col("j.maxSalary")), F.concat(said(F.col("j.minSalary")), F.lit("-"), said(F.col("j.maxSalary")), F.lit(" "), text(F.col("j.currency")), F.lit("/"), text(F.col("j.salaryPeriod"))))
+    url = F.when(given(F.col("j.guid")), F.col("j.guid")).otherwise(F.concat(F.lit("https://himalayas.app/companies/"), said(F.col("j.companySlug")), F.lit("/jobs")))
+    return _candidates(j, F.col("j.title"), F.col("j.companyName"), place, url, posted, pay, F.left(text_of(F.col("j.description")), F.lit(5000)))
 
 
 def greenhouse(p: DataFrame) -> DataFrame:
     """The page names the board, which is the company."""
     j = _json(p, "jobs array<struct<title:string,location:struct<name:string>,absolute_url:string,updated_at:string,content:string>>", "_p.jobs")
-    return _candidates(j, F.col("j.title"), F.col("page"), F.col("j.location.name"), F.col("j.absolute_url"), F.col("j.updated_at"), None, text_of(unescape(text(F.col("j.content")))))
+    return _candidates(j, F.col("j.title"), F.col("page"), F.col("j.location.name"), F.col("j.absolute_url"), F.col("j.updated_at"), None, text_of(F.col("j.content")))
 
 
 def lever(p: DataFrame) -> DataFrame:
-    j = _json(p, "array<struct<text:string,categories:struct<location:string>,hostedUrl:string,createdAt:long,descriptionPlain:string>>", "_p")
-    return _candidates(j, F.col("j.text"), F.col("page"), F.col("j.categories.location"), F.col("j.hostedUrl"), F.date_format(F.timestamp_millis("j.createdAt"), "yyyy-MM-dd'T'HH:mm:ss"), None, F.col("j.descriptionPlain"))
+    j = _json(p, "array<struct<text:string,categories:struct<location:string>,hostedUrl:string,createdAt:string,descriptionPlain:string>>", "_p")
+    return _candidates(j, F.col("j.text"), F.col("page"), F.col("j.categories.location"), F.col("j.hostedUrl"), F.coalesce(utc(F.col("j.createdAt").try_cast("decimal(20,3)") / 1000), F.col("j.createdAt")), None, F.col("j.descriptionPlain"))
 
 
 def workable(p: DataFrame) -> DataFrame:
-    j = _json(p, "results array<struct<title:string,shortcode:string,city:string,country:string,location:struct<city:string,country:string>,remote:boolean,published:string>>", "_p.results")
-    parts = F.array(F.coalesce("j.location.city", "j.city"), F.coalesce("j.location.country", "j.country"), F.when(F.col("j.remote"), F.lit("remote")))
+    j = _json(p, "results array<struct<title:string,shortcode:string,location:struct<city:string,country:string>,remote:boolean,published:string>>", "_p.results")
+    parts = F.array(F.col("j.location.city"), F.col("j.location.country"), F.when(F.col("j.remote"), F.lit("remote")))
     place = F.array_join(F.filter(parts, lambda x: text(x) != ""), " ")
     return _candidates(j, F.col("j.title"), F.col("page"), place, F.concat(F.lit("https://apply.workable.com/"), F.col("page"), F.lit("/j/"), F.col("j.shortcode"), F.lit("/")), F.col("j.published"))
 
 
 def pinpoint(p: DataFrame) -> DataFrame:
     """A place may be an object or text."""
-    j = _json(p, "data array<struct<title:string,location:string,workplace_type_text:string,url:string,description:string,compensation:string>>", "_p.data")
-    place = F.coalesce(F.get_json_object("j.location", "$.name"), F.get_json_object("j.location", "$.city"), F.col("j.location"))
-    place = F.when(text(F.col("j.workplace_type_text")) != "", F.concat(text(place), F.lit(" ("), F.col("j.workplace_type_text"), F.lit(")"))).otherwise(place)
-    return _candidates(j, F.col("j.title"), F.col("page"), place, F.col("j.url"), None, F.col("j.compensation"), text_of(F.col("j.description")))
+    j = _json(p, "data array<struct<title:string,location:string,workplace_type:string,url:string,description:string,published_at:string,created_at:string>>", "_p.data")
+    whole = F.col("j.location")
+    named = F.coalesce(F.nullif(F.get_json_object(whole, "$.name"), F.lit("")), F.get_json_object(whole, "$.city"), F.lit(""))
+    place = F.concat(F.when(whole.startswith("{"), named).otherwise(text(whole)), F.lit(" ("), text(F.col("j.workplace_type")), F.lit(")"))
+    return _candidates(j, F.col("j.title"), F.col("page"), place, F.col("j.url"), F.coalesce(F.nullif("j.published_at", F.lit("")), F.col("j.created_at")), None, text_of(F.col("j.description")))
 
 
 def ashby(p: DataFrame, company: str = "", site: str = "https://www.deel.com") -> DataFrame:
     """The job board's JSON; where a payload has none, the job objects that a careers page holds as escaped JSON. A job
     whose titles all have over 90 characters goes by the one for search engines up to a bar; one without a title is left out."""
-    j = _json(p, "jobs array<struct<title:string,location:string,jobUrl:string,applyUrl:string,publishedAt:string,compensation:struct<compensationTierSummary:string>,descriptionPlain:string>>", "_p.jobs")
-    good = _candidates(j, F.col("j.title"), F.lit(company), F.col("j.location"), F.coalesce(F.nullif("j.jobUrl", F.lit("")), F.col("j.applyUrl")), F.col("j.publishedAt"), F.col("j.compensation.compensationTierSummary"), F.col("j.descriptionPlain"))
+    j = _json(p, "jobs array<struct<title:string,location:string,jobUrl:string,applyUrl:string,publishedAt:string>>", "_p.jobs")
+    good = _candidates(j, F.col("j.title"), F.lit(company), F.col("j.location"), F.coalesce(F.nullif("j.jobUrl", F.lit("")), F.col("j.applyUrl")), F.col("j.publishedAt"))
     plain = F.replace(F.col("payload"), F.lit('\\"'), F.lit('"'))
     whole = r'\{"id":\d+,"attributes":\{"ashby_id":"[\w-]+"(.{0,4000}?"slug":"[^"\\]+)"'
-    found = p.where(F.from_json("payload", "jobs array<string>").getField("jobs").isNull()).select("platform_ord", "platform", "page", F.posexplode(F.regexp_extract_all(plain, F.lit(whole), F.lit(1))).alias("pos", "j"))
+    found = p.where(F.coalesce(F.size(F.from_json("payload", "jobs array<string>").getField("jobs")), F.lit(0)) <= 0).select("platform_ord", "platform", "page", F.posexplode(F.regexp_extract_all(plain, F.lit(whole), F.lit(1))).alias("pos", "j"))
     found = found.withColumns({"slug": F.regexp_extract("j", r'"slug":"([^"\\]+)$', 1), "job": F.regexp_replace("j", r'"slug":"[^"\\]+$', "")})
     own, seo = F.regexp_extract("job", r'"(?:job_title|title)":"([^"\\]{3,90})"', 1), F.regexp_extract("job", r'"SEO":\{"title":"([^"\\|]{3,90})', 1)
     one = lambda name: F.regexp_extract("job", rf'"{name}":"([^"\\]+)"', 1)
@@ -113,9 +143,9 @@ def rss(p: DataFrame) -> DataFrame:
     """Items of a feed; "Company: Role" is cut at the first colon."""
     i = p.select("platform_ord", "platform", "page", F.posexplode(F.regexp_extract_all("payload", F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1))).alias("pos", "j"))
     tag = lambda name: F.trim(F.regexp_replace(F.regexp_extract("j", rf"(?s)<{name}>(.*?)</{name}>", 1), r"^<!\[CDATA\[|\]\]>$", ""))
-    parts = F.split(unescape(tag("title")), ":", 2)
-    has = F.size(parts) == 2
-    return _candidates(i, F.when(has, parts[1]).otherwise(parts[0]), F.when(has, parts[0]).otherwise(F.lit("")), F.coalesce(F.nullif(tag("region"), F.lit("")), tag("category")), tag("link"), tag("pubDate"), None, F.left(text_of(unescape(tag("description"))), F.lit(5000)))
+    parts = F.split(tag("title"), ":", 2)
+    has = (F.size(parts) == 2) & (F.get(parts, F.lit(1)) != "")
+    return _candidates(i, F.when(has, parts[1]).otherwise(tag("title")), F.when(has, parts[0]).otherwise(F.lit("")), F.coalesce(F.nullif(tag("region"), F.lit("")), tag("category")), tag("link"), tag("pubDate"), None, F.left(text_of(tag("description")), F.lit(5000)))
 
 
 def sitemap(p: DataFrame) -> DataFrame:

@@ -151,6 +151,39 @@ def test_ledger_counters_and_small_operators(spark):
     assert [r.r.n for r in states] == [3, None, None]
 
 
+def test_pages_until_a_stop(spark):
+    page = lambda cursor, n: '{"data": [], "meta": {"next": {"cursor": %s, "itemsCount": %s}}}' % (cursor, n)
+    rows = [("a", 0, page('"x"', 20)), ("a", 1, page('"y"', 0)), ("a", 2, page('"z"', 20)), ("b", 0, page("null", 20)), ("b", 1, "{}"), ("c", 0, page('"x"', 5)), ("c", 1, page('"x"', 5)), ("c", 2, page('"x"', 5))]
+    df = spark.createDataFrame(rows, "platform string, page int, payload string")
+    assert sorted((r.platform, r.page) for r in payloads.pages_by_cursor(df, most=2).collect()) == [("a", 0), ("a", 1), ("b", 0), ("c", 0), ("c", 1)]
+    listed = [("s", p, u) for p, urls in enumerate((["a", "b"], ["b", "c"], ["c", "a"], ["d"])) for u in urls] + [("t", 0, "x"), ("t", 2, "y")]
+    pages = spark.createDataFrame(listed, "source string, page int, url string")
+    assert sorted({(r.source, r.page) for r in payloads.pages_until_dry(pages, "source", "page", "url").collect()}) == [("s", 0), ("s", 1), ("t", 0)]
+    assert {r.page for r in payloads.pages_until_dry(pages, "source", "page", "url", most=1).collect()} == {0}
+
+
+def test_pay_in_words_lexicons_exports_and_migrations(spark, tmp_path):
+    from siftworks.functions import salary
+    from siftworks.operators import state
+
+    floor = salary.Floor(2500, "EUR", "month", "net", 0.83)
+    said = ["pays 5000 EUR per month", "3000 EUR gross a month", "up to 500 EUR per month", "4000 EUR", "nothing"]
+    df = spark.createDataFrame([(x,) for x in said], "a string").select(salary.parse(F.col("a")).alias("p"))
+    got = [tuple(r.r) for r in df.select(salary.explained(F.col("p"), floor).alias("r")).collect()]
+    assert got[0] == ("clears", "range max ≈ 5,000 EUR gross/month vs floor 3,012 (parsed 5,000 EUR gross/month)")
+    assert got[1][0] == "borderline" and got[1][1].endswith(" — borderline, verify") and got[2][0] == "below_floor" and got[2][1].endswith(" — verify before dropping")
+    assert "[period inferred]" in got[3][1] and got[4] == ("unparseable", "no parseable salary; apply estimation heuristics")
+    assert config.seniority_lexicon({"Lead": "lead", "sr": "senior"}, {"SR": "staff"}) == {"lead": "lead", "sr": "staff"}
+    with pytest.raises(config.ConfigError):
+        config.seniority_lexicon({"x": "chief"})
+    acted = spark.createDataFrame([("u1", "create"), ("u2", "skip_resolved"), ("u3", "refresh")], "url string, action string")
+    for _ in range(2):
+        sync.export_pending(acted, str(tmp_path / "pending"))
+    assert sorted(r.url for r in spark.read.json(str(tmp_path / "pending")).collect()) == ["u1", "u3"]
+    old, new = (spark.createDataFrame(x, "k string, v int") for x in ([("a", 1), ("b", 2), ("c", None)], [("a", 1), ("b", 3), ("c", None), ("d", None)]))
+    assert sorted(r.k for r in state.overwritten(old, new, ["k"], ["v"]).collect()) == ["b", "d"]
+
+
 def test_gates_lose_no_match(spark):
     """Each pattern with its plain search before it finds what it finds without."""
     said = ["US only", "us-only team", "must reside in the United States", "authorized to work in the U.S.", "EVerify", "W2", "busonly", "TS/SCI", "public trust", "travel as needed", "25% travel", "996", "60 hours/week", "60+ hourweek",
