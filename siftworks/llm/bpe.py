@@ -48,7 +48,7 @@ class Encoder:
     """keep bounds the number of pieces stored from call to call; beyond it the later ones go, so that the pieces met first, most
     of them frequent, stay."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -101,12 +101,14 @@ class Encoder:
             self._learn([distinct[i] for i in new])
             for i in new:
                 stored[i] = self.known[distinct[i]]
-        size = np.fromiter(map(len, stored), dtype=np.int64, count=len(stored)) // 4
-        flat, first = np.frombuffer(b"".join(stored), dtype="<u4"), np.cumsum(size) - size
+        # Ids are at most as many as bytes, so 32 bits number them.
+        size = np.fromiter(map(len, stored), dtype=np.int32, count=len(stored)) // 4
+        flat, first = np.frombuffer(b"".join(stored), dtype="<u4"), np.cumsum(size, dtype=np.int32) - size
         n = size[codes]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(first[codes] - (ends - n), n) + np.arange(ends[-1])]
-        return ids, np.append(0, ends)[np.searchsorted(cuts, to)]
+        ends = np.cumsum(n, dtype=np.int32)
+        at = np.repeat(first[codes] - (ends - n), n)
+        at += np.arange(ends[-1], dtype=np.int32)
+        return flat[at], np.append(0, ends).astype(np.int64)[np.searchsorted(cuts, to)]
 
     def encode_ended(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """encode with end_id after each text's ids."""
