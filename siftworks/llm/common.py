@@ -115,7 +115,7 @@ def ship(spark: SparkSession) -> None:
     sc._siftworks_shipped = True
 
 
-def slices(batch, bytes_at_once: int = 4 << 20, rows_at_once: int = 1024, text: str = "text") -> Iterator:
+def slices(batch, bytes_at_once: int = 2 << 20, rows_at_once: int = 1024, text: str = "text") -> Iterator:
     """Cut an Arrow batch so that Python never holds more than about bytes_at_once of text (one row at least)."""
     import pyarrow.compute as pc
 

@@ -169,7 +169,7 @@ def pack_documents(docs: DataFrame, limits: Limits | None = None, tokenizer: str
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for rows in slices(batch, 3 << 20, 2048):
+            for rows in slices(batch, 1 << 20):
                 ids, to = enc.encode_ended(rows.column(1), end_id)
                 raw, cuts, loss_from = ids.tobytes(), rows.column(2).to_pylist(), [0] * rows.num_rows
                 if any(cuts):
