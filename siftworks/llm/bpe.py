@@ -18,6 +18,8 @@ import numpy as np
 #: The words of the pre-tokenizer, for those who count words themselves.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 CHUNK = 400
+#: Pieces that an encoder stores, about 200 bytes each.
+KNOWN = 600_000
 #: White space in UTF-8: single bytes, the last byte after C2, and the last two after E1, E2 and E3.
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _AFTER_C2 = np.isin(np.arange(256), [0x85, 0xA0])
@@ -48,7 +50,7 @@ class Encoder:
     """keep bounds the number of pieces stored from call to call; beyond it the later ones go, so that the pieces met first, most
     of them frequent, stay."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = KNOWN):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -125,7 +127,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int = KNOWN) -> Encoder:
     """One per worker process, kept from task to task. The tasks are the parallelism; the library's own threads would only compete."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return Encoder(path)
+    return Encoder(path, keep)

@@ -142,8 +142,8 @@ class Packer:
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, limits: Limits | None = None, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", prompt_chars: str | None = None) -> DataFrame:
-    """One row per piece. prompt_chars: a column with the length of a prompt at a text's start, whose tokens bear no loss."""
+def pack_documents(docs: DataFrame, limits: Limits | None = None, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", prompt_chars: str | None = None, known: int = bpe.KNOWN) -> DataFrame:
+    """One row per piece. known: what a worker stores of the tokenizer's pieces. prompt_chars: a column with the length of a prompt at a text's start, whose tokens bear no loss."""
     ship(docs.sparkSession)
     limits, tokenizer = limits or Limits(), tokenizer or bpe.default_path()
 
@@ -152,7 +152,7 @@ def pack_documents(docs: DataFrame, limits: Limits | None = None, tokenizer: str
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        enc, packer = bpe.encoder(tokenizer), Packer(limits)
+        enc, packer = bpe.encoder(tokenizer, known), Packer(limits)
         row = 0
         held: dict[int, list] = {}  # documents with tokens still to come out: [id, ids, tokens to come]
 
