@@ -19,7 +19,7 @@ import numpy as np
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 CHUNK = 400
 #: Pieces that an encoder stores, about 200 bytes each.
-KNOWN = 600_000
+KNOWN = 400_000
 #: White space in UTF-8: single bytes, the last byte after C2, and the last two after E1, E2 and E3.
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _AFTER_C2 = np.isin(np.arange(256), [0x85, 0xA0])

@@ -142,8 +142,9 @@ class Packer:
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, limits: Limits | None = None, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", prompt_chars: str | None = None, known: int = bpe.KNOWN) -> DataFrame:
-    """One row per piece. known: what a worker stores of the tokenizer's pieces. prompt_chars: a column with the length of a prompt at a text's start, whose tokens bear no loss."""
+def pack_documents(docs: DataFrame, limits: Limits | None = None, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", prompt_chars: str | None = None, known: int = bpe.KNOWN, batch_mb: int = 2) -> DataFrame:
+    """One row per piece. prompt_chars: a column with the length of a prompt at a text's start, whose tokens bear no loss.
+    known, batch_mb: what a worker stores of the tokenizer's pieces, and the text that it encodes at a time, against its memory."""
     ship(docs.sparkSession)
     limits, tokenizer = limits or Limits(), tokenizer or bpe.default_path()
 
@@ -169,7 +170,7 @@ def pack_documents(docs: DataFrame, limits: Limits | None = None, tokenizer: str
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for rows in slices(batch, 1 << 20):
+            for rows in slices(batch, batch_mb << 20):
                 ids, to = enc.encode_ended(rows.column(1), end_id)
                 raw, cuts, loss_from = ids.tobytes(), rows.column(2).to_pylist(), [0] * rows.num_rows
                 if any(cuts):

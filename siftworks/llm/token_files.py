@@ -35,7 +35,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         part, start = TaskContext.get().partitionId(), 0
         enc = bpe.encoder(tokenizer)
         for batch in batches:
-            for rows in slices(batch, 1 << 20):
+            for rows in slices(batch, 2 << 20):
                 ids, to = enc.encode_ended(rows.column(1), end_id)
                 n = np.diff(to)
                 lists = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(ids.view("<i4")))
