@@ -52,8 +52,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of token sequences that the documents fill. Workers that serve all stages store fewer pieces of the tokenizer."""
-    return pack_documents(docs, known=300_000)
+    """The pieces of token sequences that the documents fill. Workers that serve all stages are given less memory for it."""
+    return pack_documents(docs, known=300_000, batch_mb=1)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]
