@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -98,6 +99,11 @@ def held_out(doc_id: Column) -> Column:
     return bucket_of_id(doc_id) == 2
 
 
+#: crc32 of {0}, a string of ASCII characters, in DuckDB, bit by bit.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}, ''), lambda x: ord(x)::UBIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"""
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that workers can import it wherever they run."""
     sc = spark.sparkContext

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, imatch, langid, packing, secret_scan, simhash, substring_dedup, token_counts, token_files, toxicity
+from . import conversation_repair, conversation_trie, decontaminate, imatch, langid, nearest, packing, secret_scan, simhash, substring_dedup, token_counts, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_token_files": token_files.op9_token_files,
         "op10_simhash": simhash.op10_simhash,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+        "op12_nearest": nearest.op12_nearest,
+        "op13_conversation_trie": conversation_trie.op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.OP3_SQL}
+    return {"op3_decontaminate": decontaminate.OP3_SQL, "op11_conversation_repair": conversation_repair.OP11_SQL, "op12_nearest": nearest.OP12_SQL, "op13_conversation_trie": conversation_trie.OP13_SQL}
