@@ -95,9 +95,16 @@ def language_flag(c: Column, targets: list[str]) -> Column:
     return F.when(lang.isNotNull() & ~lang.isin(targets), F.lit("non_target_language"))
 
 
-def title_language(title: Column) -> Column:
-    """By letters alone, for titles too short for words."""
-    return F.coalesce(*(F.when(F.lower(text(title)).rlike(f"[{DIACRITICS[x]}]"), F.lit(x)) for x in ("pl", "de", "fr", "es", "it", "pt")))
+def title_language(title: Column, targets: list[str] = ()) -> Column:
+    """By letters alone, for titles too short for words: the first language with such a letter that is none of the targets."""
+    others = [x for x in ("pl", "de", "fr", "es", "it", "pt") if x not in targets]
+    return F.coalesce(*(F.when(F.lower(text(title)).rlike(f"[{DIACRITICS[x]}]"), F.lit(x)) for x in others), F.lit(None).cast("string"))
+
+
+def language_of(title: Column, body: Column, targets: list[str]) -> Column:
+    """The body's language if it is out of the targets; else what the title's letters tell of a language out of them; else the body's."""
+    said = detect_language(body)
+    return F.get(F.transform(F.array(said), lambda x: F.when(x.isin(list(targets)), F.coalesce(title_language(title, targets), x)).otherwise(F.coalesce(x, title_language(title, targets)))), F.lit(0))
 
 
 def stated_language_requirement(c: Column, targets: list[str]) -> Column:
@@ -144,9 +151,9 @@ def detect_employment(c: Column) -> Column:
 
 
 def employment_off_target(found: Column, accept: list[str]) -> Column:
-    """Stated kinds and none of them accepted; or full time without part time where part time is sought and full time isn't."""
+    """Stated kinds and none of them accepted; or full time without part time where part time is accepted, whatever else is."""
     none = (F.size(found) > 0) & ~F.arrays_overlap(found, F.array(*map(F.lit, accept)))
-    guard = F.lit("part_time" in accept and "full_time" not in accept) & F.array_contains(found, "full_time") & ~F.array_contains(found, "part_time")
+    guard = F.lit("part_time" in accept) & F.array_contains(found, "full_time") & ~F.array_contains(found, "part_time")
     return none | guard
 
 

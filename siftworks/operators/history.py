@@ -19,6 +19,28 @@ def current_records(log: DataFrame, url: str = "url_key", key: str = "key", seq:
     return log.join(last_url.union(last_key).distinct(), seq, "left_semi")
 
 
+def ordered_records(log: DataFrame, url: str = "url_key", key: str = "key", seq: str = "seq") -> DataFrame:
+    """current_records with place, by which they are in order: records that are their url's last come where that url first came; those
+    that only their key names come after them, where that key first came. First places and last versions meet in aggregates,
+    which are partly made before they are shuffled, so a hot url or key is gathered nowhere."""
+    last = None
+    for tier, name in enumerate((url, key)):
+        of = log.where(F.coalesce(name, F.lit("")) != "").groupBy(name).agg(F.max(seq).alias(seq), F.struct(F.lit(tier).alias("tier"), F.lit(0).alias("run"), F.min(seq).alias("seq"), F.lit("").alias("at")).alias("place")).drop(name)
+        last = of if last is None else last.unionByName(of)
+    return log.join(last.groupBy(seq).agg(F.min("place").alias("place")), seq)
+
+
+def run_drops(rows: DataFrame, url: str = "url_key", seq: str = "long") -> DataFrame:
+    """What a run has dropped as records that follow those of the log: url, company_key, role, locdom, status, reason, place. The link
+    checks' drops come after those of the filters; of each kind by platform and url."""
+    late = F.col("drop_reason").isin("stale", "unverified_blocked")
+    blocked = F.col("drop_reason") == "unverified_blocked"
+    reason = F.when(blocked, "Unverified/Blocked").when(late, "Stale/Expired").otherwise("Filtered Out")
+    place = F.struct(F.lit(0).alias("tier"), F.when(late, 2).otherwise(1).alias("run"), F.lit(0).cast(seq).alias("seq"), F.concat_ws(" ", "platform", url).alias("at"))
+    status = F.when(blocked, "unverified_blocked").otherwise("dropped")
+    return rows.where("drop_reason IS NOT NULL").select(url, "company_key", F.col("title").alias("role"), F.col("loc").alias("locdom"), status.alias("status"), reason.alias("reason"), place.alias("place"))
+
+
 def checked(df: DataFrame, status: str = "status") -> DataFrame:
     """Fails on a state out of the list."""
     return df.withColumn(status, F.when(F.col(status).isin(*STATUSES), F.col(status)).otherwise(F.raise_error(F.concat(F.lit("unknown status: "), F.coalesce(F.col(status), F.lit("null"))))))
@@ -63,19 +85,29 @@ def saturation(df: DataFrame, company: str, family: str, status: str, url: str,
     return out.withColumn("applied_variants", n).withColumn("saturated", n >= least).drop("_all", "_own")
 
 
-def company_history(cands: DataFrame, seen: DataFrame, most: int = 8, least: int = 2, company: str = "company_key", family: str = "family", seq: str = "seq", payload: tuple[str, ...] = ("family", "status")) -> DataFrame:
-    """cands with prior (the first `most` records of the same company in the log, by seq), applied_variants (applied records of
-    the same company and role family) and saturated. A candidate's own url is not in the log any more when this is asked.
-
-    The first records are ranked within salted parts before they meet, so no company is gathered in one task."""
-    named = seen.where(F.col(company) != "")
-    parts = named.withColumn("_salt", F.pmod(F.xxhash64(seq), F.lit(64)))
-    firsts = parts.withColumn("_r", F.row_number().over(Window.partitionBy(company, "_salt").orderBy(seq))).where(F.col("_r") <= most)
-    firsts = firsts.withColumn("_r", F.row_number().over(Window.partitionBy(company).orderBy(seq))).where(F.col("_r") <= most)
-    lists = firsts.groupBy(company).agg(F.transform(F.array_sort(F.collect_list(F.struct(seq, *payload))), lambda p: F.struct(*[p[c].alias(c) for c in payload])).alias("prior"))
-    applied = named.where(F.col("status") == "applied").groupBy(company, family).agg(F.count(F.lit(1)).alias("applied_variants"))
-    out = cands.join(lists, company, "left").join(applied, [company, family], "left")
-    return out.withColumn("applied_variants", F.coalesce("applied_variants", F.lit(0).cast("long"))).withColumn("saturated", F.col("applied_variants") >= least)
+def company_history(
+    cands: DataFrame, seen: DataFrame, most: int = 8, least: int = 2, company: str = "company_key", family: str = "family", url: str = "url_key", order: str = "seq", payload: tuple[str, ...] = ("family", "status"), also: DataFrame | None = None
+) -> DataFrame:
+    """cands with prior (the first `most` records of the same company under other urls, in order), applied_variants (applied ones of the
+    same role family) and saturated. also: records beside the log's, such as what this run has dropped (url, company, order, payload).
+
+    Of one url at most `most` records are wanted, and beside its own a candidate wants at most `most`, so the first 2 * most of a
+    company decide. They are ranked within salted parts before they meet, so no company is gathered in one task."""
+    cols = list(dict.fromkeys([company, url, order, *payload]))
+    known = seen.select(*cols) if also is None else seen.select(*cols).unionByName(also.select(*cols))
+    named = known.where(F.col(company) != "").withColumn("_salt", F.pmod(F.xxhash64(url), F.lit(64)))
+    for by, n in (([company, url], most), ([company, "_salt"], 2 * most), ([company], 2 * most)):
+        named = named.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(order, url))).where(F.col("_r") <= n)
+    own = named.groupBy(company).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), F.col(url).alias("_url"), *payload))).alias("_all"))
+    out = cands.join(own, company, "left")
+    others = F.slice(F.filter("_all", lambda p: ~p["_url"].eqNullSafe(F.col(url))), 1, most)
+    out = out.withColumn("prior", F.transform(others, lambda p: F.struct(*[p[c].alias(c) for c in payload]))).drop("_all")
+    applied = seen.where((F.col(company) != "") & (F.col("status") == "applied"))
+    counts = applied.groupBy(company, family).agg(F.count(F.lit(1)).alias("_variants"))
+    mine = applied.groupBy(company, family, url).agg(F.count(F.lit(1)).alias("_mine"))
+    out = out.join(counts, [company, family], "left").join(mine, [company, family, url], "left")
+    n = F.coalesce("_variants", F.lit(0)) - F.coalesce("_mine", F.lit(0))
+    return out.withColumn("applied_variants", n.cast("long")).withColumn("saturated", n >= least).drop("_variants", "_mine")
 
 
 def new_records(df: DataFrame, now: Column) -> DataFrame:

@@ -8,30 +8,47 @@ from pyspark.sql import functions as F
 from ..functions.text import generic_term_ok
 
 
+def _sure(verdict: Column) -> Column:
+    """Whether a check told anything; any other verdict, and none, leaves a posting unverified."""
+    return F.coalesce(verdict.isin("stale", "live"), F.lit(False))
+
+
 def sweep_states(checks: DataFrame, key: str, order: list[str], verdict: str = "verdict") -> DataFrame:
-    """checks with streak (unverifiable in a row up to here) and escalated (exactly the second in a row)."""
-    by_key = Window.partitionBy(key).orderBy(*order)
-    island = F.sum(F.when(F.col(verdict) != "unverifiable", 1).otherwise(0)).over(by_key.rowsBetween(Window.unboundedPreceding, 0))
-    rows = checks.withColumn("_island", island)
-    n = F.sum(F.when(F.col(verdict) == "unverifiable", 1).otherwise(0)).over(Window.partitionBy(key, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("streak", F.when(F.col(verdict) == "unverifiable", n).otherwise(0).cast("long")).withColumn("escalated", F.col("streak") == 2).drop("_island")
+    """checks with streak (neither stale nor live, so often in a row up to here) and escalated (exactly the second in a row)."""
+    by_key, sure = Window.partitionBy(key).orderBy(*order), _sure(F.col(verdict))
+    rows = checks.withColumn("_island", F.sum(sure.cast("int")).over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+    n = F.sum((~sure).cast("int")).over(Window.partitionBy(key, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("streak", F.when(sure, 0).otherwise(n).cast("long")).withColumn("escalated", F.col("streak") == 2).drop("_island")
 
 
 def sweep_update(state: DataFrame, checks: DataFrame, now, key: str = "url_key") -> DataFrame:
-    """The next state from the last one and one verdict a key: last_checked, unverifiable_streak, action."""
-    both = state.join(checks, key, "full_outer")
-    streak = F.when(F.col("verdict").isNull(), F.col("unverifiable_streak")).when(F.col("verdict") == "unverifiable", F.coalesce("unverifiable_streak", F.lit(0)) + 1).otherwise(0)
-    action = F.when(F.col("verdict") == "stale", "drop").when((F.col("verdict") == "unverifiable") & (F.coalesce("unverifiable_streak", F.lit(0)) + 1 == 2), "escalate")
-    return both.select(key, F.when(F.col("verdict").isNotNull(), now).otherwise(F.col("last_checked")).alias("last_checked"), streak.cast("int").alias("unverifiable_streak"), action.alias("action"))
+    """The next state from the last one and one row a key that was checked (verdict null: the check told nothing): last_checked,
+    unverifiable_streak, action."""
+    both = state.join(checks.withColumn("_checked", F.lit(True)), key, "full_outer")
+    sure, more = _sure(F.col("verdict")), F.coalesce("unverifiable_streak", F.lit(0)) + 1
+    streak = F.when(F.col("_checked").isNull(), F.col("unverifiable_streak")).when(sure, 0).otherwise(more)
+    action = F.when(F.col("verdict") == "stale", "drop").when(F.col("_checked") & ~sure & (more == 2), "escalate")
+    return both.select(key, F.when(F.col("_checked"), now).otherwise(F.col("last_checked")).alias("last_checked"), streak.cast("int").alias("unverifiable_streak"), action.alias("action"))
 
 
 def sweep_counters(states: DataFrame) -> DataFrame:
+    """One row over checked rows: checked, stale, live, unverifiable, escalated."""
     return states.agg(
         F.count(F.lit(1)).alias("checked"), F.count_if(F.col("verdict") == "stale").alias("stale"), F.count_if(F.col("verdict") == "live").alias("live"),
-        F.count_if(F.col("verdict") == "unverifiable").alias("unverifiable"), F.count_if("escalated").alias("escalated"),
+        F.count_if(~_sure(F.col("verdict"))).alias("unverifiable"), F.count_if("escalated").alias("escalated"),
     )
 
 
+def sweep_run(records: DataFrame, state: DataFrame, verdicts: DataFrame, now, key: str = "url_key", hours: int = 24) -> tuple[DataFrame, DataFrame]:
+    """One sweep over the records in its scope: (the next state of all keys, counters). Keys that were checked within the last hours are
+    deferred and keep their state. counters, one row: scope, checked, deferred, stale, live, unverifiable, escalated."""
+    scope = due(records.select(key).distinct(), state, key, now, hours)
+    checks = scope.where(~F.col("deferred")).select(key).join(verdicts.groupBy(key).agg(F.min("verdict").alias("verdict")), key, "left")
+    after = sweep_update(state, checks, now, key)
+    done = checks.join(after.select(key, (F.coalesce("action", F.lit("")) == "escalate").alias("escalated")), key)
+    return after, scope.agg(F.count(F.lit(1)).alias("scope"), F.count_if("deferred").alias("deferred")).crossJoin(F.broadcast(sweep_counters(done)))  # single rows
+
+
 def due(records: DataFrame, state: DataFrame, key: str, now, hours: int = 24) -> DataFrame:
     """records with deferred: checked within the last hours (strictly); never checked or unreadable is due."""
     return records.join(state, key, "left").withColumn("deferred", F.coalesce(F.col("last_checked") > now - F.make_interval(hours=F.lit(hours)), F.lit(False)))

@@ -253,7 +253,7 @@ def config_errors(config: dict, name: str, platforms: list[Platform]) -> list[st
     if not c.at("dry_run") and not c.at("output.notion.dry_run"):
         for table in ("tracker", "passed_seen"):
             c.need(f"output.notion.{table}.data_source_id", lambda v: len(str(v or "").replace("-", "")) == 32, "32 characters")
-        c.need("output.notion.pinned_pages.job_scout_runs", bool, "a page")
+        c.need("output.notion.pinned_pages.runs", bool, "a page")
     return c.wrong
 
 

@@ -387,6 +387,23 @@ def applied_saturation(spark, sf_dir):
     return history.saturation(o, "o_custkey", "o_orderpriority", "status", "o_orderkey").select("o_orderkey", "applied_variants", "saturated")
 
 
+_PLACED = """SELECT event_id, min(tier) AS tier, min(CASE WHEN tier = t0 THEN first END) AS first FROM (SELECT *, min(tier) OVER (PARTITION BY event_id) AS t0 FROM (
+ SELECT max(event_id) AS event_id, 0 AS tier, min(event_id) AS first FROM events GROUP BY user_id
+ UNION ALL SELECT max(event_id), 1, min(event_id) FROM events GROUP BY event_type, CAST(json_extract(props, '$.k') AS VARCHAR))) GROUP BY 1"""
+
+
+@query(f"""WITH r AS (SELECT e.event_id, e.user_id, e.event_type, row_number() OVER (PARTITION BY e.event_type ORDER BY p.tier, p.first) AS n FROM ({_PLACED}) p JOIN events e USING (event_id)),
+c AS (SELECT event_id, user_id, event_type FROM events WHERE event_id % 50 = 0),
+o AS (SELECT c.event_id, r.event_id AS id, row_number() OVER (PARTITION BY c.event_id ORDER BY r.n) AS n FROM c JOIN r ON r.event_type = c.event_type AND r.user_id <> c.user_id)
+SELECT c.event_id, coalesce(string_agg(o.id::VARCHAR, ',' ORDER BY o.n) FILTER (o.n <= 8), '') AS prior FROM c LEFT JOIN o USING (event_id) GROUP BY 1""")
+def prior_records(spark, sf_dir):
+    """The first eight current records of the same company under other urls, in the order of the log."""
+    log = event_log(spark, sf_dir).withColumns({"company_key": F.col("event_type"), "family": F.col("event_type"), "status": F.lit("dropped"), "id": F.col("seq").cast("string")})
+    cands = log.where("seq % 50 = 0").select("url_key", "company_key", "family", F.col("seq").alias("event_id"))
+    found = history.company_history(cands, history.ordered_records(log), order="place", payload=("id",))
+    return found.select("event_id", F.coalesce(F.array_join(F.transform("prior", lambda p: p["id"]), ","), F.lit("")).alias("prior"))
+
+
 MARKER_HOSTS = ("ththre.example.com", "example.net", "m.ththth.example.net.eu", "thther.example.org", "nowhere.example")
 
 
@@ -424,6 +441,16 @@ def title_language(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.coalesce(detect.title_language(F.col("text")), F.lit("")).alias("by_letters"))
 
 
+@query("""SELECT doc_id, CASE WHEN said IS NOT NULL AND said NOT IN ('en', 'pl') THEN said ELSE coalesce(by_title, said) END AS language FROM (SELECT doc_id, said,
+ CASE WHEN regexp_matches(t, '[äöüß]') THEN 'de' WHEN regexp_matches(t, '[àâçéèêëîïôûùüÿœ]') THEN 'fr' WHEN regexp_matches(t, '[áíñóúü¿¡]') THEN 'es' WHEN regexp_matches(t, '[àèéìíòóù]') THEN 'it' WHEN regexp_matches(t, '[ãõáâàçéêíóôú]') THEN 'pt' END AS by_title
+ FROM (SELECT doc_id, lower(array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ')) AS t, CASE doc_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' END AS said FROM documents))""")
+def title_language_fallback(spark, sf_dir):
+    """Bodies in English, in French or too short, under titles of all languages, for who applies in English and Polish."""
+    k = F.col("doc_id") % 4
+    body = F.when(k == 0, F.repeat(F.lit("the team and the work of the company with you for this role "), 8)).when(k == 1, F.repeat(F.lit("nous avons une équipe pour vous avec les projets dans la ville et des "), 8)).otherwise(F.lit("short"))
+    return candidates(spark, sf_dir).select("doc_id", detect.language_of(F.col("title"), body, ["en", "pl"]).alias("language"))
+
+
 _STATED = "CASE c_custkey % 6 WHEN 0 THEN 'We need Polish C1 and English B2. ' || c_name WHEN 1 THEN 'Polish is a nice to have for ' || c_name WHEN 2 THEN 'Application must be submitted in German, ' || c_name WHEN 3 THEN 'Fluent English required' WHEN 4 THEN c_name || ' speaks French at lunch' ELSE 'Native Dutch, fluent Czech' END"
 
 
@@ -464,6 +491,14 @@ def employment(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", found.alias("f")).select("p_partkey", F.array_join("f", ",").alias("found"), detect.employment_off_target(F.col("f"), ["b2b"]).alias("off_target"))
 
 
+@query(f"""SELECT p_partkey, found <> '' AND (NOT regexp_matches(found, '(^|,)(part_time|full_time|b2b)(,|$)') OR (regexp_matches(found, '(^|,)full_time(,|$)') AND NOT regexp_matches(found, '(^|,)part_time(,|$)'))) AS off_target
+FROM (SELECT p_partkey, {_KINDS_SAID} AS found FROM (SELECT p_partkey, lower({_OFFER}) AS t FROM part))""")
+def employment_part_time(spark, sf_dir):
+    """Where part time is sought, full time alone is off target, though full time itself is accepted too."""
+    found = detect.detect_employment(F.expr(_OFFER))
+    return read(spark, sf_dir, "part").select("p_partkey", detect.employment_off_target(found, ["part_time", "full_time", "b2b"]).alias("off_target"))
+
+
 _WHERE = "CASE p_partkey % 5 WHEN 0 THEN 'Krakow (hybrid)' WHEN 1 THEN 'Warszawa (Office)' ELSE 'Berlin' END"
 _HOW = "CASE p_partkey % 5 WHEN 0 THEN 'we are fully remote' WHEN 2 THEN '100% Remote team' WHEN 3 THEN 'remote, 3 days in the office' ELSE p_name END"
 _MARKS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {q(p)}) THEN '{k}' END" for k, p in detect.ARRANGEMENT.items()) + "], lambda x: x IS NOT NULL), ',')"
@@ -621,6 +656,34 @@ def sweep_counters(spark, sf_dir):
     return state.sweep_counters(state.sweep_states(checks(spark, sf_dir), "user_id", ["ts", "event_id"]))
 
 
+_STATUS = "CASE event_type WHEN 'error' THEN 500 WHEN 'click' THEN 404 ELSE 200 END"
+_NAMED = _SWEEP.replace("'unverifiable'", "'unverifiable_direct'")
+
+
+@query(f"SELECT event_id, verdict, streak, streak = 2 AS escalated FROM ({_NAMED})")
+def sweep_of_liveness(spark, sf_dir):
+    """Link checks judged by what a fetch brought, and their verdicts through the sweep."""
+    url, good = F.lit("https://jobs.example.com/board/posting-1234"), F.concat(F.lit("<p>Job description</p>"), F.repeat(F.lit("word "), 100))
+    judged = read(spark, sf_dir, "events").withColumn("verdict", detect.liveness(url, F.expr(_STATUS), url, good))
+    return state.sweep_states(judged, "user_id", ["ts", "event_id"]).select("event_id", "verdict", "streak", "escalated")
+
+
+_LAST = "TIMESTAMP '2024-01-20'"
+
+
+@query(f"""WITH s AS (SELECT user_id, max(ts) AS m, count_if(event_type = 'error') % 3 AS streak FROM events WHERE ts < {_LAST} GROUP BY 1),
+v AS (SELECT user_id, min(CASE event_type WHEN 'error' THEN 'unverifiable_direct' WHEN 'click' THEN 'stale' ELSE 'live' END) AS verdict FROM events WHERE ts >= {_LAST} GROUP BY 1),
+d AS (SELECT c_custkey, coalesce(m > {_LAST} - INTERVAL 24 HOUR, false) AS deferred, coalesce(streak, 0) AS streak, verdict FROM customer LEFT JOIN s ON s.user_id = c_custkey LEFT JOIN v ON v.user_id = c_custkey)
+SELECT count(*) AS scope, count_if(deferred) AS deferred, count_if(NOT deferred) AS checked, count_if(NOT deferred AND verdict = 'stale') AS stale, count_if(NOT deferred AND verdict = 'live') AS live,
+count_if(NOT deferred AND coalesce(verdict, '') NOT IN ('stale', 'live')) AS unverifiable, count_if(NOT deferred AND coalesce(verdict, '') NOT IN ('stale', 'live') AND streak = 1) AS escalated FROM d""")
+def sweep_run_counters(spark, sf_dir):
+    """One sweep over all customers as records: who is due, what their checks told, who is escalated."""
+    e, now = read(spark, sf_dir, "events").withColumnRenamed("user_id", "url_key"), F.lit("2024-01-20").cast("timestamp")
+    before = e.where(F.col("ts") < now).groupBy("url_key").agg(F.max("ts").alias("last_checked"), (F.count_if(F.col("event_type") == "error") % 3).alias("unverifiable_streak"))
+    verdicts = e.where(F.col("ts") >= now).select("url_key", F.expr("CASE event_type WHEN 'error' THEN 'unverifiable_direct' WHEN 'click' THEN 'stale' ELSE 'live' END AS verdict"))
+    return state.sweep_run(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("url_key")), before, verdicts, now)[1]
+
+
 @query("SELECT c_custkey, coalesce(m > TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 24 HOUR, false) AS deferred FROM customer LEFT JOIN (SELECT user_id, max(ts) AS m FROM events GROUP BY 1) e ON e.user_id = c_custkey")
 def due_deferred(spark, sf_dir):
     last = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.max("ts").alias("last_checked"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import detect, salary
 from ..functions.text import make_key, norm_company, norm_url, resolve_source_url, role_family, text
 from ..operators import filters
-from ..operators.history import company_history, two_tier_new
+from ..operators.history import company_history, run_drops, two_tier_new
 from .config import Profile
 
 
@@ -16,7 +16,8 @@ def triage(cands: DataFrame, seen: DataFrame | None, profile: Profile, now: Colu
     """cands with url_key, company_key, key, keyword_matched, jd_status, drop_reason, flags, the history and the annotations.
 
     The cheap filters come first: title, freshness and history narrow what the patterns over whole bodies see. seen: the log's
-    current records (url_key, key, company_key; for the history also family, status, seq). reads: bodies fetched in full (url,
+    current records (url_key, key, company_key; for the history also family, status, seq, and with place, role, locdom and reason,
+    as ordered_records gives them, what is noted of a company is in the log's order and with what this run drops). reads: bodies fetched in full (url,
     body, html), of which only those within the cap count. verdicts: what link checks found (url, verdict); a row without one
     can't be verified. Without reads or verdicts that step is left out."""
     profile.check()
@@ -32,7 +33,10 @@ def triage(cands: DataFrame, seen: DataFrame | None, profile: Profile, now: Colu
     if verdicts is not None:
         rows = check_links(rows, verdicts, tripwire)
     if seen is not None and {"family", "status", "seq"} <= set(seen.columns):
-        rows = company_history(rows.withColumn("family", role_family(F.col("title"))), seen)
+        payload = tuple(c for c in ("role", "locdom", "status", "reason") if c in seen.columns)
+        order = "place" if "place" in seen.columns else "seq"
+        drops = run_drops(rows, seq=seen.schema["seq"].dataType.simpleString()) if order == "place" else None
+        rows = company_history(rows.withColumn("family", role_family(F.col("title"))), seen, order=order, payload=payload, also=drops)
     return annotate(rows, profile, now)
 
 
@@ -44,7 +48,7 @@ def read_bodies(rows: DataFrame, reads: DataFrame | None, cap: int, tripwire: Co
         status = F.when(gone, None).when(F.length(text(F.col("jd_text"))) > 400, "from_enumeration").when(tripwire, "card_only").otherwise("deferred")
         return rows.withColumn("jd_status", status).withColumn("source_url", F.when(~gone, resolve_source_url(F.col("jd_text"))))
     stay = filters.read_cap(rows.where(~gone), order, cap, "jd_text", tripwire)
-    pages = reads.select(F.col("url").alias("_url"), "body", "html").dropDuplicates(["_url"])
+    pages = reads.groupBy(F.col("url").alias("_url")).agg(F.min(F.struct("body", "html")).alias("_p")).select("_url", "_p.*")
     stay = stay.join(pages, (F.col("url") == F.col("_url")) & (F.col("jd_status") == "to_read"), "left")
     got = text(F.col("body")) != ""
     source = resolve_source_url(F.col("html"))
@@ -77,7 +81,7 @@ def annotate(rows: DataFrame, profile: Profile, now: Column) -> DataFrame:
         "employment_detected": detect.detect_employment(both),
         "work_arrangement_detected": detect.detect_work_arrangement(place, body),
         "salary_parsed": salary.parse(F.concat_ws(" ", "salary", "jd_text")),
-        "language_detected": F.coalesce(detect.detect_language(body), detect.title_language(title)),
+        "language_detected": detect.language_of(title, body, list(profile.languages)),
         "language_requirement": detect.stated_language_requirement(body, list(profile.languages)),
         "start_date_note": detect.start_date_passed(body, now),
     }
