@@ -24,12 +24,12 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = join_by_key(both.where("v > u"), low, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: each node links its smaller neighbours and itself to the smallest of them.
-        # The smaller neighbours of a node have few minima by now, so no node has many of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        # Small star: each node links its smaller neighbours and itself to the smallest of them. A hub with the largest id has many.
+        large = materialize(large, "cc")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_by_key(large, least, "u", large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         last, pairs = pairs, materialize(small.where("u <> v").distinct(), "cc")
-        discard(last)
+        discard(last, large)
         # Done when no node is linked both ways: every edge then ends at its component's smallest id.
         n, state = pairs.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if (n, state) == before:

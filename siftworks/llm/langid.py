@@ -131,18 +131,18 @@ def nystrom(among: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, most: int = SAMPLE) -> list:
-    """docs (doc_id, text, lang) to rows (lang, slots): `most` at most, the same number for each language if it has them. Beyond
-    `most` languages a hash of their names picks among them."""
-    can = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in can.groupBy("lang").count().orderBy(F.xxhash64("lang"), "lang").limit(most).collect()}
+    """docs (doc_id, text, lang) to rows (lang, slots): `most` at most, the same number for each language if it has them. Beyond `most`
+    languages a hash of their names picks among them. Rows are drawn by a hash of id and text, so those whose ids are null or
+    repeated are drawn like any others; rows that are equal in both count once."""
+    can = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("draw", F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 60)))
+    counts = {r["lang"]: r["n"] for r in can.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).orderBy(F.xxhash64("lang"), "lang").limit(most).collect()}
     if not counts:
         return []
     each = max(1, most // len(counts))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30))
-    # About twice the wanted rows by a threshold for each language, then the exact number among these few.
-    limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, (2 * each + 50) / n) * (1 << 30)))])
-    few = can.withColumn("draw", draw).where(F.col("draw") < limit[F.col("lang")])
-    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))).where(F.col("rank") <= each)
+    # About twice the wanted texts by a threshold for each language, then the exact number among these few.
+    limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, (2.2 * each + 50) / max(n, 1)) * (1 << 60)))])
+    few = can.where(F.col("draw") < limit[F.col("lang")]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("rank") <= each)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

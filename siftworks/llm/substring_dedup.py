@@ -17,20 +17,21 @@ texts by an interval join of their windows: around the shared shingle the stretc
 of the shingles are shared, and its Jaccard similarity must reach the threshold.
 
 A group's first one may be unlike documents that are like each other. So each row of a group dealt by context also carries the
-group's last one, and documents that are not linked with that one by then are paired with it. The order is the same in all
+group's last one, and documents that are not linked with that one by then are paired with it, which is then what blocks of members
+share. The order is the same in all
 groups, so two documents that share several groups meet in several of them.
 
 Words are runs of ASCII letters, digits, _ and any characters beyond ASCII, in lower case.
 
-Defined cases: null text and text below the passage length have no windows; rows with a null id are not linked; rows that repeat
-an id count as one document, by one of their texts; repeats within one document are not sought; an empty table gives no rows;
-columns other than id and text are not read.
+Defined cases: null text and text below the passage length have no windows; of rows that repeat an id, or have none, each distinct
+text is scanned, and what it shares is told under that id (null for none); repeats within one id are not told, those among rows
+without an id are; an empty table gives no rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -422,6 +423,7 @@ def verify(a: np.ndarray, b: np.ndarray, sums: tuple, able: tuple, cands: list,
 
 
 FOUND = "doc_id long, rep_doc_id long, start int, end int, rep_start int, rep_end int, similarity double"
+FOUND_COLUMNS = [f.split()[0] for f in FOUND.split(", ")]
 
 
 def passages(out: list[tuple]):
@@ -541,6 +543,12 @@ def enough(hashes: int, needed: int) -> Column:
     return (F.col("marks") >= 1 << EXACT) | ((F.bit_count("marks") >= needed) & F.col("near")) | (F.bit_count("marks") >= hashes)
 
 
+def met_by(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of per_key, which has each key once; keys that many rows have gather in no task (join_by_key)."""
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return join_by_key(rows, per_key.join(n, key), key, rows.count())
+
+
 def labels(found: DataFrame, rounds: int = 2) -> DataFrame:
     """doc, label: a small id among those that a document is linked to, over many steps. Equal labels are linked; unequal ones may
     be, over still more steps, which only costs a needless comparison."""
@@ -549,19 +557,43 @@ def labels(found: DataFrame, rounds: int = 2) -> DataFrame:
     own = ends.groupBy("doc").agg(F.min("other").alias("label")).select("doc", F.least("doc", "label").alias("label"))
     for _ in range(rounds):
         own = materialize(own, "passages-labels")
-        jumped = own.join(own.select(F.col("doc").alias("label"), F.col("label").alias("higher")), "label").select("doc", F.least("label", "higher").alias("label"))
-        best = ends.join(jumped.withColumnRenamed("doc", "other"), "other").groupBy("doc").agg(F.min("label").alias("near"))
+        jumped = met_by(own, own.select(F.col("doc").alias("label"), F.col("label").alias("higher")), "label").select("doc", F.least("label", "higher").alias("label"))
+        best = met_by(ends, jumped.withColumnRenamed("doc", "other"), "other").groupBy("doc").agg(F.min("label").alias("near"))
         own = jumped.join(best, "doc").select("doc", F.least("label", "near").alias("label"))
     return materialize(own, "passages-labels")
 
 
 def paired_again(stars: DataFrame, found: DataFrame, tried: DataFrame, hashes: int, needed: int) -> DataFrame:
-    """Pairs (doc, rep) of documents with the last ones of their groups, where the labels differ and there is enough in common."""
-    pairs = pair(stars.where("last IS NOT NULL"), "doc", "last").where(enough(hashes, needed)).join(tried, ["doc", "rep"], "left_anti")
-    label = labels(found)
+    """Pairs (doc, rep) of documents with the last ones of their groups, where the labels differ and there is enough in common. Here rep is
+    the larger id: it is what many share, and a rep's members are dealt to tasks in blocks."""
+    pairs = pair(stars.where("last IS NOT NULL"), "doc", "last").where(enough(hashes, needed)).join(tried, ["doc", "rep"], "left_anti").select("doc", "rep")
+    label, pairs = labels(found), materialize(pairs, "passages-again")
     for end in ("doc", "rep"):
-        pairs = pairs.join(label.select(F.col("doc").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
-    return pairs.where(F.coalesce("doc_label", "doc") != F.coalesce("rep_label", "rep")).select("doc", "rep")
+        # Documents that are linked to none are their own label.
+        own = pairs.select(end).distinct().join(label.withColumnRenamed("doc", end), end, "left").select(end, F.coalesce("label", end).alias(f"{end}_label"))
+        pairs = met_by(pairs, own, end)
+    return pairs.where("doc_label <> rep_label").select(F.col("rep").alias("doc"), F.col("doc").alias("rep"))
+
+
+def turned(found: DataFrame) -> DataFrame:
+    """FOUND with document and representative the other way round."""
+    return found.select(F.col("rep_doc_id").alias("doc_id"), F.col("doc_id").alias("rep_doc_id"), F.col("rep_start").alias("start"), F.col("rep_end").alias("end"), F.col("start").alias("rep_start"), F.col("end").alias("rep_end"), "similarity")
+
+
+def _by_text(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What find finds in docs some of whose ids are repeated or null: each distinct text of an id, and each distinct text without an id,
+    is a document of its own to it. Passages that only texts of one id share are left out."""
+    texts = docs.where("text IS NOT NULL").distinct().withColumn("key", F.monotonically_increasing_id())
+    texts = materialize(texts, "passages-texts")  # keys stay as they are written
+    found = materialize(find(texts.select(F.col("key").alias("doc_id"), "text")), "passages-found")
+    ids = texts.select("key", "doc_id")
+    for end in ("doc_id", "rep_doc_id"):
+        found = met_by(found.withColumnRenamed(end, "key"), ids.withColumnRenamed("doc_id", end), "key").drop("key")
+    found = found.where("NOT doc_id <=> rep_doc_id OR doc_id IS NULL")
+    # A row without an id is never what others are told to be like, unless there is no other.
+    turn = F.coalesce(F.col("doc_id") < F.col("rep_doc_id"), F.col("rep_doc_id").isNull() & F.col("doc_id").isNotNull())
+    both = found.where(~turn).select(*FOUND_COLUMNS).unionByName(turned(found.where(turn)))
+    return both.distinct()
 
 
 def repeated_passages(docs: DataFrame, hashes: int = HASHES, needed: int = NEEDED, width: int = SHINGLE, passage: int = PASSAGE_WORDS, similarity: float = SIMILARITY, block: int = BLOCK, last: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -571,9 +603,13 @@ def repeated_passages(docs: DataFrame, hashes: int = HASHES, needed: int = NEEDE
         raise ValueError("1 to 8 hashes")
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # One text for each id; without repeats (nearly always) nothing changes.
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
+        return _by_text(docs, lambda texts: _passages(texts, hashes, needed, width, passage, similarity, block, last))
+    return _passages(docs, hashes, needed, width, passage, similarity, block, last)
+
+
+def _passages(docs: DataFrame, hashes: int, needed: int, width: int, passage: int, similarity: float, block: int, last: bool) -> DataFrame:
+    """repeated_passages of docs (doc_id, text) with an id of its own for each row."""
     least = passage - width + 1
     # The shortest equal run that makes two stretches of `least` shingles similar enough: x / (2 * least - x) >= similarity.
     exact = min(least, int(np.ceil(2 * least * similarity / (1 + similarity))))
@@ -590,8 +626,8 @@ def repeated_passages(docs: DataFrame, hashes: int = HASHES, needed: int = NEEDE
         return found
     pairs = materialize(paired_again(stars, found, tried, hashes, needed), "passages-pairs")
     discard(stars)
-    more = _verified(pairs, docs, hashes, needed, passage, similarity, width, exact, block, many=False)
-    return found.unionByName(materialize(more, "passages-found"))
+    more = turned(_verified(pairs, docs, hashes, needed, passage, similarity, width, exact, block, many=False))
+    return found.unionByName(materialize(more.select(*FOUND_COLUMNS), "passages-found"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,18 +86,20 @@ def drawn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     n, toxic = labels.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
     if not n or not toxic:
         return None, 0.0
-    can = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30))
+    can = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).withColumn("draw", F.pmod(F.xxhash64("doc_id", "text", F.lit("toxicity")), F.lit(1 << 60)))
 
-    def most(rows: DataFrame, there: int, wanted: int, positive: bool) -> DataFrame:
-        few = rows.withColumn("draw", draw).where(F.col("draw") < int(min(1.0, (2 * wanted + 100) / max(there, 1)) * (1 << 30)))
-        return few.orderBy("draw", "doc_id", F.xxhash64("text")).limit(wanted).select(F.lit(positive).alias("positive"), "draw", "text")
+    def most(rows: DataFrame, wanted: int, positive: bool) -> DataFrame:
+        """`wanted` rows by a hash of id and text, so those whose ids are null or repeated are drawn like any others; rows that are equal in
+        both count once."""
+        return rows.groupBy("draw").agg(F.min("text").alias("text")).orderBy("draw").limit(wanted).select(F.lit(positive).alias("positive"), "draw", "text")
 
     # The ids are drawn from the labels first, so that texts are met by a small set of ids and not shuffled.
-    few = labels.where("toxic = 1").withColumn("draw", draw).where(F.col("draw") < int(min(1.0, (4 * positives + 100) / toxic) * (1 << 30)))
-    ids = few.orderBy("draw", "doc_id").limit(2 * positives).select("doc_id")
-    pos = most(can.join(F.broadcast(ids), "doc_id", "left_semi"), 1, positives, True)
-    rows = pos.unionByName(most(can, docs.count(), unlabelled, False))
+    by_id = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 60))
+    few = labels.where("toxic = 1").withColumn("by_id", by_id).where(F.col("by_id") < int(min(1.0, (4 * positives + 100) / toxic) * (1 << 60)))
+    ids = few.orderBy("by_id", "doc_id").limit(2 * positives).select("doc_id")
+    texts = can.agg(F.approx_count_distinct("draw")).first()[0]
+    some = can.where(F.col("draw") < int(min(1.0, (2.2 * unlabelled + 100) / max(texts, 1)) * (1 << 60)))
+    rows = most(can.join(F.broadcast(ids), "doc_id", "left_semi"), positives, True).unionByName(most(some, unlabelled, False))
     return materialize(rows, "toxicity-sample"), min(max(toxic / n, 1e-4), 0.99)
 
 

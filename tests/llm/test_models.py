@@ -1,8 +1,10 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
 from siftworks.llm import langid, toxicity
 
 from .conftest import prose
@@ -132,3 +134,24 @@ def test_the_vocabulary_is_chosen_by_share(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int")
     assert set(toxicity.train(df, labels).weight) == {"bad"}
+
+
+def test_samples_have_their_size_where_ids_are_null_or_repeated(spark):
+    """More rows of one id, and without one, than a sample holds; rows that are repeated whole count once."""
+    rng = random.Random(11)
+    texts = [prose(rng, 30, 5000) for _ in range(900)]
+    for some in ({None}, {1}, {3}, {4}, {5}, {None, 1, 8}):
+        ids = sorted(some, key=str)
+        ids = [i for i in ids if i is None or zlib.crc32(str(i).encode()) % 4 != 2]
+        if not ids:
+            continue
+        rows = [(ids[k % len(ids)], t, "de" if k % 3 else "en") for k, t in enumerate(texts)]
+        rows += [rows[0]] * 500
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        got = langid.sample(df, 40)
+        assert sorted(r["lang"] for r in got) == ["de"] * 20 + ["en"] * 20
+        labels = spark.createDataFrame([(i, 1) for i in ids if i is not None] + [(777, 1), (778, 0)], "doc_id long, toxic int")
+        drawn, _ = toxicity.drawn(df, labels, 15, 60)
+        sizes = {r.positive: r.n for r in drawn.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
+        assert sizes[False] == 60 and sizes.get(True, 0) == (15 if any(i is not None for i in ids) else 0)
+        assert "und" not in {r.lang_pred for r in langid.identify(df.limit(50)).collect()}

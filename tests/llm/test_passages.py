@@ -189,4 +189,33 @@ def test_passages_of_odd_tables(spark, odd_docs, no_docs):
     assert repeated_passages(no_docs).count() == 0
     found = repeated_passages(odd_docs)
     assert found.columns == ["doc_id", "rep_doc_id", "start", "end", "rep_start", "rep_end", "similarity"]
-    assert all(r.doc_id > r.rep_doc_id for r in found.collect())
+    assert all(r.doc_id is None or r.doc_id > r.rep_doc_id for r in found.collect())
+
+
+def test_every_text_of_an_id_and_those_without_one(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    passage, other = words(80), words(80)
+    text = lambda *parts: " ".join(w for p in parts for w in p)
+    rows = [(3, text(words(20), passage)), (4, text(words(200))), (4, text(passage, words(9))), (4, text(words(70))), (None, text(words(5), passage)), (None, text(other)), (None, text(other, words(3)))]
+    rows += [(7, text(other)), (7, text(other)), (7, text(words(4), other)), (9, text(words(90))), (None, None), (11, None)]
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    links = {(r.doc_id, r.rep_doc_id) for r in found}
+    joined = component([(-1 if a is None else a, -1 if b is None else b) for a, b in links], [-1, 3, 4, 7, 9, 11])
+    assert joined[3] == joined[4] == joined[-1] == joined[7] and joined[9] == 9 and joined[11] == 11
+    assert all(r.doc_id != r.rep_doc_id or r.doc_id is None for r in found)
+    assert all(r.rep_doc_id is None or r.doc_id is None or r.rep_doc_id < r.doc_id for r in found)
+    assert all(r.rep_doc_id is not None or r.doc_id is None for r in found)
+
+
+def test_a_group_whose_last_one_is_unlike_its_members(spark):
+    """600 documents with one line in common; the last one has that line and what all others have in part."""
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    line, families = words(40), [words(70) for _ in range(30)]
+    texts = [" ".join(words(30) + line + families[k % 30] + words(20)) for k in range(600)]
+    texts.append(" ".join(w for f in [[*words(30)], line] + [f + words(8) for f in families] for w in f))
+    found = repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = component([(r.doc_id, r.rep_doc_id) for r in found], range(len(texts)))
+    assert len(set(got.values())) == 1
+    assert all(r.rep_doc_id < r.doc_id for r in found)

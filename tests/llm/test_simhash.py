@@ -70,6 +70,15 @@ def test_long_chain_components(spark):
     assert components(edges.where("a < 0")).count() == 0
 
 
+def test_hubs_with_any_id(spark):
+    """A star whose hub has the smallest, the middle or the largest id, and one hub of each kind at once."""
+    n = 3000
+    for hubs in ([0], [n // 2], [n], [0, n // 2, n]):
+        rows = [(hub + 10 * n * k, i + 10 * n * k) for k, hub in enumerate(hubs) for i in range(n + 1) if i != hub]
+        got = {r.id: r.component for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
+        assert got == {i + 10 * n * k: 10 * n * k for k in range(len(hubs)) for i in range(n + 1)}
+
+
 def test_near_duplicates_of_odd_tables(spark, odd_docs, no_docs):
     rows = odd_docs.collect()
     got = simhash.near_duplicates(odd_docs).collect()
