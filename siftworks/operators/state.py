@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +109,75 @@ def frame_diff(old: DataFrame, new: DataFrame, keys: list[str], values: list[str
     return both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*keys, change.alias("change"), F.when(change == "changed", fields).otherwise(F.expr("CAST(array() AS array<string>)")).alias("fields"))
 
 
+def flat_values(df: DataFrame, keys: list[str], doc: str, depth: int = 8, named_by: str = "id") -> DataFrame:
+    """keys, path, value: the values of a JSON column, one row each. Objects are opened level by level, and lists of objects too, whose
+    elements are named by their field `named_by` where they have one (platforms[7].tier) and else by their place; other lists are
+    values as wholes. What lies deeper than `depth` is one value. Null, empty texts, lists and objects, false, and what is not
+    there are alike: they have no row. Text that is no JSON is the value of an empty path."""
+    parsed = F.try_parse_json(F.col(doc))
+    level, out = df.select(*keys, F.lit("").alias("path"), F.coalesce(parsed, F.when(F.col(doc).isNotNull(), F.col(doc)).cast("variant")).alias("_v")), None
+    for left in reversed(range(depth)):
+        kind = F.schema_of_variant("_v")
+        # An empty object or list opens to nothing, as it should.
+        opens = kind.startswith("OBJECT") | kind.startswith("ARRAY<OBJECT") if left else F.lit(False)
+        text = F.coalesce(F.try_variant_get("_v", "$", "string"), F.to_json("_v"))
+        leaves = level.where(~opens).select(*keys, "path", text.alias("value")).where("value IS NOT NULL AND value NOT IN ('', '[]', '{}', 'false', 'null')")
+        out = leaves if out is None else out.unionByName(leaves)
+        if left:
+            name = F.coalesce(F.try_variant_get("value", f"$.{named_by}", "string"), F.col("pos").cast("string"))
+            step = F.when(F.col("key").isNotNull(), F.concat(F.when(F.col("path") == "", "").otherwise("."), "key")).otherwise(F.concat(F.lit("["), name, F.lit("]")))
+            opened = level.where(opens).lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+            level = opened.select(*keys, F.concat("path", step).alias("path"), F.col("value").alias("_v"))
+    return out
+
+
+def nested_diff(old: DataFrame, new: DataFrame, keys: list[str], doc: str, accepted: dict[str, str] | None = None, depth: int = 8, named_by: str = "id") -> DataFrame:
+    """keys, path, old, new, note: where two versions of JSON documents differ, value by value (flat_values). accepted: patterns that a
+    whole path fits, with why the difference is as it should be; a row without a note is a problem. Of paths that a document holds
+    twice the greater value counts. Documents are opened where they are read; their values meet by keys and path."""
+    side = lambda df, name: flat_values(df, keys, doc, depth, named_by).groupBy(*keys, "path").agg(F.max("value").alias(name))
+    both = side(old, "old").join(side(new, "new"), [*keys, "path"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+    notes = [F.when(F.col("path").rlike(f"^(?:{pattern})$"), F.lit(note)) for pattern, note in (accepted or {}).items()]
+    return both.withColumn("note", F.coalesce(*notes, F.lit(None).cast("string")))
+
+
+def parity(diffs: DataFrame) -> DataFrame:
+    """One row: accepted, problems, and whether there is parity."""
+    return diffs.agg(F.count("note").alias("accepted"), F.count_if(F.col("note").isNull()).alias("problems")).withColumn("parity", F.col("problems") == 0)
+
+
+def merge_suggestions(kept: DataFrame, rows: DataFrame) -> DataFrame:
+    """The kept table (kind, value, frequency, sources, first_seen, last_seen) with new rows (kind, value, source, day) merged in: frequencies
+    add up, sources unite, the first and the last day stand. Two merges give what one merge of both parts does."""
+    parts = kept.select("kind", "value", "frequency", "sources", "first_seen", "last_seen").unionByName(upsert_suggestions(rows))
+    united = F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources"))))
+    return parts.groupBy("kind", "value").agg(F.sum("frequency").alias("frequency"), united.alias("sources"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
+SUGGESTION_PARTS = 64
+
+
+def save_suggestions(rows: DataFrame, path: str, parts: int = SUGGESTION_PARTS) -> int:
+    """Merge rows into the table kept at path, in hash partitions (part=...), of which only those that rows touch are read and written
+    anew, by dynamic partition overwrite. Returns how many those were. `parts` is fixed when the table is made."""
+    spark = rows.sparkSession
+    part = F.pmod(F.xxhash64("kind", "value"), F.lit(parts)).cast("int").alias("part")
+    new = rows.select("kind", F.lower("value").alias("value"), "source", "day")
+    touched = sorted(r[0] for r in new.select(part).distinct().collect())  # `parts` numbers at most
+    if not touched:
+        return 0
+    try:
+        kept = spark.read.parquet(path).where(F.col("part").isin(touched)).drop("part")
+    except AnalysisException:
+        kept = upsert_suggestions(new.limit(0))
+    merged = merge_suggestions(kept, new).withColumn("part", F.pmod(F.xxhash64("kind", "value"), F.lit(parts)).cast("int"))
+    # Spark doesn't write over what it reads: the new partitions are written aside first.
+    aside = f"{path.rstrip('/')}_merging"
+    merged.repartition("part").write.mode("overwrite").partitionBy("part").parquet(aside)
+    spark.read.parquet(aside).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    return len(touched)
+
+
 def upsert_suggestions(rows: DataFrame) -> DataFrame:
     """rows (kind, value, source, day) to kind, value, frequency, sources, first_seen, last_seen; values meet in lower case."""
     return rows.groupBy("kind", F.lower("value").alias("value")).agg(F.count(F.lit(1)).alias("frequency"), F.array_sort(F.collect_set("source")).alias("sources"), F.min("day").alias("first_seen"), F.max("day").alias("last_seen"))

@@ -738,6 +738,36 @@ def frame_diff(spark, sf_dir):
     return state.frame_diff(old, new, ["p_partkey"], ["p_brand", "p_size", "p_name"]).select("p_partkey", "change", F.array_join("fields", ",").alias("fields"))
 
 
+_OLD_DOC = "to_json(named_struct('name', p_name, 'quirks', '', 'dims', named_struct('brand', p_brand, 'type', p_type), 'boards', array(named_struct('id', 1, 'tier', p_size, 'urls', array(p_type)), named_struct('id', 2, 'tier', 1, 'urls', array()))))"
+_NEW_DOC = """to_json(named_struct('name', p_name, 'dims', named_struct('type', p_type, 'brand', IF(p_partkey % 3 = 0, 'other', p_brand)),
+ 'boards', IF(p_partkey % 5 = 0, array(named_struct('id', 1, 'tier', p_size, 'urls', array(p_type))), array(named_struct('id', 2, 'tier', 1, 'urls', array()), named_struct('id', 1, 'tier', IF(p_partkey % 4 = 0, 99, p_size), 'urls', array(p_type, 'more'))))))"""
+
+
+@query("""SELECT p_partkey, 'dims.brand' AS path, p_brand AS old, 'other' AS new, NULL AS note FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, 'boards[1].tier', p_size::VARCHAR, '99', NULL FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 4 = 0
+UNION ALL SELECT p_partkey, 'boards[1].urls', '["' || p_type || '"]', '["' || p_type || '","more"]', 'urls grow' FROM part WHERE p_partkey % 5 <> 0
+UNION ALL SELECT p_partkey, 'boards[2].' || k, v, NULL, 'board 2 has closed' FROM part, (VALUES ('id', '2'), ('tier', '1')) x(k, v) WHERE p_partkey % 5 = 0""")
+def nested_diff(spark, sf_dir):
+    """Two versions of nested documents, whose lists of boards are matched by id; some differences are as they should be."""
+    p = read(spark, sf_dir, "part")
+    old, new = p.select("p_partkey", F.expr(_OLD_DOC).alias("doc")), p.select("p_partkey", F.expr(_NEW_DOC).alias("doc"))
+    return state.nested_diff(old, new, ["p_partkey"], "doc", {r"boards\[2\]\..*": "board 2 has closed", r"boards\[\d+\]\.urls": "urls grow"})
+
+
+@query("SELECT count_if(p_partkey % 5 <> 0) + 2 * count_if(p_partkey % 5 = 0) AS accepted, count_if(p_partkey % 3 = 0) + count_if(p_partkey % 5 <> 0 AND p_partkey % 4 = 0) AS problems, false AS parity FROM part")
+def nested_parity(spark, sf_dir):
+    return state.parity(nested_diff(spark, sf_dir))
+
+
+@query(r"""SELECT role AS kind, lower(w) AS value, count(*) AS frequency, array_to_string(list_sort(list(DISTINCT CAST(turn AS VARCHAR))), ',') AS sources, min(conv_id) AS first_seen, max(conv_id) AS last_seen
+FROM (SELECT conv_id, turn, role, unnest(regexp_extract_all(text, '\p{L}+')) AS w FROM conversations) GROUP BY 1, 2""")
+def suggestion_merge(spark, sf_dir):
+    """Words of some conversations merged into a table of those of the others: as if all had come at once."""
+    words = read(spark, sf_dir, "conversations").select(F.col("role").alias("kind"), F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))).alias("value"), F.col("turn").cast("string").alias("source"), F.col("conv_id").alias("day"))
+    late = F.col("day") % 3 == 0
+    return state.merge_suggestions(state.upsert_suggestions(words.where(~late)), words.where(late)).withColumn("sources", F.array_join("sources", ","))
+
+
 @query(r"""SELECT role AS kind, lower(w) AS value, count(*) AS frequency, array_to_string(list_sort(list(DISTINCT CAST(turn AS VARCHAR))), ',') AS sources, min(conv_id) AS first_seen, max(conv_id) AS last_seen
 FROM (SELECT conv_id, turn, role, unnest(regexp_extract_all(text, '\p{L}+')) AS w FROM conversations) GROUP BY 1, 2""")
 def suggestion_upsert(spark, sf_dir):
