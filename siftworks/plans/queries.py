@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import detect, salary, text
+from ..functions import detect, markup, salary, text
 from ..operators import filters, funnel, health, history, state, sync
 from ..sources import payloads
 from . import triage as triage_plan
@@ -161,6 +161,12 @@ def visible_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", v.alias("v")).select("page_id", F.length("v").cast("long").alias("n"), F.sha2("v", 256).alias("hash"))
 
 
+@query(f"SELECT page_id, length(v) AS n, sha256(v) AS hash FROM (SELECT page_id, replace(replace(replace(replace({_VISIBLE}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') AS v FROM (SELECT page_id, regexp_replace(html, '(?is)<head\\b[^>]*>.*?</head\\s*>', ' ', 'g') AS html FROM pages))")
+def visible_text_by_tree(spark, sf_dir):
+    v = markup.visible_text_by_tree(F.col("html"))
+    return read(spark, sf_dir, "pages").select("page_id", v.alias("v")).select("page_id", F.length("v").cast("long").alias("n"), F.sha2("v", 256).alias("hash"))
+
+
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/')[-1], '\b[0-9a-f]{6,}\b', '', 'g'), '[-_]+', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM pages")
 def slug_title(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", text.slug_title(F.col("url")).alias("title"))
@@ -174,7 +180,7 @@ def pii_hits(spark, sf_dir):
     return d.select("doc_id", n("email").alias("n_email"), n("phone").alias("n_phone"))
 
 
-@query(r"""
+_LINKS = r"""
 WITH a AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS a FROM (SELECT page_id, regexp_extract_all(html, '(?s)<a\b[^>]*?href="[^"]+"[^>]*>.*?</a>') AS l FROM pages)),
 b AS (SELECT page_id, pos, regexp_extract(a, 'href="([^"]+)"', 1) AS href, trim(regexp_replace(regexp_replace(regexp_extract(a, '(?s)^<a\b[^>]*>(.*)</a>$', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS label FROM a),
 c AS (SELECT page_id, pos, label, regexp_replace(regexp_replace(href, '\?.*$', ''), '^https?://[^/]+', '') AS path FROM b),
@@ -183,12 +189,21 @@ d AS (SELECT page_id, pos, 'https://site.example' || path AS url, label,
   FROM c WHERE regexp_matches(path, '^/[^/]+$')),
 e AS (SELECT *, CASE WHEN length(label) > 3 AND length(label) < 160 AND NOT regexp_matches(label, '(?i)^(view|apply|read|see) ') THEN label ELSE slug END AS title FROM d)
 SELECT page_id, url, title FROM e QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY title = slug, pos) = 1
-""")
+"""
+
+
+@query(_LINKS)
 def link_harvest(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("platform_ord"), F.lit("pages").alias("platform"), F.lit(0).alias("page"), F.col("html").alias("payload"))
     return payloads.link_harvest(p, r"/[^/]+", "https://site.example").select(F.col("platform_ord").alias("page_id"), "url", "title")
 
 
+@query(_LINKS)
+def link_harvest_by_tree(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("platform_ord"), F.lit("pages").alias("platform"), F.lit(0).alias("page"), F.col("html").alias("payload"))
+    return payloads.link_harvest(p, r"/[^/]+", "https://site.example", by_tree=True).select(F.col("platform_ord").alias("page_id"), "url", "title")
+
+
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
 def json_props(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))

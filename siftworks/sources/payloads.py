@@ -11,6 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.markup import links_by_tree
 from ..functions.text import caption_title_company, pick_title, slug_title, strip, text, text_of, unescape
 
 CANDIDATE = ("platform_ord", "row_ord", "title", "company", "loc", "url", "platform", "posted_at", "salary", "jd_text")
@@ -201,10 +202,11 @@ LISTINGS = {
 _LINK = r'(?s)(<([a-zA-Z][a-zA-Z0-9]*)\b[^<>]*?\bhref="[^"]+"[^<>]*>)(?:(?=(.*?)</\2>)|)'
 
 
-def harvest(p: DataFrame, listings: dict[str, Listing] = LISTINGS) -> DataFrame:
+def harvest(p: DataFrame, listings: dict[str, Listing] = LISTINGS, by_tree: bool = False) -> DataFrame:
     """Links of pages by the listing of their platform, in one pass for all of them: elements of any kind whose path (or address
     without its query) fits, absolute, each url once, by the element's text if one can be a title and else by its address.
-    Pages of platforms without a listing bring nothing."""
+    Pages of platforms without a listing bring nothing. by_tree: links are taken from the element tree (markup.links_by_tree), which
+    is right for any markup and runs Python, in place of patterns."""
     per = {k: i for i, k in enumerate(listings)}
 
     def of(value: Callable[[Listing], Column]) -> Column:
@@ -214,8 +216,13 @@ def harvest(p: DataFrame, listings: dict[str, Listing] = LISTINGS) -> DataFrame:
         return F.lit(None) if whens is None else whens
 
     found = lambda group: F.regexp_extract_all("payload", F.lit(_LINK), F.lit(group))
-    links = p.where(F.col("platform").isin(*per)).select("platform_ord", "platform", "page", F.posexplode(F.arrays_zip(found(1).alias("tag"), found(3).alias("label"))).alias("pos", "a"))
-    raw = F.regexp_extract("a.tag", r'\bhref="([^"]+)"', 1)
+    pages = p.where(F.col("platform").isin(*per))
+    if by_tree:
+        links = pages.select("platform_ord", "platform", "page", F.posexplode(links_by_tree(F.col("payload"))).alias("pos", "a"))
+        raw = F.col("a.href")
+    else:
+        links = pages.select("platform_ord", "platform", "page", F.posexplode(F.arrays_zip(found(1).alias("tag"), found(3).alias("label"))).alias("pos", "a"))
+        raw = F.regexp_extract("a.tag", r'\bhref="([^"]+)"', 1)
     links = links.withColumn("_raw", raw).withColumn("_whole", F.regexp_replace("_raw", r"(?s)\?.*$", "")).withColumn("_path", F.regexp_replace("_whole", r"^https?://[^/]+", ""))
     last = F.element_at(F.split(F.regexp_replace("_path", "/+$", ""), "/"), -1)
     hyphens = F.length(last) - F.length(F.replace(last, F.lit("-"), F.lit("")))
@@ -232,10 +239,10 @@ def harvest(p: DataFrame, listings: dict[str, Listing] = LISTINGS) -> DataFrame:
     return _candidates(best, F.col("b.t"), F.col("b.c"), F.lit(""), F.col("u"))
 
 
-def link_harvest(p: DataFrame, href: str, base: str, company: int | None = None, least_hyphens: int = 0) -> DataFrame:
+def link_harvest(p: DataFrame, href: str, base: str, company: int | None = None, least_hyphens: int = 0, by_tree: bool = False) -> DataFrame:
     """harvest() of one listing for pages of any platform."""
     name = F.col("platform").alias("_p")
-    one = harvest(p.select(F.struct("platform_ord", name).alias("platform_ord"), F.lit("").alias("platform"), "page", "payload"), {"": Listing(href, base, company, least_hyphens)})
+    one = harvest(p.select(F.struct("platform_ord", name).alias("platform_ord"), F.lit("").alias("platform"), "page", "payload"), {"": Listing(href, base, company, least_hyphens)}, by_tree)
     return one.withColumns({"platform": F.col("platform_ord._p"), "platform_ord": F.col("platform_ord.platform_ord")})
 
 
