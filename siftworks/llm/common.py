@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,12 +56,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def discard(*frames: DataFrame) -> None:
     """Delete what materialize wrote, once nothing that is still to be computed reads it. The shuffle files behind it go when the
-    driver's collector finds that their frames are gone, for which it is called here."""
+    driver's collector finds that their frames are gone, for which it is called here, after Python's own."""
     for df in frames:
         sc = df.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(df._siftworks_path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-        sc._jvm.System.gc()
+    gc.collect()
+    frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def unused(name: str, *frames: DataFrame) -> str:

@@ -619,6 +619,7 @@ def _passages(docs: DataFrame, hashes: int, needed: int, width: int, passage: in
     rows = shared.select("doc", "rep", none, bit, F.col("two").alias("near")).unionByName(dealt.select("doc", "rep", "last" if last else none, bit, F.lit(True).alias("near")))
     # One row for each document, representative and last one, instead of one for each key that they share.
     stars = materialize(rows.groupBy("doc", "rep", "last").agg(F.bit_or("bit").alias("marks"), F.max("near").alias("near")), "passages-stars")
+    del rows, dealt  # their shuffle files go with them
     discard(shared)
     tried = materialize(pair(stars, "doc", "rep").where(enough(hashes, needed)).select("doc", "rep"), "passages-pairs")
     found = materialize(_verified(tried, docs, hashes, needed, passage, similarity, width, exact, block), "passages-found")
