@@ -61,8 +61,14 @@ def discard(*frames: DataFrame) -> None:
         sc = df.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(df._siftworks_path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    tidy(frames[0].sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Call both collectors, so that shuffle files of frames that are gone are deleted. What has only just ended may still be held by
+    Spark's listeners, so this is worth calling again before much is shuffled next."""
     gc.collect()
-    frames[0].sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def unused(name: str, *frames: DataFrame) -> str:

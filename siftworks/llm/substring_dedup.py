@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, join_by_key, materialize, ship, slices, table
+from .common import discard, join_by_key, materialize, ship, slices, table, tidy
 
 SHINGLE, PASSAGE_WORDS, SIMILARITY = 5, 50, 0.8
 HASHES, NEEDED = 4, 2
@@ -622,6 +622,7 @@ def _passages(docs: DataFrame, hashes: int, needed: int, width: int, passage: in
     del rows, dealt  # their shuffle files go with them
     discard(shared)
     tried = materialize(pair(stars, "doc", "rep").where(enough(hashes, needed)).select("doc", "rep"), "passages-pairs")
+    tidy(docs.sparkSession)
     found = materialize(_verified(tried, docs, hashes, needed, passage, similarity, width, exact, block), "passages-found")
     if not last:
         return found
