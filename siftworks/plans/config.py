@@ -319,6 +319,8 @@ class Profile:
         at = Checks(config).at
         hard, floor = at("hard_filters") or {}, at("compensation.floor")
         more = {} if floor is None else {"floor": Floor(floor["amount"], floor["currency"], floor["period"], floor["basis"], at("compensation.gross_net_ratio") or 1.0, at("compensation.fte_fraction"))}
+        if at("caps.max_full_reads_per_run") is not None:
+            more["read_cap"] = int(at("caps.max_full_reads_per_run"))
         return Profile(
             keywords=tuple([*at("search.keywords.core"), *(at("search.keywords.expanded") or [])]),
             languages=tuple(at("search.languages") or ("en",)),

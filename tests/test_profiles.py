@@ -193,3 +193,9 @@ def test_gates_lose_no_match(spark):
     with_gate = df.select(filters.all_hits(F.col("hay"), every, F.col("low")).alias("x")).collect()
     without = df.select(filters.all_hits(F.col("hay"), every).alias("x")).collect()
     assert with_gate == without and {n for r in without for n in r.x} >= set(filters.GATES)
+
+
+def test_the_read_cap_is_the_configurations():
+    assert config.Profile.of(GOOD).read_cap == 60
+    assert config.Profile.of(GOOD | {"caps": {"max_full_reads_per_run": 0}}).read_cap == 0
+    assert config.Profile.of(GOOD | {"caps": {"max_full_reads_per_run": 15}}).read_cap == 15
