@@ -114,12 +114,12 @@ def stated_language_requirement(c: Column, targets: list[str]) -> Column:
     names = [n for n, code in LANGUAGES.items() if code not in targets]
     walls = F.regexp_extract_all(low, F.lit(rf"(?U){APPLY_IN}({'|'.join(LANGUAGES)})\b"), F.lit(1))
     wall = F.get(F.filter(walls, lambda n: n.isin(names)), F.lit(0))
-    needs = []
-    for name in names:
-        near = F.filter(match_windows(low, rf"(?U)\b{name}\b", 45, 45), lambda m: ~m["window"].rlike(OPTIONAL) & m["window"].rlike(REQUIRED))
-        # The windows are cut only for texts that name the language at all.
-        needs.append(F.when(low.contains(name), F.when(F.size(near) > 0, F.lit(name))))
-    need = F.coalesce(*needs) if needs else F.lit(None).cast("string")
+    need = F.lit(None).cast("string")
+    if names:
+        # All names in one pass, and only over texts that have one at all; of those that are required the first of the table counts.
+        near = F.filter(match_windows(low, rf"(?U)\b(?:{'|'.join(names)})\b", 45, 45), lambda m: ~m["window"].rlike(OPTIONAL) & m["window"].rlike(REQUIRED))
+        required = F.transform(near, lambda m: m["match"])
+        need = F.when(low.rlike("|".join(names)), F.get(F.array_intersect(F.split(F.lit(" ".join(names)), " "), required), F.lit(0)))
     return F.when(wall.isNotNull(), F.struct(F.lit("apply_in").alias("kind"), wall.alias("language"))).when(need.isNotNull(), F.struct(F.lit("proficiency").alias("kind"), need.alias("language")))
 
 

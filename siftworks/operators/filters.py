@@ -146,18 +146,19 @@ def liveness_drop(verdict: Column, body: Column, tripwire: Column) -> Column:
     return F.when(tripwire, None).when(verdict == "stale", "stale").when((verdict == "unverifiable_direct") & (text(body) == ""), "unverified_blocked")
 
 
-def read_cap(df: DataFrame, order: list[Column], cap: int, body: str = "jd_text", tripwire: Column | None = None) -> DataFrame:
+def read_cap(df: DataFrame, order: list[Column], cap: int, body: str = "jd_text", tripwire: Column | None = None, wanted: Column | None = None) -> DataFrame:
     """df with jd_status: from_enumeration for long bodies, card_only for tripwire rows, to_read for the first `cap` of the rest
     in order, deferred beyond. The cap is the feature: reads are dear. The first `cap` are found by a top-k, within partitions
     first; all other rows are compared with the last of them. Of rows that tie with the last one, all are read: an order
-    that tells rows apart makes the cap exact."""
+    that tells rows apart makes the cap exact. Rows that are not wanted, if that is given, have no status and take no place."""
     kind = F.when(F.length(text(F.col(body))) > 400, "from_enumeration")
     if tripwire is not None:
         kind = kind.when(tripwire, "card_only")
-    df = df.withColumn("jd_status", kind)
-    wanting = df.where("jd_status IS NULL").select(F.struct(*order).alias("_o"))
+    asks = kind.isNull() if wanted is None else kind.isNull() & wanted
+    wanting = df.where(asks).select(F.struct(*order).alias("_o"))
     last = wanting.orderBy("_o").limit(max(cap, 0)).agg(F.max("_o").alias("_last"))  # one row
-    return df.crossJoin(F.broadcast(last)).withColumn("jd_status", F.coalesce("jd_status", F.when(F.struct(*order) <= F.col("_last"), "to_read").otherwise("deferred"))).drop("_last")
+    status = F.coalesce(kind, F.when(F.struct(*order) <= F.col("_last"), "to_read").otherwise("deferred"))
+    return df.crossJoin(F.broadcast(last)).withColumn("jd_status", status if wanted is None else F.when(wanted, status)).drop("_last")
 
 
 def half_rotation(df: DataFrame, order: list[Column]) -> DataFrame:

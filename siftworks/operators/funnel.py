@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .filters import drop_param
 
+#: The share of all that came in from which on a filter is said to take too much.
+OVER = 0.40
+
 
 def drop_by_param(df: DataFrame, reason: str = "drop_reason") -> DataFrame:
     return df.where(F.col(reason).isNotNull()).groupBy(drop_param(F.col(reason)).alias("param")).agg(F.count(F.lit(1)).alias("n"))
@@ -18,7 +21,7 @@ def funnel(df: DataFrame, reason: str = "drop_reason") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("funnel_in"), F.count_if(F.col(reason).isNull()).alias("new"), F.count_if(F.col(reason).isNotNull()).alias("dropped"), F.count_if(F.coalesce(dead, F.lit(False))).alias("link_dead"))
 
 
-def over_constraint(df: DataFrame, reason: str = "drop_reason", least: float = 0.40) -> DataFrame:
+def over_constraint(df: DataFrame, reason: str = "drop_reason", least: float = OVER) -> DataFrame:
     """Filters that take at least that share of all that came in, the heaviest first."""
     total = df.agg(F.count(F.lit(1)).alias("funnel_in"))  # one row
     counts = drop_by_param(df, reason).crossJoin(F.broadcast(total))

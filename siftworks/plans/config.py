@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass, field
 from typing import Any
 
+from ..functions.detectors import REGISTRY
 from ..functions.salary import Floor
 from ..operators.filters import FLAGS, AUTO_DROP, Rules
 
@@ -293,6 +294,8 @@ class Profile:
     surface_threshold: float = 7.0
     full_sweep: bool = False
     exempt_platform: str | None = None
+    #: Names of registered detectors (functions/detectors.py) that are noted beside the built-in ones.
+    detectors: tuple[str, ...] = ()
 
     def check(self) -> "Profile":
         wrong = []
@@ -307,6 +310,7 @@ class Profile:
         wrong += [f"modes: {k}={v}" for k, v in self.modes.items() if v not in FILTER_MODES.get(k, ())]
         if self.latest_end_local is not None and not re.fullmatch(r"\d{2}:\d{2}", self.latest_end_local):
             wrong.append("latest_end_local: HH:MM")
+        wrong += [f"detectors: {d} is not registered" for d in self.detectors if d not in REGISTRY]
         if self.freshness_hours <= 0 or self.read_cap < 0:
             wrong.append("freshness_hours and read_cap: not negative")
         if wrong:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import detect, markup, salary, text
+from ..functions import detect, detectors, markup, salary, text
 from ..operators import filters, funnel, health, history, state, sync
 from ..sources import payloads
 from . import triage as triage_plan
@@ -855,6 +855,7 @@ def keyword_outcomes(spark, sf_dir):
 # --- the whole -------------------------------------------------------------------------------------------------------
 
 TITLE_WORDS = ("the", "and", "der", "die", "que", "les", "est")
+TRIAGE_PROFILE = Profile(keywords=TITLE_WORDS, latest_end_local="18:00")
 _TITLE = "lower(array_to_string(list_slice(string_split(text, ' '), 1, 8), ' '))"
 
 
@@ -872,8 +873,7 @@ def triaged(spark, sf_dir):
     rows = postings(spark, sf_dir)
     gone = rows.where("doc_id % 11 = 0").select("url", F.lit("stale").alias("verdict"))
     other = spark.createDataFrame([("https://jobs.lever.co/acme/42", "stale")], "url string, verdict string")
-    profile = Profile(keywords=TITLE_WORDS, latest_end_local="18:00")
-    return triage_plan.triage(rows, seen, profile, F.lit("2024-01-01").cast("timestamp"), verdicts=gone.unionByName(other))
+    return triage_plan.triage(rows, seen, TRIAGE_PROFILE, F.lit("2024-01-01").cast("timestamp"), verdicts=gone.unionByName(other))
 
 
 @query(_NEW + " SELECT source AS platform, param, count(*) AS n FROM t GROUP BY 1, 2")
@@ -891,3 +891,47 @@ def triage_history(spark, sf_dir):
     rows = triaged(spark, sf_dir).where("drop_reason IS NULL OR drop_reason = 'stale'")
     status = F.when(F.col("drop_reason").isNull(), F.col("jd_status"))
     return rows.select("doc_id", F.coalesce(F.size("prior"), F.lit(0)).cast("long").alias("n_prior"), status.alias("jd_status"), "link_status")
+
+
+@query(_NEW + """, n AS (SELECT param, count(*) AS n FROM t WHERE param <> '' GROUP BY 1) SELECT (SELECT count(*) FROM t) AS funnel_in, (SELECT count(*) FROM t WHERE param = '') AS new,
+ (SELECT count(*) FROM t WHERE param <> '') AS dropped, (SELECT count(*) FROM t WHERE param = 'stale') AS link_dead, coalesce((SELECT string_agg(param || ':' || n, ',' ORDER BY param) FROM n), '') AS drops,
+ coalesce((SELECT string_agg(param, ',' ORDER BY param) FROM n WHERE n >= 0.4 * (SELECT count(*) FROM t)), '') AS nudges, (SELECT count(*) FROM t WHERE source = 'web') AS web""")
+def run_counters(spark, sf_dir):
+    """The run's record, gathered while the candidates are written once (here to no place)."""
+    counters = triage_plan.RunCounters(TRIAGE_PROFILE, [("web", 1, 1), ("nowhere", 2, 0)])
+    counters.watch(triaged(spark, sf_dir)).write.format("noop").mode("overwrite").save()
+    r = counters.record()
+    row = (*(r[k] for k in ("funnel_in", "new", "dropped", "link_dead")), ",".join(f"{d['param']}:{d['n']}" for d in r["drop_by_param"]), ",".join(r["drop_nudges"]), next(s["raw"] for s in r["platform_stats"] if s["platform"] == "web"))
+    return spark.createDataFrame([row], "funnel_in long, new long, dropped long, link_dead long, drops string, nudges string, web long")
+
+
+_READ_CAP = 25
+_OPEN = f"""WITH f AS ({SQL_FILTERED}), o AS (SELECT f.*, 'https://www.site.example/doc/' || doc_id || '/?utm=x' AS url FROM f WHERE drop_reason IS NULL AND ({" OR ".join(f"contains({_TITLE}, '{w}')" for w in TITLE_WORDS)}))"""
+
+
+@query(_OPEN + f""", w AS (SELECT doc_id, row_number() OVER (ORDER BY source, url) AS nr FROM o WHERE length(text || {SQL_PHRASE}) <= 400)
+ SELECT doc_id, CASE WHEN nr IS NULL THEN 'from_enumeration' WHEN nr > {_READ_CAP} THEN 'deferred' WHEN doc_id % 3 = 0 THEN 'fetched' ELSE 'fetch_failed' END AS jd_status,
+ CASE WHEN nr <= {_READ_CAP} AND doc_id % 3 = 0 THEN 'A page of ' || doc_id ELSE text || {SQL_PHRASE} END AS jd_text, CASE WHEN nr <= {_READ_CAP} AND doc_id % 3 = 0 THEN 'https://jobs.lever.co/acme/' || doc_id END AS source_url
+ FROM o LEFT JOIN w USING (doc_id)""")
+def triage_reads(spark, sf_dir):
+    """The triage with bodies read in full: short bodies up to the cap are asked for, a third of them come, with their sources."""
+    rows = postings(spark, sf_dir)
+    page = F.concat(F.lit('<a href="https://jobs.lever.co/acme/'), F.col("doc_id").cast("string"), F.lit('">source</a>'))
+    reads = rows.where("doc_id % 3 = 0").select("url", F.concat(F.lit("A page of "), F.col("doc_id").cast("string")).alias("body"), page.alias("html"))
+    profile = Profile(keywords=TITLE_WORDS, latest_end_local="18:00", read_cap=_READ_CAP)
+    out = triage_plan.triage(rows, None, profile, F.lit("2024-01-01").cast("timestamp"), reads=reads)
+    return out.where("drop_reason IS NULL").select("doc_id", "jd_status", "jd_text", "source_url")
+
+
+@query(_OPEN + f""" SELECT doc_id, CASE WHEN length(body) > 3000 THEN 'long' END AS note_long_body, coalesce(length(body) > 3000, false) AS long_body,
+ len(regexp_extract_all(body, '[0-9]{{4}}')) AS note_years, false AS years, nullif(regexp_extract(body, '[Pp]assport|clearance'), '') AS note_papers, regexp_matches(body, '[Pp]assport|clearance') AS papers
+ FROM (SELECT *, text || {SQL_PHRASE} AS body FROM o)""")
+def registered_detectors(spark, sf_dir):
+    """Detectors that a user registers, from Columns and from SQL: notes, and flags beside the built-in ones."""
+    detectors.register_detector("long_body", lambda body: F.when(F.length(body) > 3000, "long"))
+    detectors.register_detector("years", lambda body: F.regexp_count(body, F.lit("[0-9]{4}")).cast("long"), flags=False)
+    detectors.register_sql_detector(spark, "papers", "nullif(regexp_extract(body, '[Pp]assport|clearance', 0), '')")
+    names = ("long_body", "years", "papers")
+    profile = Profile(keywords=TITLE_WORDS, latest_end_local="18:00", detectors=names)
+    out = triage_plan.triage(postings(spark, sf_dir), None, profile, F.lit("2024-01-01").cast("timestamp")).where("drop_reason IS NULL")
+    return out.select("doc_id", *(f"note_{n}" for n in names), *(F.array_contains("flags", n).alias(n) for n in names))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions import detect, salary
+from ..functions import detect, detectors, salary
 from ..functions.text import make_key, norm_company, norm_url, resolve_source_url, role_family, text
 from ..operators import filters
+from ..operators.funnel import OVER
 from ..operators.history import company_history, run_drops, two_tier_new
 from .config import Profile
 
@@ -47,15 +48,17 @@ def read_bodies(rows: DataFrame, reads: DataFrame | None, cap: int, tripwire: Co
     if reads is None:
         status = F.when(gone, None).when(F.length(text(F.col("jd_text"))) > 400, "from_enumeration").when(tripwire, "card_only").otherwise("deferred")
         return rows.withColumn("jd_status", status).withColumn("source_url", F.when(~gone, resolve_source_url(F.col("jd_text"))))
-    stay = filters.read_cap(rows.where(~gone), order, cap, "jd_text", tripwire)
-    pages = reads.groupBy(F.col("url").alias("_url")).agg(F.min(F.struct("body", "html")).alias("_p")).select("_url", "_p.*")
-    stay = stay.join(pages, (F.col("url") == F.col("_url")) & (F.col("jd_status") == "to_read"), "left")
-    got = text(F.col("body")) != ""
-    source = resolve_source_url(F.col("html"))
-    stay = stay.withColumn("source_url", F.when((F.col("jd_status") == "to_read") & got & (norm_url(source) != norm_url(F.col("url"))), source))
-    stay = stay.withColumn("jd_text", F.when((F.col("jd_status") == "to_read") & got, F.col("body")).otherwise(F.col("jd_text")))
-    stay = stay.withColumn("jd_status", F.when(F.col("jd_status") == "to_read", F.when(got, "fetched").otherwise("fetch_failed")).otherwise(F.col("jd_status"))).drop("_url", "body", "html")
-    return stay.unionByName(rows.where(gone), allowMissingColumns=True)
+    rows = filters.read_cap(rows, order, cap, "jd_text", tripwire, wanted=~gone)
+    pages = reads.groupBy(F.col("url").alias("_url")).agg(F.min(F.struct("body", "html")).alias("_p"))
+    rows = rows.join(pages, (F.col("url") == F.col("_url")) & (F.col("jd_status") == "to_read"), "left")
+    asked, got = F.coalesce(F.col("jd_status") == "to_read", F.lit(False)), text(F.col("_p.body")) != ""
+    source = resolve_source_url(F.col("_p.html"))
+    return rows.select(
+        *(c for c in rows.columns if c not in ("_url", "_p", "jd_text", "jd_status", "source_url")),
+        F.when(asked & got, F.col("_p.body")).otherwise(F.col("jd_text")).alias("jd_text"),
+        F.when(asked, F.when(got, "fetched").otherwise("fetch_failed")).otherwise(F.col("jd_status")).alias("jd_status"),
+        F.when(asked & got & (norm_url(source) != norm_url(F.col("url"))), source).alias("source_url"),
+    )
 
 
 def check_links(rows: DataFrame, verdicts: DataFrame, tripwire: Column) -> DataFrame:
@@ -85,23 +88,28 @@ def annotate(rows: DataFrame, profile: Profile, now: Column) -> DataFrame:
         "language_requirement": detect.stated_language_requirement(body, list(profile.languages)),
         "start_date_note": detect.start_date_passed(body, now),
     }
-    rows = rows.withColumns({k: F.when(stays, v) for k, v in note.items()})
-    rows = rows.withColumn("salary_status", F.when(stays, salary.assess(F.col("salary_parsed"), profile.floor)))
-    off_place = F.lit(bool(profile.work_model)) & (F.size("work_arrangement_detected") > 0) & ~F.arrays_overlap("work_arrangement_detected", F.array(*map(F.lit, profile.work_model or ("",))))
+    note |= {f"note_{name}": detectors.build(name, title=title, place=place, body=body, pay=F.col("salary")) for name in profile.detectors}
+    # Three selects in all: what is detected, what it means for this profile, what drops for it.
+    found = rows.select(*(c for c in rows.columns if c not in note), *(F.when(stays, v).alias(k) for k, v in note.items()))
+    off_place = F.lit(bool(profile.work_model)) & (F.size("work_arrangement_detected") > 0) & ~F.arrays_overlap("work_arrangement_detected", F.split(F.lit(" ".join(profile.work_model)), " "))
     more = [
         F.when(detect.missing_company(F.col("company")), F.lit("missing_company")),
-        F.when(F.lit(bool(profile.bands)) & detect.seniority_off_target(F.col("seniority_detected"), list(profile.bands or ("",))), F.lit("seniority_off_target")),
-        F.when(F.lit(bool(accept)) & detect.employment_off_target(F.col("employment_detected"), accept or [""]), F.lit("employment_off_target")),
-        F.when(F.lit(profile.modes.get("work_arrangement", "off") != "off") & off_place, F.lit("work_arrangement_mismatch")),
         F.when(F.col("language_detected").isNotNull() & ~F.col("language_detected").isin(list(profile.languages)), F.lit("non_target_language")),
         F.when(F.col("language_requirement").isNotNull(), F.lit("stated_language_requirement")),
         F.when(F.col("start_date_note").isNotNull(), F.lit("start_date_passed")),
     ]
+    if profile.bands:
+        more.append(F.when(detect.seniority_off_target(F.col("seniority_detected"), list(profile.bands)), F.lit("seniority_off_target")))
+    if accept:
+        more.append(F.when(detect.employment_off_target(F.col("employment_detected"), accept), F.lit("employment_off_target")))
+    if profile.modes.get("work_arrangement", "off") != "off":
+        more.append(F.when(off_place, F.lit("work_arrangement_mismatch")))
     if "saturated" in rows.columns:
         more.append(F.when(F.col("saturated"), F.lit("applied_variant_saturation")))
-    flags = F.array_sort(F.array_distinct(F.concat("flags", F.filter(F.array(*more), lambda x: x.isNotNull()))))
-    rows = rows.withColumn("flags", F.when(stays, flags).otherwise(F.col("flags")))
-    return rows.withColumn("drop_reason", F.coalesce("drop_reason", filters.eligibility_drop(F.col("flags"), profile.modes)))
+    more += [F.when(detectors.flagged(F.col(f"note_{name}")), F.lit(name)) for name in profile.detectors if detectors.REGISTRY[name].flags]
+    flags = F.array_sort(F.array_distinct(F.array_compact(F.concat("flags", F.array(*more)))))
+    judged = found.select(*(c for c in found.columns if c not in ("flags", "salary_status")), F.when(stays, flags).otherwise(F.col("flags")).alias("flags"), F.when(stays, salary.assess(F.col("salary_parsed"), profile.floor)).alias("salary_status"))
+    return judged.withColumn("drop_reason", F.coalesce("drop_reason", filters.eligibility_drop(F.col("flags"), profile.modes)))
 
 
 def run_record(rows: DataFrame, platforms: DataFrame, healed: DataFrame | None = None) -> DataFrame:
@@ -122,6 +130,43 @@ def run_record(rows: DataFrame, platforms: DataFrame, healed: DataFrame | None =
     return out
 
 
+class RunCounters:
+    """The same record, counted while the candidates are written, so that the triage runs once and not once for each count.
+    asked: (platform, fetches, answered) of each platform that was asked, a few dozen. Every filter that the profile can have is
+    counted by name, any other under `other`. `watch` has to be the last step before the write: a step between them that is done
+    again after a lost executor would be counted again, while the tasks that write count once."""
+
+    def __init__(self, profile: Profile, asked: list[tuple[str, int, int]]):
+        rules = profile.rules()
+        self.asked = asked
+        self.params = list(dict.fromkeys([*rules.title_drop, *rules.auto_drop, "closed_location_list", "stale", "unverified_blocked", *profile.modes]))
+        self.seen = Observation()
+
+    def watch(self, rows: DataFrame) -> DataFrame:
+        reason, param, platform = F.col("drop_reason"), F.col("_param"), F.col("platform")
+        count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+        metrics = {"funnel_in": F.count(F.lit(1)), "new": count(reason.isNull()), "dropped": count(reason.isNotNull()), "link_dead": count(reason.isin("stale", "unverified_blocked"))}
+        metrics |= {f"param {i}": count(param == name) for i, name in enumerate(self.params)} | {"other": count(~param.isin(self.params))}
+        metrics |= {f"platform {i}": count(platform == name) for i, (name, _, _) in enumerate(self.asked)}
+        return rows.withColumn("_param", filters.drop_param(reason)).observe(self.seen, *(c.alias(k) for k, c in metrics.items())).drop("_param")
+
+    def record(self) -> dict:
+        """After the write; it waits for it."""
+        got = self.seen.get
+        drops = {name: got[f"param {i}"] for i, name in enumerate(self.params)} | {"other": got["other"]}
+        drops = {k: n for k, n in sorted(drops.items()) if n}
+        stats = [{"platform": p, "raw": got[f"platform {i}"], "source_down": got[f"platform {i}"] == 0 and fetches > 0, "http_ok": answered > 0} for i, (p, fetches, answered) in enumerate(self.asked)]
+        stats.sort(key=lambda s: s["platform"])
+        return {
+            **{k: got[k] for k in ("funnel_in", "new", "dropped", "link_dead")},
+            "drop_by_param": [{"param": k, "n": n} for k, n in drops.items()],
+            "drop_nudges": [k for k, n in drops.items() if n >= OVER * got["funnel_in"]],
+            "platforms_covered": [s["platform"] for s in stats if not s["source_down"]],
+            "sources_down": [s["platform"] for s in stats if s["source_down"]],
+            "platform_stats": stats,
+        }
+
+
 def shortlist(scored: DataFrame, profile: Profile, score: str = "score") -> DataFrame:
     """Rows at or above the threshold, the best first; a row without a score isn't one."""
     return scored.where(F.col(score) >= profile.surface_threshold).orderBy(F.desc(score), "url")
