@@ -65,12 +65,13 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
         cuts = sorted(set(cuts))  # at most MOST_BUCKETS ids
     tie = F.xxhash64("text")
     # Rows without an id come last, in the order of their hashes, which deals them over buckets below zero.
-    nameless = max(1, (n - named) // bucket_rows)
+    nameless = max(1, min(MOST_BUCKETS, (n - named) // bucket_rows))
     below = -1 - F.least(F.floor((tie / F.lit(2.0**64) + 0.5) * nameless), F.lit(nameless - 1)).cast("int")
     spread = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), below).otherwise(_rank_in(cuts, F.col("doc_id")) if cuts else F.lit(0)).cast("int"))
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), tie)
     placed = spread.repartition("bucket").select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"), F.lead(F.lit(True), 1, False).over(order).alias("_more"))
-    # The last document of each bucket is followed by the first of the next bucket down; only the buckets' numbers meet in one task.
+    # The last document of each bucket is followed by the first of the next bucket down; only the buckets' numbers, at most
+    # twice MOST_BUCKETS, meet in one task.
     down = Window.orderBy(F.col("bucket").desc())
     followed = spread.select("bucket").distinct().select("bucket", F.lead("bucket").over(down).alias("_next"), F.max("bucket").over(Window.partitionBy()).alias("_top"))
     first = F.min_by("text", F.struct(F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)), tie))  # the complement turns the order round
