@@ -44,8 +44,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id")
+        # Rows that share an id, or have none, are told apart by their texts, so that they need not meet in one task.
+        .withColumn("_tie", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "_tie")
+        .sortWithinPartitions("doc_id", "_tie")
+        .select("doc_id", "text")
         .mapInArrow(encode, WRITTEN)
         .write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")
