@@ -11,6 +11,7 @@ from ..functions import detect, detectors, markup, salary, text
 from ..operators import filters, funnel, health, history, state, sync
 from ..sources import payloads
 from . import triage as triage_plan
+from . import validate
 from .config import Profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -935,3 +936,46 @@ def registered_detectors(spark, sf_dir):
     profile = Profile(keywords=TITLE_WORDS, latest_end_local="18:00", detectors=names)
     out = triage_plan.triage(postings(spark, sf_dir), None, profile, F.lit("2024-01-01").cast("timestamp")).where("drop_reason IS NULL")
     return out.select("doc_id", *(f"note_{n}" for n in names), *(F.array_contains("flags", n).alias(n) for n in names))
+
+
+_EMAIL, _PHONE, _STREET = (q(p) for p in validate.PERSONAL.values())
+
+
+def _breach(section: str, rule: str, table: str, place: str, broken: str) -> str:
+    return f"SELECT {q(section)} AS section, {q(rule)} AS rule, count(*) AS checked, count(*) FILTER (WHERE {broken}) AS breaches, min(CAST({place} AS VARCHAR)) FILTER (WHERE {broken}) AS first FROM {table}"
+
+
+_PLATFORMS = "(SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN p_brand || '-' || p_partkey // 2 END AS slug, p_size % 3 = 0 AS active, p_size % 5 AS tier, CASE p_size % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'unverified' WHEN 2 THEN 'odd' END AS status FROM part)"
+
+
+@query(" UNION ALL ".join([
+    _breach("binding", "not empty", "documents", "doc_id", "coalesce(trim(text), '') = ''"),
+    _breach("binding", "no email", "documents", "doc_id", f"regexp_matches(coalesce(text, '@'), {_EMAIL})"),
+    _breach("binding", "no phone", "documents", "doc_id", f"regexp_matches(text, {_PHONE})"),
+    _breach("binding", "no street_address", "documents", "doc_id", f"regexp_matches(text, {_STREET})"),
+    _breach("platform", "slug", _PLATFORMS, "p_partkey", "slug IS NULL"),
+    _breach("platform", "active has a tier", _PLATFORMS, "p_partkey", "active AND tier NOT IN (1, 2, 3)"),
+    _breach("platform", "status", _PLATFORMS, "p_partkey", "status = 'odd'"),
+    _breach("platform", "unverified is not active", _PLATFORMS, "p_partkey", "coalesce(status, '') = 'unverified' AND active"),
+    f"SELECT 'platform', 'slug once', sum(n)::BIGINT, coalesce(sum(n - 1) FILTER (WHERE n > 1 AND slug IS NOT NULL), 0)::BIGINT, min(spot) FILTER (WHERE n > 1 AND slug IS NOT NULL) FROM (SELECT slug, count(*) AS n, min(CAST(p_partkey AS VARCHAR)) AS spot FROM {_PLATFORMS} GROUP BY 1)",
+    _breach("suggestion", "keys", "supplier", "s_suppkey", "s_suppkey % 6 = 0"),
+    _breach("suggestion", "kind", "supplier", "s_suppkey", "s_suppkey % 4 = 3"),
+    _breach("suggestion", "value", "supplier", "s_suppkey", "s_suppkey % 5 = 0"),
+    _breach("suggestion", "frequency", "supplier", "s_suppkey", "s_suppkey % 7 = 0"),
+]))
+def repository_rules(spark, sf_dir):
+    """Texts, platforms and suggestions against what a repository must hold, all sections in one frame."""
+    texts = read(spark, sf_dir, "documents").select(F.lit("binding").alias("section"), F.col("doc_id").cast("string").alias("place"), "text")
+    part = read(spark, sf_dir, "part")
+    size = F.col("p_size")
+    platforms = part.select(
+        "p_partkey", F.when(F.col("p_partkey") % 10 != 0, F.concat_ws("-", "p_brand", F.floor(F.col("p_partkey") / 2).cast("string"))).alias("slug"),
+        (size % 3 == 0).alias("active"), (size % 5).alias("tier_default"), F.when(size % 4 == 0, "verified").when(size % 4 == 1, "unverified").when(size % 4 == 2, "odd").alias("status"),
+    )
+    key = F.col("s_suppkey")
+    suggested = read(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.get(F.array(*map(F.lit, (*validate.KINDS, "person"))), (key % 4).cast("int")).alias("kind"), F.when(key % 5 == 0, "a@b.example").otherwise(F.concat(F.lit("Term "), key.cast("string"))).alias("value"),
+        F.when(key % 7 == 0, 0).when(key % 7 == 1, 3).alias("frequency"), F.when(key % 6 == 0, F.col("s_name")).alias("phone"),
+    )
+    rows = texts.unionByName(validate.entries(platforms, "platform", "p_partkey")).unionByName(validate.entries(suggested, "suggestion", "s_suppkey"))
+    return validate.validate(rows).drop("examples")
