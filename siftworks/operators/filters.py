@@ -124,7 +124,9 @@ def hard_filter(df: DataFrame, rules: Rules, title: str = "title", place: str =
     named = F.concat(F.lit("auto-drop: "), by_pattern)
     if rules.closed_list:
         named = F.coalesce(named, F.when(closed_list(F.col("hay"), rules), F.lit("auto-drop: closed_location_list (closed list, candidate location absent)")))
-    rows = rows.withColumn("drop_reason", named)
+    # Of an array of one, so that no condition on the reason is moved below it, where every pattern would run again, and the text be
+    # built anew for each.
+    rows = rows.select("row", "hay", "low", F.explode(F.array(named)).alias("drop_reason"))
     none = F.expr("CAST(array() AS array<string>)")
     flags = F.when(F.col("drop_reason").isNull() | F.col("drop_reason").contains("closed_location_list"), all_hits(F.col("hay"), rules.flags, F.col("low"))).otherwise(none)
     return rows.withColumn("flags", flags).select("row.*", "drop_reason", "flags")
