@@ -38,4 +38,5 @@ def source_stats(df: DataFrame, sources: DataFrame, source: str = "source") -> D
 
 
 def flag_counts(df: DataFrame, names: list[str], flags: str = "flags") -> DataFrame:
-    return df.select(F.explode(flags).alias("flag")).where(F.col("flag").isin(names)).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+    # With explode Spark would ask for non-empty arrays first, and so make the flags twice.
+    return df.select(F.explode_outer(flags).alias("flag")).where(F.col("flag").isin(names)).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))

@@ -32,3 +32,11 @@ def test_rows_of_the_filter_are_all_there(spark):
     assert [tuple(r) for r in funnel.drop_by_param(filtered(spark)).collect()] == [("odd", 2)]
     none = filters.hard_filter(filtered(spark), filters.Rules(auto_drop={}, flags={}, closed_list=False))
     assert {(r.drop_reason, len(r.flags)) for r in none.collect()} == {(None, 0)} and none.count() == 6
+
+
+def test_flags_are_counted_in_one_pass(spark):
+    counts = funnel.flag_counts(filtered(spark), ["seen", "also", "never"])
+    assert plan(counts).count("tsrq") == 1
+    assert sorted(tuple(r) for r in counts.collect()) == [("also", 1), ("seen", 2)]
+    some = spark.createDataFrame([(["seen", "x", "seen"],), (None,), ([],)], "flags array<string>")
+    assert [tuple(r) for r in funnel.flag_counts(some, ["seen"]).collect()] == [("seen", 2)]
