@@ -75,6 +75,7 @@ def detect_language(c: Column, least_words: int = 50, least_share: float = 0.02)
     """The language whose function words have the largest share, ties in table order; null for short or unclear text."""
     words = F.regexp_extract_all(F.lower(text(c)), F.lit(r"(\p{L}+)"), F.lit(1))
     any_language = sorted({word for line in STOPWORDS.values() for word in line.split()})
+    marks = F.regexp_replace(text(c), r"\p{ASCII}+", "")  # among which the letters of DIACRITICS are sought, and not in the whole text six times
     # One pass over all words leaves the function words, which the languages then count among.
 
     def best(p: Column) -> Column:
@@ -82,12 +83,12 @@ def detect_language(c: Column, least_words: int = 50, least_share: float = 0.02)
         for rank, (lang, line) in enumerate(STOPWORDS.items()):
             share = F.size(F.filter(w, _one_of(line.split()))) / F.greatest(n, F.lit(1))
             if lang in DIACRITICS:
-                share = share + F.when(text(c).rlike(f"[{DIACRITICS[lang]}]"), 0.01).otherwise(0.0)
+                share = share + F.when(p["marks"].rlike(f"[{DIACRITICS[lang]}]"), 0.01).otherwise(0.0)
             scores.append(F.struct(share.alias("score"), F.lit(-rank).alias("rank"), F.lit(lang).alias("lang")))
         top = F.array_max(F.array(*scores))
         return F.get(F.transform(F.array(top), lambda t: F.when((n >= least_words) & (t["score"] >= least_share), t["lang"])), F.lit(0))
 
-    return F.get(F.transform(F.array(words), lambda all_words: F.get(F.transform(F.array(F.struct(F.size(all_words).alias("n"), F.filter(all_words, _one_of(any_language)).alias("w"))), best), F.lit(0))), F.lit(0))
+    return F.get(F.transform(F.array(words), lambda all_words: F.get(F.transform(F.array(F.struct(F.size(all_words).alias("n"), F.filter(all_words, _one_of(any_language)).alias("w"), marks.alias("marks"))), best), F.lit(0))), F.lit(0))
 
 
 def language_flag(c: Column, targets: list[str]) -> Column:
@@ -119,7 +120,7 @@ def stated_language_requirement(c: Column, targets: list[str]) -> Column:
         # All names in one pass, and only over texts that have one at all; of those that are required the first of the table counts.
         near = F.filter(match_windows(low, rf"(?U)\b(?:{'|'.join(names)})\b", 45, 45), lambda m: ~m["window"].rlike(OPTIONAL) & m["window"].rlike(REQUIRED))
         required = F.transform(near, lambda m: m["match"])
-        need = F.when(low.rlike("|".join(names)), F.get(F.array_intersect(F.split(F.lit(" ".join(names)), " "), required), F.lit(0)))
+        need = F.when(low.rlike(rf"(?<![a-z])(?:{'|'.join(names)})"), F.get(F.array_intersect(F.split(F.lit(" ".join(names)), " "), required), F.lit(0)))
     return F.when(wall.isNotNull(), F.struct(F.lit("apply_in").alias("kind"), wall.alias("language"))).when(need.isNotNull(), F.struct(F.lit("proficiency").alias("kind"), need.alias("language")))
 
 

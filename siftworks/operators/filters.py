@@ -138,10 +138,13 @@ def drop_param(reason: Column) -> Column:
     return F.when(reason.isNotNull(), F.when(named != "", named).otherwise(F.trim(F.split(reason, ":", 2)[0])))
 
 
+#: The filters that look at flags, in their order.
+ELIGIBILITY = (("work_arrangement", "work_arrangement_mismatch"), ("employment_mismatch", "employment_off_target"), ("language_mismatch", "non_target_language"))
+
+
 def eligibility_drop(flags: Column, modes: dict[str, str]) -> Column:
     """After annotation: work arrangement, then employment, then language, each only in the mode `drop`."""
-    order = (("work_arrangement", "work_arrangement_mismatch"), ("employment_mismatch", "employment_off_target"), ("language_mismatch", "non_target_language"))
-    return F.coalesce(F.lit(None).cast("string"), *(F.when(F.array_contains(flags, flag), F.lit(mode)) for mode, flag in order if modes.get(mode) == "drop"))
+    return F.coalesce(F.lit(None).cast("string"), *(F.when(F.array_contains(flags, flag), F.lit(mode)) for mode, flag in ELIGIBILITY if modes.get(mode) == "drop"))
 
 
 def liveness_drop(verdict: Column, body: Column, tripwire: Column) -> Column:

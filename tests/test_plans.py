@@ -3,7 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siftworks.functions import detect
 from siftworks.operators import filters, funnel
+from siftworks.plans.config import Profile
+from siftworks.plans.triage import triage
 
 RULES = filters.Rules(auto_drop={"odd": "zyxw", "other": "wxyz"}, flags={"seen": "tsrq", "also": "[q]rst"})
 SCHEMA = "id int, title string, loc string, salary string, jd_text string"
@@ -40,3 +43,25 @@ def test_flags_are_counted_in_one_pass(spark):
     assert sorted(tuple(r) for r in counts.collect()) == [("also", 1), ("seen", 2)]
     some = spark.createDataFrame([(["seen", "x", "seen"],), (None,), ([],)], "flags array<string>")
     assert [tuple(r) for r in funnel.flag_counts(some, ["seen"]).collect()] == [("seen", 2)]
+
+
+@pytest.mark.parametrize("modes", [{}, {"language_mismatch": "drop", "employment_mismatch": "drop"}])
+def test_a_condition_on_the_triage_makes_nothing_twice(spark, modes):
+    rows = [(1, "Lead", "A", "https://x/1", "Wir suchen und " * 40, "p"), (2, "Lead", "A", "https://x/2", "We are looking for you and the team " * 40, "p"), (3, "Lead", "A", "https://x/3", "W-2", "p")]
+    df = spark.createDataFrame(rows, "id int, title string, company string, url string, jd_text string, platform string").withColumns({"loc": F.lit(""), "posted_at": F.lit(None).cast("string"), "salary": F.lit("")})
+    kept = triage(df, None, Profile(keywords=("lead",), modes=modes), F.lit("2026-07-01").cast("timestamp")).where("drop_reason IS NULL")
+    assert plan(kept).count("work hard,? play") == 1 and plan(kept).count("obowiązki") == 2  # a language's words, and those of all
+    assert {r.id for r in kept.collect()} == ({2} if modes else {1, 2})
+
+
+def test_letters_of_a_language_are_sought_among_no_others(spark):
+    bodies = ["die Größe und der Wert " * 20, "the plain text of the team and you " * 20, "żółć i się oraz dla lub praca " * 20, None, "", "\u0130 über " * 60]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id int, b string")
+    got = df.select("id", detect.detect_language(F.col("b")).alias("x"))
+    assert {r.id: r.x for r in got.collect()} == {0: "de", 1: "en", 2: "pl", 3: None, 4: None, 5: None}
+
+
+@pytest.mark.parametrize("body, want", [("Fluent Polish is required", "polish"), ("unpolish required, native", None), ("(fluent german)", "german"), ("éfrench required", None), ("fluent\u00a0Dutch", "dutch")])
+def test_names_of_languages_begin_words(spark, body, want):
+    got = spark.createDataFrame([(body,)], "b string").select(detect.stated_language_requirement(F.col("b"), ["en"]).alias("x")).first().x
+    assert (got and got.language) == want
