@@ -27,28 +27,32 @@ def lookup(table: dict, key: Column) -> Column:
 def num(c: Column) -> Column:
     """3,000 and 3.500 and 3.5 and 65k as a number; null where it can't be read."""
     s = F.regexp_replace(F.regexp_replace(F.trim(c), r"(?U)\s*[kK]$", ""), "[, ]", "")
-    value = F.when(s.rlike(r"^\d+\.\d{3}$"), F.replace(s, F.lit("."), F.lit(""))).otherwise(s).try_cast("double")
+    value = F.regexp_replace(s, r"^(\d+)\.(\d{3})$", "$1$2").try_cast("double")
     return F.when(F.trim(c).rlike("[kK]$"), value * 1000).otherwise(value)
 
 
 def parse(c: Column) -> Column:
     """struct(amount_min, amount_max, currency, period, period_stated, basis) of the first mention with a currency or a period
     and at least 5; null if there is none."""
-    windows = match_windows(c, rf"(?:{MENTION})", 60, 60)
+    # One pass over the text gives each mention's groups; of bare numbers no more is read.
+    windows = match_windows(c, rf"(?:{MENTION})", 60, 60, groups=6, keep=lambda m: F.concat(*(m["groups"][k] for k in (0, 2, 4, 5))) != "")
 
     def read(m: Column) -> Column:
-        g = lambda k: F.nullif(F.regexp_extract(m["match"], MENTION, k), F.lit(""))
-        low, high = num(g(2)), F.coalesce(num(g(4)), num(g(2)))
+        g = lambda k: F.nullif(m["groups"][k - 1], F.lit(""))
         currency = F.coalesce(F.upper(g(5)), lookup(SYMBOLS, F.coalesce(g(1), g(3))))
         period = lookup(PERIODS, F.lower(g(6)))
-        basis = F.when(F.lower(m["window"]).rlike(r"(?U)\b(net|netto)\b"), "net").otherwise("gross")
+        return F.struct(num(m["groups"][1]).alias("first"), F.when(m["groups"][3] != "", num(m["groups"][3])).alias("second"), currency.alias("currency"), period.alias("period"), m["window"].alias("window"))
+
+    def said(r: Column) -> Column:
+        low, high = r["first"], F.coalesce(r["second"], r["first"])
+        basis = F.when(F.lower(r["window"]).rlike(r"(?U)\b(net|netto)\b"), "net").otherwise("gross")
         return F.struct(
-            F.least(low, high).alias("amount_min"), F.greatest(low, high).alias("amount_max"), F.coalesce(currency, F.lit("USD")).alias("currency"), period.alias("period"),
-            period.isNotNull().alias("period_stated"), basis.alias("basis"), (currency.isNotNull() | period.isNotNull()).alias("said"),
+            F.least(low, high).alias("amount_min"), F.greatest(low, high).alias("amount_max"), F.coalesce(r["currency"], F.lit("USD")).alias("currency"), r["period"].alias("period"),
+            r["period"].isNotNull().alias("period_stated"), basis.alias("basis"),
         )
 
-    good = F.filter(F.transform(windows, read), lambda r: r["said"] & (r["amount_max"] >= 5))
-    return F.get(F.transform(F.slice(good, 1, 1), lambda r: F.struct(*[r[k].alias(k) for k in ("amount_min", "amount_max", "currency", "period", "period_stated", "basis")])), F.lit(0))
+    good = F.filter(F.transform(windows, read), lambda r: (r["currency"].isNotNull() | r["period"].isNotNull()) & (F.greatest(r["first"], r["second"]) >= 5))
+    return F.get(F.transform(F.slice(good, 1, 1), said), F.lit(0))
 
 
 def infer_period(amount: Column, currency: Column, to_eur: dict = TO_EUR) -> Column:

@@ -150,16 +150,28 @@ def push_rejected(c: Column) -> Column:
     return F.lower(text(c)).contains("rejected")
 
 
-def match_windows(c: Column, pattern: str, before: int, after: int) -> Column:
-    """array<struct<match, start, window>>: each match and the text from `before` to `after` characters around it."""
-    clean = F.translate(text(c), "\x01\x02", "")
-    pieces = F.split(F.regexp_replace(clean, f"({pattern})", "\x01$1\x02"), "\x01")
-    # Each piece but the first is a match, a mark and the text up to the next match.
-    with_at = F.aggregate(
-        F.slice(pieces, 2, F.size(pieces)),
-        F.struct(F.length(pieces[0]).alias("at"), F.expr("CAST(array() AS array<struct<match: string, start: int>>)").alias("found")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p) - 1).alias("at"), F.concat(acc["found"], F.array(F.struct(F.substring_index(p, "\x02", 1).alias("match"), acc["at"].cast("int").alias("start")))).alias("found")),
-        lambda acc: acc["found"],
-    )
-    cut = lambda m: clean.substr(F.greatest(m["start"] - before, F.lit(0)) + 1, F.length(m["match"]) + after + F.least(m["start"], F.lit(before)))
-    return F.transform(with_at, lambda m: F.struct(m["match"].alias("match"), m["start"].alias("start"), cut(m).alias("window")))
+def bound(value: Column, then) -> Column:
+    """then(value), with the value made once: within functions of arrays Spark makes an expression anew wherever it stands."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def match_windows(c: Column, pattern: str, before: int, after: int, groups: int = 0, keep=None) -> Column:
+    """array<struct<match, start, window, groups>>: each match, the text from `before` to `after` characters around it, and what the
+    first `groups` groups hold of it, empty where they hold nothing. keep: which matches (struct<match, start, groups>) to look at."""
+    marked = "\x01$1\x02" + "".join(f"${k + 2}\x02" for k in range(groups))
+
+    # Each piece but the first is a match, a mark, the groups with a mark each, and the text up to the next match.
+    def found(pieces: Column) -> Column:
+        return F.aggregate(
+            F.slice(pieces, 2, F.size(pieces)),
+            F.struct(F.length(pieces[0]).alias("at"), F.expr("CAST(array() AS array<struct<match: string, start: int, groups: array<string>>>)").alias("found")),
+            lambda acc, piece: bound(F.split(piece, "\x02"), lambda p: F.struct((acc["at"] + F.length(p[0]) + F.length(p[groups + 1])).alias("at"), F.concat(acc["found"], F.array(F.struct(p[0].alias("match"), acc["at"].cast("int").alias("start"), F.slice(p, 2, groups).alias("groups")))).alias("found"))),
+            lambda acc: acc["found"],
+        )
+
+    def windows(clean: Column) -> Column:
+        all_found = bound(F.split(F.regexp_replace(clean, f"({pattern})", marked), "\x01"), found)
+        cut = lambda m: clean.substr(F.greatest(m["start"] - before, F.lit(0)) + 1, F.length(m["match"]) + after + F.least(m["start"], F.lit(before)))
+        return F.transform(all_found if keep is None else F.filter(all_found, keep), lambda m: F.struct(m["match"].alias("match"), m["start"].alias("start"), cut(m).alias("window"), m["groups"].alias("groups")))
+
+    return bound(F.translate(text(c), "\x01\x02", ""), windows)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siftworks.functions import detect
+from siftworks.functions import detect, salary, text
 from siftworks.operators import filters, funnel
 from siftworks.plans.config import Profile
 from siftworks.plans.triage import triage
@@ -65,3 +65,18 @@ def test_letters_of_a_language_are_sought_among_no_others(spark):
 def test_names_of_languages_begin_words(spark, body, want):
     got = spark.createDataFrame([(body,)], "b string").select(detect.stated_language_requirement(F.col("b"), ["en"]).alias("x")).first().x
     assert (got and got.language) == want
+
+
+def test_a_mention_of_pay_is_read_in_one_pass(spark):
+    said = ["3 000 or 40k and 5 - 7k EUR a month net", "12.500 - 9 GBP per year", "1 2 3", "$4/hour or €5.5/hour", "", None, "3\x02000 PLN"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "id int, t string").select("id", salary.parse(F.col("t")).alias("p"))
+    assert plan(df).count("annum|annually") == 1
+    got = {r.id: r.p and tuple(r.p) for r in df.collect()}
+    assert got == {
+        0: (5.0, 7000.0, "EUR", "month", True, "net"), 1: (9.0, 12500.0, "GBP", "year", True, "gross"), 2: None, 3: (5.5, 5.5, "EUR", "hour", True, "gross"), 4: None, 5: None, 6: (3000.0, 3000.0, "PLN", None, False, "gross"),
+    }
+
+
+def test_windows_with_groups(spark):
+    got = spark.createDataFrame([("a1b22 c3",)], "t string").select(text.match_windows(F.col("t"), r"([a-z])(\d)(\d)?", 1, 1, groups=3, keep=lambda m: m["groups"][0] != "c").alias("w")).first().w
+    assert [tuple(w) for w in got] == [("a1", 0, "a1b", ["a", "1", ""]), ("b22", 2, "1b22 ", ["b", "2", "2"])]
